@@ -63,6 +63,7 @@ def nearest_neighbours(
         .withColumn("q_block", block("q_blocks"))
         .withColumn("s_block", F.explode(F.sequence(F.lit(0), F.col("s_blocks") - 1)))
         .select("q_cell", "q_block", "s_cell", "s_block", "id", "vec")
+        .toDF("qc", "qb", "sc", "sb", "id", "vec")
     )
     right = (
         s.join(table, s["cell"] == table["s_cell"])
@@ -70,12 +71,13 @@ def nearest_neighbours(
         .withColumn("s_block", block("s_blocks"))
         .withColumn("q_block", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)))
         .select("q_cell", "q_block", "s_cell", "s_block", "id", "vec")
+        .toDF("with_qc", "with_qb", "with_sc", "with_sb", "nn_id", "nn_vec")
     )
-    keys = ["q_cell", "q_block", "s_cell", "s_block"]
+    keys = ["qc", "qb", "sc", "sb"]
     id_type = q.schema["id"].dataType.simpleString()
     candidates = (
         left.groupBy(*keys)
-        .cogroup(right.groupBy(*keys))
+        .cogroup(right.groupBy(*[f"with_{c}" for c in keys]))
         .applyInPandas(_block_candidates(k), f"id {id_type}, nn_id {id_type}, distance double")
     )
     order = Window.partitionBy("id").orderBy("distance", "nn_id")
@@ -221,8 +223,8 @@ def _block_candidates(k: int):
         empty = pd.DataFrame({"id": [], "nn_id": [], "distance": []})
         if q.empty or s.empty:
             return empty
-        x, y = np.stack(q["vec"].to_numpy()), np.stack(s["vec"].to_numpy())
-        ids, others = _sortable(q["id"]), _sortable(s["id"])
+        x, y = np.stack(q["vec"].to_numpy()), np.stack(s["nn_vec"].to_numpy())
+        ids, others = _sortable(q["id"]), _sortable(s["nn_id"])
         keep = min(k + 1, len(others))  # one more, in case the row itself is among them
         yy = (y * y).sum(axis=1)
         out = []
