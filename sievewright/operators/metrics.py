@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from sievewright.functions.numbers import ratio
 from sievewright.functions.ranks import DIRECT_ROWS, running_totals
+from sievewright.session import small_table
 
-METRIC_SCHEMA = "metric string, value double"
+METRICS_SCHEMA = "model string, metric string, class string, value double"
+CONFUSION_SCHEMA = "actual int, predicted int, count bigint"
 THRESHOLDS = [float(t) for t in np.linspace(0.01, 0.99, 99)]
 
 
@@ -26,26 +28,17 @@ def confusion_table(
 ) -> DataFrame:
     """``(actual, predicted, count)`` for every pair of labels, zeros included.
 
-    ``labels`` fixes the universe; by default it is every label seen on either side.
+    ``labels`` fixes the universe; by default it is every label seen on either side. One pass
+    over the rows; the metrics below then work on this table of labels squared alone.
     """
-    counts = df.groupBy(
-        F.col(actual).cast("int").alias("actual"), F.col(predicted).cast("int").alias("predicted")
-    ).count()
+    counted = df.groupBy(
+        F.col(actual).cast("int").alias("a"), F.col(predicted).cast("int").alias("p")
+    ).count().filter("a is not null and p is not null")
+    cells = {(r["a"], r["p"]): r["count"] for r in counted.collect()}
     if labels is None:
-        seen = df.agg(
-            F.collect_set(F.col(actual).cast("int")).alias("a"),
-            F.collect_set(F.col(predicted).cast("int")).alias("p"),
-        ).first()
-        labels = sorted({*seen["a"], *seen["p"]})
-    universe = F.array(*[F.lit(int(v)) for v in labels])
-    cells = (
-        df.sparkSession.range(1)
-        .select(F.explode(universe).alias("actual"))
-        .select("actual", F.explode(universe).alias("predicted"))
-    )
-    return cells.join(counts, ["actual", "predicted"], "left").select(
-        "actual", "predicted", F.coalesce("count", F.lit(0)).cast("bigint").alias("count")
-    )
+        labels = sorted({label for pair in cells for label in pair})
+    rows = [(int(a), int(p), cells.get((a, p), 0)) for a in labels for p in labels]
+    return small_table(df.sparkSession, rows, CONFUSION_SCHEMA)
 
 
 def class_report(

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievewright.functions.hashing import row_hash
-from sievewright.session import stage
+from sievewright.session import small_table, stage
 
 BLOCK_ROWS = 4096
 CELL_ROWS = 50_000
@@ -51,8 +51,8 @@ def nearest_neighbours(
     q = s if same else stage(_assign(q, centres), "neighbour-queries")
     pairs = _cell_pairs(q, s, centres, k, block_rows)
     spark = base.sparkSession
-    table = spark.createDataFrame(
-        pairs, "q_cell int, s_cell int, q_blocks int, s_blocks int, near double, far double"
+    table = small_table(
+        spark, pairs, "q_cell int, s_cell int, q_blocks int, s_blocks int, near double, far double"
     )
 
     def block(blocks: str):

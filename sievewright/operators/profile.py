@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievewright.functions.hashing import row_hash
 from sievewright.functions.names import numeric_columns
+from sievewright.session import small_table
 
 # Identity columns a feature table must not contain.
 IDENTITY_COLUMNS = [
@@ -60,8 +61,8 @@ def histogram(
             )
         )
     if not cells:
-        return df.sparkSession.createDataFrame(
-            [], "feature string, bin int, low double, high double, count bigint"
+        return small_table(
+        df.sparkSession,     [], "feature string, bin int, low double, high double, count bigint"
         )
     counts = (
         df.select(F.explode(F.array(*cells)).alias("x"))
@@ -81,7 +82,7 @@ def histogram(
 def leakage_columns(df: DataFrame) -> DataFrame:
     """Identity columns still present, as ``(column)``."""
     found = [(c,) for c in df.columns if c.lower() in IDENTITY_COLUMNS]
-    return df.sparkSession.createDataFrame(found, "column string")
+    return small_table(df.sparkSession, found, "column string")
 
 
 def sample_rows(df: DataFrame, n: int, key: str = "row_id", seed: int = 42) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.functions.ranks import quantiles
+from sievewright.session import small_table
 
 IMPUTE_SCHEMA = "feature string, fill double"
 SCALE_SCHEMA = "feature string, center double, scale double"
@@ -65,7 +66,7 @@ def fit_imputer(
             f"unknown imputing strategy {strategy!r}; use median, mean, most_frequent or zero"
         )
     rows = [(c, 0.0 if fills[c] is None else float(fills[c])) for c in features]
-    return df.sparkSession.createDataFrame(rows, IMPUTE_SCHEMA)
+    return small_table(df.sparkSession, rows, IMPUTE_SCHEMA)
 
 
 def apply_imputer(df: DataFrame, params: DataFrame) -> DataFrame:
@@ -116,7 +117,7 @@ def fit_scaler(
             f"unknown scaler {scaler!r}; use standard, robust, minmax or none"
         )
     rows = [(c, float(found[c][0] or 0.0), float(found[c][1] or 1.0)) for c in features]
-    return df.sparkSession.createDataFrame(rows, SCALE_SCHEMA)
+    return small_table(df.sparkSession, rows, SCALE_SCHEMA)
 
 
 def apply_scaler(df: DataFrame, params: DataFrame) -> DataFrame:

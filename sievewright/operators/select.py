@@ -13,7 +13,7 @@ from sievewright.functions.hashing import row_hash, unit_interval
 from sievewright.functions.names import numeric_columns
 from sievewright.functions.ranks import quantiles, running_totals
 from sievewright.operators.scale import training_rows
-from sievewright.session import stage
+from sievewright.session import small_table, stage
 
 PAIRS_PER_PASS = 150
 
@@ -62,8 +62,8 @@ def correlation_matrix(df: DataFrame, features: list[str] | None = None) -> Data
         (i, j, features[i], features[j], found.get((i, j)))
         for i, j in combinations(range(len(features)), 2)
     ]
-    return df.sparkSession.createDataFrame(
-        rows, "i int, j int, feature_i string, feature_j string, r double"
+    return small_table(
+        df.sparkSession, rows, "i int, j int, feature_i string, feature_j string, r double"
     )
 
 

@@ -13,7 +13,7 @@ from sievewright.functions.names import numeric_columns
 from sievewright.operators import balance, labels, scale, select
 from sievewright.operators.clean import clean_dataframe, clip_outliers
 from sievewright.operators.split import split_dataset
-from sievewright.session import stage
+from sievewright.session import small_table, stage
 from sievewright.sources import tables
 from sievewright.sources.csv import FILE_BITS, read_folder, source_names
 
@@ -181,5 +181,5 @@ def write_prepared(done: Prepared, folder: str, config: Config | None = None) ->
             tables.save_parameters(table, folder, name)
     summary = [*done.summary, ("save", "format", fmt)]
     if config.output.summary_to_file:
-        frame = spark.createDataFrame(summary, "stage string, metric string, value string")
+        frame = small_table(spark, summary, "stage string, metric string, value string")
         frame.coalesce(1).write.mode("overwrite").json(f"{folder}/summary")

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewright.operators import labels
-from sievewright.operators.metrics import evaluate
+from sievewright.operators.metrics import METRICS_SCHEMA, evaluate
 from sievewright.operators.model import Fitted, binary_from_codes, fit_and_tune, predict, save_model
-from sievewright.session import stage
+from sievewright.session import small_table, stage
 from sievewright.sources import tables
 
 
@@ -47,7 +47,7 @@ def train_and_evaluate(
     metrics = evaluate(scored, run, task, "y", "prediction", score, codes, names)
     if fitted.tuning:
         rows = [(run, "threshold_tuning", k, float(v)) for k, v in fitted.tuning.items()]
-        extra = train.sparkSession.createDataFrame(rows, metrics.schema)
+        extra = small_table(train.sparkSession, rows, METRICS_SCHEMA)
         metrics = metrics.unionByName(extra)
     return fitted, metrics
 

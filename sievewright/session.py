@@ -6,7 +6,10 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 
 def local_session(cores: int | str = "*", app: str = "sievewright", **conf: str) -> SparkSession:
@@ -43,6 +46,15 @@ def staging_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Driver-side rows (parameters, label maps) as a local relation: reading it is no job."""
+    fields = StructType.fromDDL(schema)
+    columns = list(zip(*rows, strict=True)) if rows else [() for _ in fields]
+    kinds = [to_arrow_type(f.dataType) for f in fields]
+    arrays = [pa.array(list(c), type=k) for c, k in zip(columns, kinds, strict=True)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=fields.names), fields)
+
+
 def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to a new table in the staging folder and read it back.
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from sievewright.functions.names import mangle_header, tidy_names
 from sievewright.functions.text import na_to_null
-from sievewright.session import stage
+from sievewright.session import small_table, stage
 
 CORRUPT = "_corrupt_record"
 FILE_BITS = 40  # row_id = file number * 2^40 + line number; both stay positive BIGINTs
@@ -158,24 +158,25 @@ def read_folder(
         (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
     )
     valid = staged.groupBy("_file").agg(F.bool_and("_utf8").alias("_ok"))
-    listed = spark.createDataFrame(
-        [(f.name, f.number, f.source) for f in files],
+    listed = small_table(
+        spark, [(f.name, f.number, f.source) for f in files],
         "_file string, _number bigint, source_file string",
     )
     places = numbered.join(listed.join(valid, "_file", "left"), "_file")
     strict = CHARSETS.get(encoding.lower(), encoding)
     loose = CHARSETS.get(fallback_encoding.lower(), fallback_encoding)
 
-    def decoded(c: str):
-        raw = F.encode(F.col(c), BYTES)
-        # plain ASCII is the same in every charset
+    def decoded(name: str):
+        text = F.col("`" + name.replace("`", "``") + "`")
+        raw = F.encode(text, BYTES)
         if strict == "UTF-8":
-            text = F.when(F.col("_ok"), F.decode(raw, "UTF-8")).otherwise(
-                F.col(c) if loose == BYTES else F.decode(raw, loose)
+            wide = F.when(F.col("_ok"), F.decode(raw, "UTF-8")).otherwise(
+                text if loose == BYTES else F.decode(raw, loose)
             )
         else:
-            text = F.col(c) if strict == BYTES else F.decode(raw, strict)
-        return F.when(F.octet_length(c) == F.length(c), F.col(c)).otherwise(text)
+            wide = text if strict == BYTES else F.decode(raw, strict)
+        # plain ASCII, the bulk of all cells, is the same in every charset
+        return F.when(F.octet_length(text) == F.length(text), text).otherwise(wide)
 
     return (
         staged.filter("_kept")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievewright.operators.metrics import METRICS_SCHEMA
+from sievewright.session import small_table
+
 # Arrow IPC files have no Spark writer; the columnar ORC format stands in for them.
 FORMATS = {"parquet": "parquet", "orc": "orc", "feather": "orc", "csv": "csv"}
 
@@ -69,7 +72,7 @@ def save_metrics(metrics: DataFrame, path: str) -> None:
 
 
 def load_metrics(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("model string, metric string, class string, value double").json(path)
+    return spark.read.schema(METRICS_SCHEMA).json(path)
 
 
 def save_parameters(params: DataFrame, folder: str, name: str) -> None:
@@ -83,8 +86,8 @@ def load_parameters(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def feature_table(spark: SparkSession, features: list[str]) -> DataFrame:
     """Feature names with their position."""
-    return spark.createDataFrame(
-        list(enumerate(features)), "position bigint, feature string"
+    return small_table(
+        spark, list(enumerate(features)), "position bigint, feature string"
     )
 
 
