@@ -32,7 +32,7 @@ class _Target:
     """Search state for the value of ascending ``rank`` in ``column``: it lies in (low, high)."""
 
     key: int
-    column: Column
+    column: str
     rank: int
     low: float
     high: float
@@ -40,33 +40,39 @@ class _Target:
     inside: int
     value: float | None = None
 
+    def interval(self) -> tuple[str, float, float]:
+        return self.column, self.low, self.high
+
     def open_interval(self) -> Column:
-        inside = (self.column > F.lit(self.low)) & (self.column < F.lit(self.high))
-        return F.when(inside, self.column)
+        value = F.col(self.column)
+        return F.when((value > F.lit(self.low)) & (value < F.lit(self.high)), value)
 
 
 def _sketch_brackets(df: DataFrame, targets: list[_Target]) -> dict[int, tuple[float, float]]:
     """Two data values per target that very likely enclose it.
 
-    Sketches are merged in two steps (salt, then all) so no reducer meets one per input task.
+    Targets in the same interval share a sketch. Sketches are merged in two steps (salt, then
+    all) so no reducer meets one per input task.
     """
+    sketches = {t.interval(): f"s{t.key}" for t in targets}
+    values = {t.interval(): t.open_interval() for t in targets}
     salted = df.groupBy((F.spark_partition_id() % SALTS).alias("_salt")).agg(
         *[
-            F.kll_sketch_agg_double(t.open_interval(), F.lit(SKETCH_K)).alias(f"s{t.key}")
-            for t in targets
+            F.kll_sketch_agg_double(values[i], F.lit(SKETCH_K)).alias(name)
+            for i, name in sketches.items()
         ]
     )
+    merged = salted.agg(*[F.kll_merge_agg_double(n).alias(n) for n in sketches.values()])
     quantiles = []
     for t in targets:
         middle = (t.rank - t.below) / max(t.inside - 1, 1)
         edges = [max(middle - SKETCH_ERROR, 0.0), min(middle + SKETCH_ERROR, 1.0)]
-        merged = F.kll_merge_agg_double(F.col(f"s{t.key}"))
         quantiles.append(
             F.kll_sketch_get_quantile_double(
-                merged, F.array(*[F.lit(e) for e in edges])
+                sketches[t.interval()], F.array(*[F.lit(e) for e in edges])
             ).alias(f"q{t.key}")
         )
-    row = salted.agg(*quantiles).first()
+    row = merged.select(*quantiles).first()
     return {t.key: tuple(row[f"q{t.key}"]) for t in targets}
 
 
@@ -129,7 +135,7 @@ def _resolve(df: DataFrame, targets: list[_Target]) -> dict[int, float]:
 
 def order_statistics(
     df: DataFrame,
-    wanted: list[tuple[Column, int]],
+    wanted: list[tuple[str, int]],
     counts: list[int],
     direct_rows: int = DIRECT_ROWS,
 ) -> list[float]:
@@ -206,7 +212,7 @@ def quantiles(
             lower = math.floor(place)
             plan.append((c, len(wanted), place - lower))
             for rank in (lower, min(lower + 1, n - 1)):
-                wanted.append((F.col(c), rank))
+                wanted.append((c, rank))
                 sizes.append(n)
     values = order_statistics(narrow, wanted, sizes, direct_rows)
     result: dict[str, list[float] | None] = {c: None for c in columns}
@@ -302,7 +308,7 @@ def at_or_after(
             break
         for name in left:
             if spread[f"min_{name}"] < spread[f"max_{name}"]:
-                value = order_statistics(rows, [(F.col(name), position)], [spread["n"]])[0]
+                value = order_statistics(rows, [(name, position)], [spread["n"]])[0]
                 position -= rows.filter(F.col(name) < value).count()
                 rows = rows.filter(F.col(name) == value)
                 cut[name] = value

@@ -265,13 +265,9 @@ def adasyn(
     _require_neighbours(class_counts(df, target), plan)
     rows = _rows_with_vectors(df, target, features, key)
     growing = stage(rows.filter(F.col(target).isin(list(plan.add))), "adasyn-growing")
-    around = nearest_neighbours(growing, rows, plan.neighbours, key, "vec")
-    other = rows.select(F.col(key).alias("nn_id"), F.col(target).alias("_c"))
-    foreign = (
-        around.join(other, "nn_id")
-        .join(rows.select(key, target), key)
-        .groupBy(key, target)
-        .agg(F.count_if(F.col("_c") != F.col(target)).alias("foreign"))
+    around = nearest_neighbours(growing, rows, plan.neighbours, key, "vec", carry=target)
+    foreign = around.groupBy(key, target).agg(
+        F.count_if(F.col(f"nn_{target}") != F.col(target)).alias("foreign")
     )
     foreign = stage(foreign, "adasyn-foreign")
     sums = {r[target]: r["s"] for r in
@@ -300,19 +296,14 @@ def adasyn(
 # -- cleaning by neighbours ----------------------------------------------------------------------
 
 
-def _labelled_neighbours(rows: DataFrame, k: int, target: str, key: str) -> DataFrame:
-    found = nearest_neighbours(rows, rows, k, key, "vec")
-    other = rows.select(F.col(key).alias("nn_id"), F.col(target).alias("nn_class"))
-    return found.join(other, "nn_id").join(rows.select(key, target), key)
-
-
 def tomek_links(df: DataFrame, target: str, features: list[str], key: str = "row_id") -> DataFrame:
     """Pairs ``(key, nn_id)`` of different classes that are each other's nearest row.
 
     Both directions are listed. Mutuality is a count of two per unordered pair.
     """
     rows = _rows_with_vectors(df, target, features, key)
-    found = _labelled_neighbours(rows, 1, target, key).filter(F.col("nn_class") != F.col(target))
+    found = nearest_neighbours(rows, rows, 1, key, "vec", carry=target)
+    found = found.filter(F.col(f"nn_{target}") != F.col(target))
     found = stage(found.select(key, "nn_id"), "tomek-nearest")
     back = found.select(F.col("nn_id").alias(key), F.col(key).alias("nn_id"))
     return found.join(back, [key, "nn_id"], "left_semi")
@@ -329,8 +320,8 @@ def disagreeing_rows(
 ) -> DataFrame:
     """Keys of rows with any of their k nearest rows in another class."""
     rows = _rows_with_vectors(df, target, features, key)
-    found = _labelled_neighbours(rows, k, target, key)
-    return found.filter(F.col("nn_class") != F.col(target)).select(key).distinct()
+    found = nearest_neighbours(rows, rows, k, key, "vec", carry=target)
+    return found.filter(F.col(f"nn_{target}") != F.col(target)).select(key).distinct()
 
 
 def remove_disagreeing(

@@ -31,20 +31,29 @@ def vector_of(features: list[str]):
 
 def nearest_neighbours(
     queries: DataFrame, base: DataFrame, k: int, key: str = "row_id", vector: str = "features",
-    group: str | None = None, pivots: int | None = None, block_rows: int = BLOCK_ROWS,
+    group: str | None = None, carry: str | None = None, pivots: int | None = None,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """The k rows of ``base`` nearest to every query: ``(key, rank, nn_id, distance)``.
 
     Euclidean distance, ties by key, never the row itself. With ``group`` only rows of the
-    same group are neighbours. Fewer rows come back where a group has fewer.
+    same group are neighbours. Fewer rows come back where a group has fewer. ``carry`` names a
+    column to bring along from both rows, as ``<carry>`` and ``nn_<carry>``: joining it on
+    afterwards would meet a hot key wherever many copies share their nearest row.
     """
     g = F.col(group).cast("string") if group else F.lit("")
-    column = F.col(vector).cast("array<double>")
-    q = queries.select(F.col(key).alias("id"), g.alias("grp"), column.alias("vec"))
-    s = base.select(F.col(key).alias("id"), g.alias("grp"), column.alias("vec"))
+    tag = F.col(carry) if carry else F.lit(None).cast("int")
+    shown = [
+        F.col(key).alias("id"), tag.alias("tag"), g.alias("grp"),
+        F.col(vector).cast("array<double>").alias("vec"),
+    ]
+    q, s = queries.select(*shown), base.select(*shown)
     sizes = {r["grp"]: r["count"] for r in s.groupBy("grp").count().collect()}
     if not sizes:
-        return _result_type(q, key).limit(0)
+        return _named(
+            q.select("id", "tag", F.col("id").alias("nn_id"), F.col("tag").alias("nn_tag"),
+                     F.lit(0.0).alias("distance"), F.lit(1).alias("rank")).limit(0), key, carry,
+        )
     same = queries is base
     centres = _choose_pivots(s, sizes, pivots)
     s = stage(_assign(s, centres), "neighbour-base")
@@ -62,34 +71,35 @@ def nearest_neighbours(
         q.join(table, q["cell"] == table["q_cell"])
         .withColumn("q_block", block("q_blocks"))
         .withColumn("s_block", F.explode(F.sequence(F.lit(0), F.col("s_blocks") - 1)))
-        .select("q_cell", "q_block", "s_cell", "s_block", "id", "vec")
-        .toDF("qc", "qb", "sc", "sb", "id", "vec")
+        .select("q_cell", "q_block", "s_cell", "s_block", "id", "tag", "vec")
+        .toDF("qc", "qb", "sc", "sb", "id", "tag", "vec")
     )
     right = (
         s.join(table, s["cell"] == table["s_cell"])
         .filter((F.col("radius") >= F.col("near")) & (F.col("radius") <= F.col("far")))
         .withColumn("s_block", block("s_blocks"))
         .withColumn("q_block", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)))
-        .select("q_cell", "q_block", "s_cell", "s_block", "id", "vec")
-        .toDF("with_qc", "with_qb", "with_sc", "with_sb", "nn_id", "nn_vec")
+        .select("q_cell", "q_block", "s_cell", "s_block", "id", "tag", "vec")
+        .toDF("with_qc", "with_qb", "with_sc", "with_sb", "nn_id", "nn_tag", "nn_vec")
     )
     keys = ["qc", "qb", "sc", "sb"]
-    id_type = q.schema["id"].dataType.simpleString()
+    id_type, tag_type = (q.schema[c].dataType.simpleString() for c in ("id", "tag"))
     candidates = (
         left.groupBy(*keys)
         .cogroup(right.groupBy(*[f"with_{c}" for c in keys]))
-        .applyInPandas(_block_candidates(k), f"id {id_type}, nn_id {id_type}, distance double")
+        .applyInPandas(
+            _block_candidates(k),
+            f"id {id_type}, tag {tag_type}, nn_id {id_type}, nn_tag {tag_type}, distance double",
+        )
     )
     order = Window.partitionBy("id").orderBy("distance", "nn_id")
     ranked = candidates.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select(F.col("id").alias(key), "rank", "nn_id", "distance")
+    return _named(ranked, key, carry)
 
 
-def _result_type(q: DataFrame, key: str) -> DataFrame:
-    return q.select(
-        F.col("id").alias(key), F.lit(1).alias("rank"), F.col("id").alias("nn_id"),
-        F.lit(0.0).alias("distance"),
-    )
+def _named(found: DataFrame, key: str, carry: str | None) -> DataFrame:
+    tags = [F.col("tag").alias(carry), F.col("nn_tag").alias(f"nn_{carry}")] if carry else []
+    return found.select(F.col("id").alias(key), *tags, "rank", "nn_id", "distance")
 
 
 def _choose_pivots(s: DataFrame, sizes: dict[str, int], pivots: int | None) -> dict:
@@ -220,9 +230,8 @@ def _block_candidates(k: int):
     """The k nearest rows of one block for every row of another."""
 
     def candidates(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"id": [], "nn_id": [], "distance": []})
         if q.empty or s.empty:
-            return empty
+            return pd.DataFrame({c: [] for c in ("id", "tag", "nn_id", "nn_tag", "distance")})
         x, y = np.stack(q["vec"].to_numpy()), np.stack(s["nn_vec"].to_numpy())
         ids, others = _sortable(q["id"]), _sortable(s["nn_id"])
         keep = min(k + 1, len(others))  # one more, in case the row itself is among them
@@ -241,13 +250,16 @@ def _block_candidates(k: int):
                 at = at[others[at] != ids[start + row]]
                 distance = np.sqrt(((y[at] - part[row]) ** 2).sum(axis=1))
                 best = np.lexsort((others[at], distance))[:k]
-                out.append((ids[start + row], others[at][best], distance[best]))
-        counts = [len(o[1]) for o in out]
+                out.append((at[best], distance[best]))
+        mine = np.repeat(np.arange(len(ids)), [len(at) for at, _ in out])
+        theirs = np.concatenate([at for at, _ in out])
         return pd.DataFrame(
             {
-                "id": np.repeat([o[0] for o in out], counts),
-                "nn_id": np.concatenate([o[1] for o in out]),
-                "distance": np.concatenate([o[2] for o in out]),
+                "id": ids[mine],
+                "tag": q["tag"].to_numpy()[mine],
+                "nn_id": others[theirs],
+                "nn_tag": s["nn_tag"].to_numpy()[theirs],
+                "distance": np.concatenate([d for _, d in out]),
             }
         )
 

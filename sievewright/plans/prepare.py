@@ -54,7 +54,8 @@ def prepare(raw: DataFrame, config: Config | None = None, sources: DataFrame | N
     ``sources`` maps file numbers to names where the number is in the high bits of the key:
     the source then need not be carried through deduplication.
 
-    Each shuffle-heavy step ends in a staged table, because the fits after it reread it.
+    Each shuffle-heavy step ends in a staged table, because the fits after it reread it. The
+    split table is partitioned by split, so fits read the training files only.
     """
     config = config or Config()
     cleaning, seed = config.cleaning, config.random_seed
@@ -85,7 +86,7 @@ def prepare(raw: DataFrame, config: Config | None = None, sources: DataFrame | N
         labelled, target, config.split.strategy, config.split.test_size, config.split.val_size,
         seed, config.split.day_assignment, "row_id", config.split.order_by,
     )
-    data = stage(split.select("row_id", *features, *targets, "split"), "split")
+    data = stage(split.select("row_id", *features, *targets, "split"), "split", "split")
     result = Prepared(data, features, targets, target, mapping)
     result.note("clean", "rows", rows)
     result.note("clean", "columns", len(features))
@@ -148,7 +149,7 @@ def prepare_folder(spark: SparkSession, folder: str, config: Config | None = Non
     raw = read_folder(
         spark, folder, config.ingest.encoding, config.ingest.fallback_encoding
     )
-    sources = source_names(raw)
+    sources = stage(source_names(raw), "sources")
     done = prepare(raw, config, sources)
     done.summary.insert(0, ("ingest", "columns", str(len(raw.columns) - 1)))
     done.summary.insert(0, ("ingest", "rows", str(raw.count())))

@@ -24,6 +24,7 @@ from sievewright.session import small_table, stage
 
 CORRUPT = "_corrupt_record"
 FILE_BITS = 40  # row_id = file number * 2^40 + line number; both stay positive BIGINTs
+BROADCAST_BLOCKS = 2_000_000  # some 200 MB; more blocks than that are joined by shuffle
 BYTES = "ISO-8859-1"  # maps every byte to one character and back
 # Spark's charset names for the usual spellings.
 CHARSETS = {"utf-8": "UTF-8", "utf8": "UTF-8", "latin-1": BYTES, "latin1": BYTES,
@@ -162,7 +163,9 @@ def read_folder(
         spark, [(f.name, f.number, f.source) for f in files],
         "_file string, _number bigint, source_file string",
     )
-    places = numbered.join(listed.join(valid, "_file", "left"), "_file")
+    places = stage(numbered.join(listed.join(valid, "_file", "left"), "_file"), "ingest-blocks")
+    if places.count() <= BROADCAST_BLOCKS:
+        places = F.broadcast(places)
     strict = CHARSETS.get(encoding.lower(), encoding)
     loose = CHARSETS.get(fallback_encoding.lower(), fallback_encoding)
 

@@ -12,6 +12,5 @@ sys.path.insert(0, str(ROOT / "tests"))
 def spark():
     from sievewright.session import local_session
 
-    session = local_session(8, "tests")
-    session.conf.set("spark.sql.shuffle.partitions", "4")
-    return session
+    few = {"spark.sql.shuffle.partitions": "3", "spark.default.parallelism": "3"}
+    return local_session(8, "tests", **few)

@@ -130,7 +130,7 @@ def test_all_null_column(spark):
 def test_order_statistics_by_rank(skewed):
     values = sorted(r[0] for r in skewed.select("a").collect())
     ranks = [0, 1, 17, 4500, 8998, 8999]
-    got = order_statistics(skewed, [(F.col("a"), r) for r in ranks], [9000] * len(ranks), 20)
+    got = order_statistics(skewed, [("a", r) for r in ranks], [9000] * len(ranks), 20)
     assert got == [values[r] for r in ranks]
 
 
