@@ -189,24 +189,20 @@ def _mix(
         .join(ends, "nn_id")
         .join(starts, key)
     )
-    made = {
-        c: F.col("_from")[i] + F.col("share") * (F.col("_to")[i] - F.col("_from")[i])
-        for i, c in enumerate(features)
-    }
-    fields = {f.name: f.dataType for f in df.schema.fields}
+    place = {c: i for i, c in enumerate(features)}
     columns = []
-    for c in df.columns:
-        if c == key:
-            columns.append(_new_key(target).alias(c))
-        elif c == target:
-            columns.append(F.col(target))
-        elif c in made:
-            columns.append(made[c].alias(c))
-        elif c == "split":
-            columns.append(F.lit("train").alias(c))
+    for f in df.schema.fields:
+        if f.name == key:
+            text = f"concat_ws('#', cast(`{target}` as string), cast(draw as string))"
+        elif f.name == target:
+            text = f"`{target}`"
+        elif f.name in place:
+            i = place[f.name]
+            text = f"_from[{i}] + share * (_to[{i}] - _from[{i}])"
         else:
-            columns.append(F.lit(None).cast(fields[c]).alias(c))
-    return lines.select(*columns)
+            text = f"cast(null as {f.dataType.simpleString()})"
+        columns.append(f"{text} as `{f.name}`")
+    return lines.selectExpr(*columns)
 
 
 def _require_neighbours(counts: dict, plan: Plan) -> None:
@@ -216,7 +212,10 @@ def _require_neighbours(counts: dict, plan: Plan) -> None:
 
 
 def _features_as_double(df: DataFrame, features: list[str], key: str) -> DataFrame:
-    return _with_text_key(df, key).withColumns({c: F.col(c).cast("double") for c in features})
+    kinds = {**dict.fromkeys(features, "double"), key: "string"}
+    return df.selectExpr(
+        *[f"cast(`{c}` as {kinds[c]}) as `{c}`" if c in kinds else f"`{c}`" for c in df.columns]
+    )
 
 
 def smote(

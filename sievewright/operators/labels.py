@@ -47,9 +47,9 @@ def normalise_labels(
     df = df.filter(F.col(label_column).isNotNull())
     label = F.col(label_column).cast("string")
     if isinstance(mapping, DataFrame):
-        table = mapping.select(
-            normal_form(F.col("raw")).alias("_norm"), F.col("canonical").alias("_canonical")
-        ).dropDuplicates(["_norm"])
+        table = mapping.groupBy(normal_form(F.col("raw")).alias("_norm")).agg(
+            F.min("canonical").alias("_canonical")
+        )
         joined = df.withColumn("_norm", normal_form(label)).join(table, "_norm", "left")
         named = joined.withColumn(label_column, F.coalesce("_canonical", title_case(label)))
         return named.select(*df.columns)

@@ -25,8 +25,8 @@ MAX_PIVOTS = 512
 
 
 def vector_of(features: list[str]):
-    """Feature columns as one array column."""
-    return F.array(*[F.col(c).cast("double") for c in features])
+    """Feature columns as one array column; one parsed text, however many features."""
+    return F.expr(f"array({', '.join(f'cast(`{c}` as double)' for c in features)})")
 
 
 def nearest_neighbours(

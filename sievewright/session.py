@@ -22,6 +22,8 @@ def local_session(cores: int | str = "*", app: str = "sievewright", **conf: str)
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.driver.memory": "12g",
         "spark.ui.enabled": "false",
+        # no call-site capture per column expression: wide plans build several times faster
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)

@@ -26,9 +26,9 @@ CORRUPT = "_corrupt_record"
 FILE_BITS = 40  # row_id = file number * 2^40 + line number; both stay positive BIGINTs
 BROADCAST_BLOCKS = 2_000_000  # some 200 MB; more blocks than that are joined by shuffle
 BYTES = "ISO-8859-1"  # maps every byte to one character and back
-# Spark's charset names for the usual spellings.
+# UTF-8 can fail on a file; the single-byte charsets accept every file.
 CHARSETS = {"utf-8": "UTF-8", "utf8": "UTF-8", "latin-1": BYTES, "latin1": BYTES,
-            "iso-8859-1": BYTES, "ascii": "US-ASCII", "cp1252": "windows-1252"}
+            "iso-8859-1": BYTES, "cp1252": "windows-1252"}
 
 
 @dataclass(frozen=True)
@@ -70,6 +70,12 @@ def _first_line(spark: SparkSession, path: str) -> bytes:
     return line.encode("latin-1")
 
 
+def _charset(name: str) -> str:
+    if name.lower() not in CHARSETS:
+        raise ValueError(f"unknown encoding {name!r}; use one of {sorted(CHARSETS)}")
+    return CHARSETS[name.lower()]
+
+
 def _decode(raw: bytes, encoding: str, fallback: str) -> str:
     try:
         return raw.decode(encoding).removeprefix("﻿")
@@ -137,6 +143,7 @@ def read_folder(
     bytes allow that, else with ``fallback_encoding``. NA texts are NULL. Files with different
     headers are united by (tidy) name, missing columns NULL.
     """
+    strict, loose = _charset(encoding), _charset(fallback_encoding)
     files = _sources(spark, discover_files(spark, folder, pattern), encoding, fallback_encoding,
                      tidy)
     by_header: dict[tuple, list[SourceFile]] = {}
@@ -166,8 +173,6 @@ def read_folder(
     places = stage(numbered.join(listed.join(valid, "_file", "left"), "_file"), "ingest-blocks")
     if places.count() <= BROADCAST_BLOCKS:
         places = F.broadcast(places)
-    strict = CHARSETS.get(encoding.lower(), encoding)
-    loose = CHARSETS.get(fallback_encoding.lower(), fallback_encoding)
 
     def decoded(name: str):
         text = F.col("`" + name.replace("`", "``") + "`")
