@@ -13,10 +13,12 @@ def to_number(col: Column) -> Column:
     """Text to double, NULL where it is not a number.
 
     The suffix test turns away Java float literals such as ``1.0d`` and ``1f``, which the
-    cast would accept; ``inf`` is left alone.
+    cast would accept; ``inf`` is left alone. Only texts that end in such a letter pay for
+    the pattern.
     """
     text = F.trim(col)
-    return F.when(~text.rlike("[0-9.][dDfF]$"), text.try_cast("double"))
+    suffixed = F.substring(text, -1, 1).isin("d", "D", "f", "F")
+    return F.when(~(suffixed & text.rlike("[0-9.].$")), text.try_cast("double"))
 
 
 def as_number(col: Column, dtype: T.DataType) -> Column:

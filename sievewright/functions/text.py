@@ -28,12 +28,14 @@ def normal_form(col: Column) -> Column:
 
 
 def title_case(col: Column) -> Column:
-    """Capital after every non-letter, lower case elsewhere (``initcap`` only sees spaces)."""
-    pieces = F.split(F.lower(strip(col)), "(?<=[^\\p{L}])")
-    capital = F.transform(
-        pieces, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 20))
-    )
-    return F.array_join(capital, "")
+    """Capital after every non-letter, lower case elsewhere.
+
+    ``initcap`` only looks at spaces, so a marked space is put before each letter that follows
+    a non-letter and taken out again. Unlike an array transform this compiles with the stage.
+    """
+    mark = "\u0001 "
+    spaced = F.regexp_replace(F.lower(strip(col)), "(?<=[^\\p{L}])(?=\\p{L})", mark)
+    return F.replace(F.initcap(spaced), F.lit(mark), F.lit(""))
 
 
 def na_to_null(col: Column) -> Column:

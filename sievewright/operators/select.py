@@ -16,6 +16,7 @@ from sievewright.operators.scale import training_rows
 from sievewright.session import small_table, stage
 
 PAIRS_PER_PASS = 150
+GRAMIAN_FEATURES = 18
 
 
 def variance_table(df: DataFrame, features: list[str] | None = None) -> DataFrame:
@@ -42,8 +43,8 @@ def correlation_matrix(df: DataFrame, features: list[str] | None = None) -> Data
     """Pearson correlation of every ordered pair as ``(i, j, feature_i, feature_j, r)``, i < j.
 
     Pairs count rows where both values are present; r is NULL if either side is constant
-    there. Complete data goes through one Gramian pass; data with gaps through pairwise
-    aggregates, so many pairs per pass.
+    there. Many complete columns go through one Gramian pass; few columns, or columns with
+    gaps, through aggregates, so many pairs per pass.
     """
     features = numeric_columns(df) if features is None else features
     data = df.select(*[F.col(c).cast("double").alias(c) for c in features])
@@ -53,11 +54,11 @@ def correlation_matrix(df: DataFrame, features: list[str] | None = None) -> Data
         *[(F.min(F.col(c)) == F.max(F.col(c))).alias(f"k{i}") for i, c in enumerate(features)],
     ).first()
     varying = [i for i in range(len(features)) if shape[f"k{i}"] is False]
-    complete = all(shape[f"n{i}"] == shape["n"] for i in varying)
-    if complete and shape["n"] > 1 and len(varying) > 12:
+    gaps = {i for i in varying if shape[f"n{i}"] < shape["n"]}
+    if not gaps and len(varying) > GRAMIAN_FEATURES:
         found = _gramian_pairs(data, features, varying)
     else:
-        found = _aggregate_pairs(data, features, varying)
+        found = _aggregate_pairs(data, features, varying, gaps)
     rows = [
         (i, j, features[i], features[j], found.get((i, j)))
         for i, j in combinations(range(len(features)), 2)
@@ -76,21 +77,26 @@ def _gramian_pairs(data, features, varying):
     }
 
 
-def _aggregate_pairs(data, features, varying):
+def _aggregate_pairs(data, features, varying, gaps):
+    """Only a partner with gaps restricts the rows a deviation is taken over."""
+
+    def deviation(i, j):
+        x = F.col(features[i])
+        if j not in gaps:
+            return F.stddev_pop(x)
+        shared = F.when(F.col(features[j]).isNotNull(), x)
+        return F.when(F.max(shared) > F.min(shared), F.stddev_pop(shared))
+
     found = {}
     pairs = list(combinations(varying, 2))
     for start in range(0, len(pairs), PAIRS_PER_PASS):
         part = pairs[start : start + PAIRS_PER_PASS]
-        exprs = []
-        for i, j in part:
-            x, y = F.col(features[i]), F.col(features[j])
-            both = x.isNotNull() & y.isNotNull()
-            sx, sy = F.when(both, x), F.when(both, y)
-            spread = F.when(
-                (F.max(sx) > F.min(sx)) & (F.max(sy) > F.min(sy)),
-                F.stddev_pop(sx) * F.stddev_pop(sy),
-            )
-            exprs.append(F.try_divide(F.covar_pop(x, y), spread).alias(f"r{i}_{j}"))
+        exprs = [
+            F.try_divide(
+                F.covar_pop(features[i], features[j]), deviation(i, j) * deviation(j, i)
+            ).alias(f"r{i}_{j}")
+            for i, j in part
+        ]
         row = data.agg(*exprs).first()
         found.update({(i, j): row[f"r{i}_{j}"] for i, j in part})
     return found

@@ -78,7 +78,8 @@ def day_split(
         for side, words in assignment.items()
         if words
     }
-    matched = F.array_compact(F.array(*[F.when(hit, side) for side, hit in hits.items()]))
+    found = [F.when(hit, side).otherwise("") for side, hit in hits.items()]
+    matched = F.array_remove(F.array(*found), "")
     sides = F.when(F.size(matched) == 0, F.array(F.lit("train"))).otherwise(matched)
     return df.withColumn("split", F.explode(sides))
 
