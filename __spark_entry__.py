@@ -526,7 +526,7 @@ def _scale_sql(centre: str, spread: str) -> str:
         f"{centre.format(c)} as m_{c}, {spread.format(c)} as s_{c}" for c in features
     )
     shown = ", ".join(
-        f"round(({c} - m_{c}) / case when s_{c} = 0 then 1 else s_{c} end, 6) as {c}"
+        f"round(({c} - m_{c}) / case when s_{c} = 0 then 1 else s_{c} end, 6) + 0.0 as {c}"
         for c in features
     )
     return f"""with d as (select l_orderkey, l_linenumber, {', '.join(FLOW)}, {SPLIT_FLOW} as split,
@@ -1328,7 +1328,7 @@ PREPARED = """raw as (select min(l_orderkey * 100000000 + l_partkey * 10 + l_lin
 @query(
     "prepare_dataset",
     f"""with {PREPARED} select row_id, split, case when label = 'BENIGN' then 0 else 1 end as label_binary,
-          round(q, 6) as quantity_s, round(p, 6) as price, round(n, 6) as line from done""",
+          round(q, 6) + 0.0 as quantity_s, round(p, 6) + 0.0 as price, round(n, 6) + 0.0 as line from done""",
 )
 def prepare_dataset(spark, sf_dir):
     done = prepare(raw_flows(spark, sf_dir))

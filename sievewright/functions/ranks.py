@@ -265,11 +265,13 @@ def _key_digits(df: DataFrame, name: str) -> list[Column]:
             ).cast("double")
             for start in range(0, width, 6)
         ]
+    elif isinstance(dtype, T.TimestampNTZType):
+        # day and time of day: a detour over the session time zone could reorder local times
+        second = F.hour(col) * 3600 + F.minute(col) * 60 + F.date_part(F.lit("SECOND"), col)
+        parts = [F.unix_date(col.cast("date")).cast("double"), second.cast("double")]
     else:
         if isinstance(dtype, T.TimestampType):
             number = F.unix_micros(col)
-        elif isinstance(dtype, T.TimestampNTZType):
-            number = F.unix_micros(col.cast("timestamp"))
         elif isinstance(dtype, T.DateType):
             number = F.unix_date(col).cast("bigint")
         elif isinstance(dtype, T.IntegralType):

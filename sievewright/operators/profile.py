@@ -34,8 +34,8 @@ def histogram(
 ) -> DataFrame:
     """``(feature, bin, low, high, count)``: equal-width bins over each column's own range.
 
-    Bins are half-open except the last; a constant column gets the unit range around its value. All rows
-    count. Only filled bins are listed.
+    Bins are half-open except the last; a constant column gets the unit range around its
+    value. All rows count. Only filled bins are listed.
     """
     columns = (numeric_columns(df) if columns is None else columns)[:max_features]
     stats = []

@@ -14,6 +14,7 @@ import duckdb
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
+DIGITS = 9  # the statements round to 6: allow for the last bits of sums only
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
@@ -28,10 +29,14 @@ def _cell(value):
     if hasattr(value, "as_tuple"):
         value = float(value)
     if isinstance(value, float):
-        return value if math.isinf(value) else round(value, 5) + 0.0
+        return value if math.isinf(value) else round(value, DIGITS)
     return value
 
 
+def _family(value) -> str:
+    return "number" if isinstance(value, float) or hasattr(value, "as_tuple") else type(value).__name__
+
+
 def _canonical(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     cells = [tuple(_cell(r[i]) for i in order) for r in rows]
@@ -48,12 +53,20 @@ def connect(sf_dir: str):
 def compare(spark, con, sf_dir, run, sql) -> tuple[str, int]:
     """``ok`` or what differs, and the number of rows."""
     df = run(spark, sf_dir)
-    columns, rows = _canonical(df.columns, [tuple(r) for r in df.collect()])
+    raw = [tuple(r) for r in df.collect()]
+    columns, rows = _canonical(df.columns, raw)
     if sql is None:
         return "rows only", len(rows)
     result = con.execute(sql)
     names = [d[0] for d in result.description]
-    expected_columns, expected = _canonical(names, result.fetchall())
+    fetched = result.fetchall()
+    expected_columns, expected = _canonical(names, fetched)
+    for i, name in enumerate(df.columns):
+        kinds = {_family(r[i]) for r in raw if r[i] is not None}
+        wanted = {_family(r[names.index(name)]) for r in fetched if name in names
+                  and r[names.index(name)] is not None}
+        if kinds != wanted and raw:
+            return f"column {name} is {kinds} instead of {wanted}", len(raw)
     if columns != expected_columns:
         return f"columns {columns} instead of {expected_columns}", len(rows)
     if len(rows) != len(expected):

@@ -36,22 +36,22 @@ def test_encoding_is_decided_per_file(spark, tmp_path):
 
 
 def test_order_sources_and_na(spark, tmp_path):
-    write(tmp_path, "Monday.pcap_ISCX.csv", " Label,A\nNA,1\nnan,2\nBENIGN,\n")
+    write(tmp_path, "Monday.v2.csv", " Label,A\nNA,1\nnan,2\nBENIGN,\n")
     write(tmp_path, "Friday.csv", "A,Label,Extra\n5,x,e\n")
     write(tmp_path, "notes.txt", "no,table\n")
     df = read(spark, tmp_path)
     rows = [tuple(r) for r in df.select("source_file", "a", "label", "extra").collect()]
     assert rows == [
         ("Friday", "5", "x", "e"),
-        ("Monday.pcap_ISCX", "1", None, None),
-        ("Monday.pcap_ISCX", "2", None, None),
-        ("Monday.pcap_ISCX", None, "BENIGN", None),
+        ("Monday.v2", "1", None, None),
+        ("Monday.v2", "2", None, None),
+        ("Monday.v2", None, "BENIGN", None),
     ]
     assert [r[0] for r in df.select("row_id").collect()] == [
         0, 1 << FILE_BITS, (1 << FILE_BITS) + 1, (1 << FILE_BITS) + 2
     ]
     stats = {r["source_file"]: (r["rows"], r["columns"]) for r in ingest_statistics(df).collect()}
-    assert stats == {"Friday": (1, 4), "Monday.pcap_ISCX": (3, 4), "TOTAL": (4, 4)}
+    assert stats == {"Friday": (1, 4), "Monday.v2": (3, 4), "TOTAL": (4, 4)}
     assert source_names(df).count() == 2
 
 
