@@ -126,6 +126,13 @@ def test_adasyn_needs_foreign_neighbours(spark):
         balance.resample(df, "y", ["a"], "adasyn")
 
 
+def test_adasyn_with_nothing_to_share(spark):
+    near = [(i, i % 2, float(i)) for i in range(40)] + [(40, 0, 40.5)]
+    df = spark.createDataFrame(near, "row_id bigint, y int, a double")
+    with pytest.raises(ValueError):
+        balance.resample(df, "y", ["a"], "adasyn")
+
+
 def test_cleaning_methods(frame, points):
     x, y = points
     near, _ = brute(x, 3)
