@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, replace
-from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -350,11 +349,12 @@ def hash_quota(
     rows = df.select(F.col(group).alias("_g"), digest.alias("_h"))
     while open_groups:
         length = len(next(iter(prefix.values())))
-        known = reduce(
-            lambda a, b: a | b,
-            [(F.col("_g") == F.lit(g)) & F.col("_h").startswith(p) for g, p in prefix.items()],
-        )
-        here = rows.filter(known)
+        here = rows.filter(F.col("_g").isin(list(open_groups)))
+        if length:
+            # one mention of the digest: a filter pushed below it would repeat each one
+            here = here.filter(
+                F.substring("_h", 1, length) == by_literal(F.col("_g"), prefix)
+            )
         largest = max(inside.values())
         if largest <= direct_rows:
             ranked = here.withColumn(
