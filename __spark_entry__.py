@@ -7,14 +7,19 @@ given tables are clean. Floats are rounded to 6 places; a missing value is NULL.
 
 from __future__ import annotations
 
+import sys
+import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.config import Config
-from sievewright.functions.names import normalise_columns
-from sievewright.operators import (
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
+from sievewright.config import Config  # noqa: E402
+from sievewright.functions.names import normalise_columns  # noqa: E402
+from sievewright.operators import (  # noqa: E402
     balance,
     clean,
     labels,
@@ -26,11 +31,11 @@ from sievewright.operators import (
     select,
     split,
 )
-from sievewright.plans.prepare import prepare
-from sievewright.plans.train import train_and_evaluate
-from sievewright.session import stage, staging_root
-from sievewright.sources import csv, tables
-from sievewright.streaming import apply as streams
+from sievewright.plans.prepare import prepare  # noqa: E402
+from sievewright.plans.train import train_and_evaluate  # noqa: E402
+from sievewright.session import stage, staging_root  # noqa: E402
+from sievewright.sources import csv, tables  # noqa: E402
+from sievewright.streaming import apply as streams  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1155,8 +1160,6 @@ def sample_rows(spark, sf_dir):
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    import uuid
-
     return f"{staging_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 

@@ -10,15 +10,20 @@ returns at most k candidates per row; a per-row top-k merges them.
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievewright.functions.hashing import row_hash
 from sievewright.session import small_table, stage
 
+# ship the task functions below with the job, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BLOCK_ROWS = 4096
 CELL_ROWS = 50_000
 MAX_PIVOTS = 512
