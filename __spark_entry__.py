@@ -1355,6 +1355,26 @@ def prepare_dataset_summary(spark, sf_dir):
 # -- contract ---------------------------------------------------------------------------------------------------------
 
 
+try:
+    import sievewright.llm.queries as _llm
+except ModuleNotFoundError as _missing:  # the subpackage may be left out; anything else missing is an error
+    if not (_missing.name or "").startswith("sievewright.llm"):
+        raise
+else:
+    QUERIES.update(_llm.QUERIES)
+    ORACLES.update(_llm.ORACLES)
+
+try:
+    import corpus_pipeline as _corpus
+except ModuleNotFoundError as _missing:
+    if _missing.name != "corpus_pipeline" and not (_missing.name or "").startswith("sievewright.llm"):
+        raise
+else:
+    QUERIES["pipeline"] = _corpus.run
+    if _corpus.ORACLE_SQL:
+        ORACLES["pipeline"] = _corpus.ORACLE_SQL
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Order lines through the whole preparation, summed up per split and class."""
     return prepare_dataset_summary(spark, "/root/testdata/sf0.001")
