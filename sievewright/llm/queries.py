@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import shard
+from sievewright.llm import pii, shard
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,3 +41,15 @@ def op2_shard(spark, sf_dir):
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query("op7_pii")
+def op7_pii(spark, sf_dir):
+    """Personal data in every document: base counts and digest, and all spans."""
+    found = pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("pii", lambda x: x["rank"] < len(pii.BASE))
+    count = {k: F.expr(f"cast(size(filter(pii, x -> x.kind = '{k}')) as long)") for k in pii.BASE}
+    return found.select(
+        "doc_id", *[n.alias(f"n_{k}") for k, n in count.items()],
+        F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined("pii").alias("spans"),
+    )
