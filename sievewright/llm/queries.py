@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import pii, shard
+from sievewright.llm import imatch, pii, shard
+from sievewright.llm.following import with_next
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,3 +54,24 @@ def op7_pii(spark, sf_dir):
         "doc_id", *[n.alias(f"n_{k}") for k, n in count.items()],
         F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined("pii").alias("spans"),
     )
+
+
+@query("op10_imatch")
+def op10_imatch(spark, sf_dir):
+    """Fingerprints of every document and of its edited text, and how alike they are."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    words = imatch.lexicon(docs)
+    own = imatch.with_fingerprint(docs, words, "text", "fingerprint").withColumn("hash", F.xxhash64("text"))
+    both = with_next(own, "doc_id", "hash", ["text", "fingerprint"])
+    half = "length(text) div 2"
+    edited = F.expr(f"concat(substring(text, 1, length(text) - {half}), substring(next_text, 1, {half}))")
+    rows = both.select(
+        "doc_id", "fingerprint", "next_fingerprint", F.length("text").cast("long").alias("n_chars"),
+        edited.alias("edited"),
+    )
+    done = imatch.with_fingerprint(rows, words, "edited", "edited_fingerprint")
+    return done.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        imatch.likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
+        imatch.likeness("fingerprint", "next_fingerprint").alias("near_next"),
+    )
