@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import imatch, pii, shard
+from sievewright.llm import imatch, minhash, pii, shard
 from sievewright.llm.following import with_next
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,3 +75,28 @@ def op10_imatch(spark, sf_dir):
         imatch.likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
         imatch.likeness("fingerprint", "next_fingerprint").alias("near_next"),
     )
+
+
+NEAR_SQL = r"""with recursive docs as (
+        select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda v: v <> '') as w from documents),
+    parts as materialized (select doc_id, unnest(list_distinct(case when len(w) >= 5
+            then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+            when len(w) > 0 then [array_to_string(w, ' ')] else [] end)) as part from docs),
+    sizes as materialized (select doc_id, count(*) as n from parts group by 1),
+    common as (select x.doc_id as a, y.doc_id as b, count(*) as c from parts x join parts y on x.part = y.part
+            where x.doc_id < y.doc_id group by 1, 2),
+    links as materialized (select a, b from common join sizes p on p.doc_id = a join sizes q on q.doc_id = b
+            where 100 * c >= 75 * (p.n + q.n - c)),
+    sides as materialized (select a, b from links union select b, a from links),
+    reach as (select doc_id as node, doc_id as seen from documents
+            union select reach.node, sides.b from reach join sides on reach.seen = sides.a),
+    least as (select node, min(seen) as component_id from reach group by 1)
+    select d.doc_id, coalesce(n, 0) as n_shingles, component_id, d.doc_id = component_id as kept
+    from documents d join least on node = d.doc_id left join sizes s on s.doc_id = d.doc_id"""
+
+
+@query("op4_minhash", NEAR_SQL)
+def op4_minhash(spark, sf_dir):
+    """Near-duplicate components of all documents."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
