@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import imatch, minhash, pii, shard
+from sievewright.llm import imatch, langid, minhash, pii, shard
 from sievewright.llm.following import with_next
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,3 +100,11 @@ NEAR_SQL = r"""with recursive docs as (
 def op4_minhash(spark, sf_dir):
     """Near-duplicate components of all documents."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op5_langid")
+def op5_langid(spark, sf_dir):
+    """Language of every document; a third of the documents is held out of training."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id")))
+    model = langid.train(docs.filter("not held_out"))
+    return langid.predict(docs, model, keep=["doc_id", "held_out"])
