@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import imatch, langid, minhash, pii, shard
+from sievewright.llm import egojoin, imatch, langid, minhash, pii, shard
 from sievewright.llm.following import with_next
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,3 +108,24 @@ def op5_langid(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id")))
     model = langid.train(docs.filter("not held_out"))
     return langid.predict(docs, model, keep=["doc_id", "held_out"])
+
+
+VECTOR_SQL = """with recursive v as materialized (select vec_id, label, embedding::double[] as e from embeddings
+            where label is not null and embedding is not null
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+              and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    links as materialized (select x.vec_id as a, y.vec_id as b from v x join v y on x.label = y.label
+            and x.vec_id <> y.vec_id and len(x.e) = len(y.e)
+            where list_cosine_similarity(x.e, y.e) >= 0.93),
+    reach as (select vec_id as node, vec_id as seen from embeddings
+            union select reach.node, links.b from reach join links on reach.seen = links.a),
+    least as (select node, min(seen) as component_id from reach group by 1),
+    sums as (select a, count(*) as n from links group by 1)
+    select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept
+    from embeddings join least on node = vec_id left join sums on a = vec_id"""
+
+
+@query("op8_egojoin", VECTOR_SQL)
+def op8_egojoin(spark, sf_dir):
+    """Links and components of all embeddings with equal labels."""
+    return egojoin.similar_vectors(table(spark, sf_dir, "embeddings"))
