@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import egojoin, imatch, langid, minhash, pii, shard
+from sievewright.llm import egojoin, imatch, langid, minhash, pii, shard, warc
 from sievewright.llm.following import with_next
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,3 +129,19 @@ VECTOR_SQL = """with recursive v as materialized (select vec_id, label, embeddin
 def op8_egojoin(spark, sf_dir):
     """Links and components of all embeddings with equal labels."""
     return egojoin.similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    "op6_warc",
+    """with p as (select page_id, coalesce(html, '') as h from pages),
+            d as (select page_id, strlen(h) as payload_bytes, sha256(h) as payload_digest from p),
+            f as (select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) end as m from d)
+       select page_id, payload_bytes, payload_digest,
+              case when m <> page_id then 'revisit' else 'response' end as record_type,
+              case when m <> page_id then m end as refers_to from f""",
+)
+def op6_warc(spark, sf_dir):
+    """All pages written as web archives and fetched again through the capture index."""
+    pages = table(spark, sf_dir, "pages")
+    back = warc.write_archive(pages).fetch(pages.select("url"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
