@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import egojoin, imatch, langid, minhash, pii, shard, warc
+from sievewright.llm import egojoin, imatch, langid, minhash, mix, pieces, pii, shard, warc
 from sievewright.llm.following import with_next
 
+#: The folder of the public vocabularies is a parameter: a package that knows it, or a path.
+PIECES = "piece_bpe_32k.model"
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +32,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def shuffled(*columns: str) -> list[Column]:
+    """A reproducible order without regard to content."""
+    return [F.xxhash64(F.lit("mix"), *columns), *[F.col(c) for c in columns]]
+
+
+@query("op1_mix")
+def op1_mix(spark, sf_dir):
+    """All documents mixed: sources to the power 0.7 of their size, in blocks of eight rows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mix.mix_sources(docs, shuffled("doc_id")).select("position", "doc_id", "source", "pass")
+
+
 @query("op2_shard")
 def op2_shard(spark, sf_dir):
     """Shard and slot of every document; the law is `rows`: counts at most one apart."""
@@ -145,3 +166,17 @@ def op6_warc(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     back = warc.write_archive(pages).fetch(pages.select("url"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op9_pieces")
+def op9_pieces(spark, sf_dir):
+    """Every document encoded into pieces and decoded again."""
+    vocabulary = pieces.load(vocabulary_path(PIECES))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = pieces.encode(docs, vocabulary, keep=["doc_id"])
+    back = pieces.decode(coded, vocabulary, keep=["doc_id", "ids"])
+    return back.select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), F.length("decoded").cast("long").alias("decoded_chars"),
+    )
