@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import sys
+import zlib
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import egojoin, imatch, langid, minhash, mix, pieces, pii, shard, warc
+from sievewright.llm import egojoin, idfiles, imatch, langid, minhash, mix, pieces, pii, shard, warc
 from sievewright.llm.following import with_next
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: The folder of the public vocabularies is a parameter: a package that knows it, or a path.
 PIECES = "piece_bpe_32k.model"
+WORD_TOKENS = "word_bpe_49k.json"
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -180,3 +186,17 @@ def op9_pieces(spark, sf_dir):
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"), F.length("decoded").cast("long").alias("decoded_chars"),
     )
+
+
+def crc_of_ids(ids) -> tuple[int]:
+    return (zlib.crc32(ids.astype("<u4").tobytes()),)
+
+
+@query("op3_idcoder")
+def op3_idcoder(spark, sf_dir):
+    """Token ids of every document written as range-coded files, and read from them."""
+    with open(vocabulary_path(WORD_TOKENS)) as source:
+        definition = source.read()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    files = idfiles.write_ids(docs, definition)
+    return files.read(crc_of_ids, "ids_crc32 long").withColumnRenamed("key", "doc_id")
