@@ -13,7 +13,7 @@ from sievewright.session import stage
 def number_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``df`` staged in ``order`` with a gapless long column ``name`` starting at 0.
 
-    The table is range-partitioned and sorted within partitions, written once, and the sizes of
+    ``order`` holds expressions that sort ascending, NULLs first. The table is range-partitioned and sorted within partitions, written once, and the sizes of
     the earlier partitions (one number each) are added when it is read. The position in the input
     is the last sort key: copies of one row, however many, spread over several partitions.
     An empty table stays empty.
