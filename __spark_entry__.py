@@ -788,7 +788,7 @@ def knn_within_class(spark, sf_dir):
 
 @query(
     "tomek_links",
-    f"""with n as (select vec_id, nn_id, la, lb from {_knn_sql(1, False, RARE)})
+    f"""with n as materialized (select vec_id, nn_id, la, lb from {_knn_sql(1, False, RARE)})
         select a.vec_id, a.nn_id from n as a join n as b
         on a.nn_id = b.vec_id and b.nn_id = a.vec_id where a.la <> a.lb""",
 )

@@ -87,17 +87,15 @@ def plan_oversampling(
     counts: dict, strategy: str | dict | float = "auto", min_class_samples: int = 6,
     k_neighbors: int = 5,
 ) -> Plan:
-    """Guard tiny classes: under ``auto`` they are neither grown nor allowed to be the aim.
+    """Rows to add per class. Under ``auto``, classes with too few rows to learn from are not grown.
 
-    The neighbour count follows the smallest class of all, tiny ones included.
+    The neighbour count follows the smallest class of all, such classes included.
     """
-    tiny = tuple(sorted(c for c, n in counts.items() if n < min_class_samples))
-    k = max(1, min(k_neighbors, min(counts.values()) - 1))
-    if strategy == "auto" and tiny:
-        top = max(counts.values())
-        strategy = {c: top for c, n in counts.items() if c not in tiny and n < top}
-    add = {c: n for c, n in over_targets(counts, strategy).items() if n > 0}
-    return Plan(add, k, tiny)
+    small = {c for c, n in counts.items() if n < min_class_samples}
+    spared = small if strategy == "auto" else set()
+    wanted = over_targets(counts, strategy)
+    k = sorted((1, max(1, k_neighbors), min(counts.values()) - 1))[1]
+    return Plan({c: n for c, n in wanted.items() if n > 0 and c not in spared}, k, tuple(sorted(small)))
 
 
 # -- drawing ---------------------------------------------------------------------------------
@@ -359,8 +357,8 @@ def resample(
             train.drop("split"), target, features, name, min_class_samples, k_neighbors,
             sampling_strategy, seed, key,
         )
-        done = _with_text_key(done, key).withColumn("split", F.lit("train"))
-        return done.unionByName(rest).select(df.columns)
+        return done.withColumn("split", F.lit("train")).unionByName(rest).select(df.columns)
+    df = _with_text_key(df, key)  # new rows have text keys: the type does not depend on the data
     if name == "random_over":
         return random_over(df, target, sampling_strategy, seed, key)
     if name == "random_under":

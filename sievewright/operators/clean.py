@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from sievewright.functions.names import normalise_columns, numeric_columns
 from sievewright.functions.numbers import INF, as_number, clamp, finite, is_infinite
 from sievewright.functions.ranks import quantiles
-from sievewright.session import small_table
+from sievewright.session import small_table, stage
 
 INF_STRATEGIES = ("nan", "clip")
 
@@ -83,62 +83,29 @@ def handle_infinities(
     return df.withColumns(clipped)
 
 
-DICTIONARY_LIMIT = 100_000
-
-
 def keep_first(
     df: DataFrame, order_by: str | list[str], ignore: Iterable[str] = ("source_file",)
 ) -> DataFrame:
     """One row per distinct content, the first in ``order_by``; NULL equals NULL.
 
-    A hash aggregate over the compared columns: copies collapse on the map side, so a row
-    that makes up a third of the table costs nothing extra. The aggregate needs no sort as
-    long as its buffers have fixed width, so an ignored text column with few values (a source
-    name) travels as a number and gets its text back afterwards.
+    An aggregate over the compared columns: copies collapse on the map side, so a row that makes up a
+    third of the table costs nothing extra. Ignored columns come from the same row; among rows equal in
+    ``order_by`` too, the smallest ignored columns are kept. Without ignored columns a single numeric key
+    needs no sort (its buffer has a fixed width), which is why ingest keeps the source inside the key.
     """
     order = [order_by] if isinstance(order_by, str) else list(order_by)
     carried = [c for c in df.columns if c in set(ignore) and c not in order]
     compared = [c for c in df.columns if c not in carried and c not in order]
-    if len(order) == 1:
-        coded, dictionaries = _with_codes(df, carried)
-        if coded is not None:
-            key = order[0]
-            first = coded.groupBy(*compared).agg(
-                F.min(key).alias(key),
-                *[F.min_by(f"_code_{c}" if c in dictionaries else c, key).alias(
-                    f"_code_{c}" if c in dictionaries else c) for c in carried],
-            )
-            for c, texts in dictionaries.items():
-                first = first.join(texts, f"_code_{c}", "left")
-            return first.select(*df.columns)
-    first = (
-        df.groupBy(*compared)
-        .agg(F.min(F.struct(*order, *carried)).alias("_first"))
-        .select(*compared, *[F.col(f"_first.{c}").alias(c) for c in [*order, *carried]])
-    )
+    kept = [*order, *carried]
+    if len(kept) == 1:
+        first = df.groupBy(*compared).agg(F.min(kept[0]).alias(kept[0]))
+    else:
+        first = df.groupBy(*compared).agg(F.min(F.struct(*kept)).alias("_first")).select(
+            *compared, *[F.col("_first")[c].alias(c) for c in kept]
+        )
     return first.select(*df.columns)
 
 
-def _with_codes(
-    df: DataFrame, columns: list[str]
-) -> tuple[DataFrame | None, dict[str, DataFrame]]:
-    """Replace text columns by numbers; None if one has too many values for a dictionary."""
-    dictionaries = {}
-    for c in columns:
-        if not isinstance(df.schema[c].dataType, T.StringType):
-            continue
-        found = df.select(c).filter(F.col(c).isNotNull()).distinct().limit(DICTIONARY_LIMIT + 1)
-        values = sorted(r[0] for r in found.collect())
-        if len(values) > DICTIONARY_LIMIT:
-            return None, {}
-        texts = small_table(
-            df.sparkSession, [(v, i) for i, v in enumerate(values)], "text string, code int"
-        ).toDF(c, f"_code_{c}")
-        df = df.join(texts, c, "left")
-        dictionaries[c] = texts
-    return df, dictionaries
-
-
 def drop_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """Drop the listed columns that exist."""
     return df.drop(*names)
@@ -217,6 +184,7 @@ def clean_dataframe(
     df = drop_columns(df, dropped)
     if do_clip_outliers:
         features = [c for c in numbers if c not in dropped]
+        df = stage(df, "clean")  # the fences are fitted in several passes
         df = clip_outliers(df, clip_factor, features, quantile_mode)
     return df
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.functions.text import normal_form, title_case
+from sievewright.session import small_table
 
 # Canonical spelling of every known label, keyed by its normal form.
 CANONICAL_LABELS = {
@@ -26,6 +27,23 @@ CANONICAL_LABELS = {
     "bot": "Bot",
 }
 BENIGN = "BENIGN"
+#: Labels become literals of the plan; a column with more distinct values is no label.
+MOST_LABELS = 5000
+
+
+def _few(df: DataFrame, what: str) -> list:
+    """Rows of a table that has one row per label."""
+    rows = df.limit(MOST_LABELS + 1).collect()
+    if len(rows) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} {what}")
+    return rows
+
+
+def _look_up(value: Column, table: dict) -> Column:
+    """A map literal: no join, so the table is not shuffled by its label."""
+    if not table:
+        return F.lit(None)
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), value)
 
 
 def require_column(df: DataFrame, name: str) -> None:
@@ -41,21 +59,16 @@ def normalise_labels(
     """Drop rows without a label and bring the rest to their canonical spelling.
 
     Unknown labels keep their own text in title case. ``mapping`` replaces the built-in table:
-    a dict becomes a map literal, a DataFrame ``(raw, canonical)`` of any size is left-joined.
+    a dict, or a DataFrame ``(raw, canonical)`` of at most `MOST_LABELS` normal forms; both become a literal.
     """
     require_column(df, label_column)
     df = df.filter(F.col(label_column).isNotNull())
     label = F.col(label_column).cast("string")
     if isinstance(mapping, DataFrame):
-        table = mapping.groupBy(normal_form(F.col("raw")).alias("_norm")).agg(
-            F.min("canonical").alias("_canonical")
-        )
-        joined = df.withColumn("_norm", normal_form(label)).join(table, "_norm", "left")
-        named = joined.withColumn(label_column, F.coalesce("_canonical", title_case(label)))
-        return named.select(*df.columns)
+        one = mapping.groupBy(normal_form(F.col("raw")).alias("norm")).agg(F.min("canonical").alias("canonical"))
+        mapping = {r["norm"]: r["canonical"] for r in _few(one, "label spellings") if r["norm"] is not None}
     known = CANONICAL_LABELS if mapping is None else mapping
-    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    canonical = F.try_element_at(table, normal_form(label))
+    canonical = _look_up(normal_form(label), known).cast("string")
     return df.withColumn(label_column, F.coalesce(canonical, title_case(label)))
 
 
@@ -80,30 +93,22 @@ def binary_target(
 def label_map(df: DataFrame, label_column: str = "label", benign: str = BENIGN) -> DataFrame:
     """``(label, code)``: the benign label first, the rest in code-point order, from 0.
 
-    The window sees one row per distinct label only.
+    Distinct labels are aggregated on the map side; more than `MOST_LABELS` are an error.
     """
-    order = Window.orderBy(F.col(label_column) != F.lit(benign), F.col(label_column))
-    return (
-        df.select(label_column)
-        .filter(F.col(label_column).isNotNull())
-        .distinct()
-        .select(
-            F.col(label_column).alias("label"), (F.row_number().over(order) - 1).alias("code")
-        )
-    )
+    found = _few(df.select(label_column).filter(F.col(label_column).isNotNull()).distinct(), "labels")
+    names = sorted((r[0] for r in found), key=lambda x: (x != benign, x))
+    kind = df.schema[label_column].dataType.simpleString()
+    return small_table(df.sparkSession, [(x, i) for i, x in enumerate(names)], f"label {kind}, code int")
 
 
 def multiclass_target(
     df: DataFrame, label_column: str = "label", target: str = "label_multi",
     mapping: DataFrame | None = None, benign: str = BENIGN,
 ) -> tuple[DataFrame, DataFrame]:
-    """Integer target and its label map.
-
-    The join side is one row per label; its size decides at run time whether it is broadcast.
-    """
+    """Integer target and its label map; labels outside the map have no code."""
     mapping = label_map(df, label_column, benign) if mapping is None else mapping
-    codes = mapping.select(F.col("label").alias(label_column), F.col("code").alias(target))
-    return df.join(codes, label_column, "left").select(*df.columns, target), mapping
+    codes = {r["label"]: r["code"] for r in _few(mapping.select("label", "code"), "labels")}
+    return df.withColumn(target, _look_up(F.col(label_column), codes).cast("int")), mapping
 
 
 def choose_target(

@@ -30,14 +30,14 @@ def missing_values(df: DataFrame, columns: list[str] | None = None) -> DataFrame
 
 
 def histogram(
-    df: DataFrame, columns: list[str] | None = None, bins: int = 50, max_features: int = 20
+    df: DataFrame, columns: list[str] | None = None, bins: int = 50
 ) -> DataFrame:
     """``(feature, bin, low, high, count)``: equal-width bins over each column's own range.
 
     Bins are half-open except the last; a constant column gets the unit range around its
     value. All rows count. Only filled bins are listed.
     """
-    columns = (numeric_columns(df) if columns is None else columns)[:max_features]
+    columns = numeric_columns(df) if columns is None else columns
     stats = []
     for i, c in enumerate(columns):
         value = F.col(c).cast("double")
@@ -62,7 +62,7 @@ def histogram(
         )
     if not cells:
         return small_table(
-        df.sparkSession,     [], "feature string, bin int, low double, high double, count bigint"
+            df.sparkSession, [], "feature string, bin int, low double, high double, count bigint"
         )
     counts = (
         df.select(F.explode(F.array(*cells)).alias("x"))

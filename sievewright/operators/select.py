@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
 from itertools import combinations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +18,7 @@ from sievewright.functions.ranks import quantiles, running_totals
 from sievewright.operators.scale import training_rows
 from sievewright.session import small_table, stage
 
-PAIRS_PER_PASS = 150
-GRAMIAN_FEATURES = 18
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def variance_table(df: DataFrame, features: list[str] | None = None) -> DataFrame:
@@ -42,64 +44,64 @@ def variance_filter(
 def correlation_matrix(df: DataFrame, features: list[str] | None = None) -> DataFrame:
     """Pearson correlation of every ordered pair as ``(i, j, feature_i, feature_j, r)``, i < j.
 
-    Pairs count rows where both values are present; r is NULL if either side is constant
-    there. Many complete columns go through one Gramian pass; few columns, or columns with
-    gaps, through aggregates, so many pairs per pass.
+    Pairs count rows where both values are present; r is NULL if either side is constant there. Two passes for any
+    number of columns, with gaps or without: means, then sums of products around them, which tasks form as matrix
+    products of bounded batches and Spark adds up.
     """
     features = numeric_columns(df) if features is None else features
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in features])
-    shape = data.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(features)],
-        *[(F.min(F.col(c)) == F.max(F.col(c))).alias(f"k{i}") for i, c in enumerate(features)],
-    ).first()
-    varying = [i for i in range(len(features)) if shape[f"k{i}"] is False]
-    gaps = {i for i in varying if shape[f"n{i}"] < shape["n"]}
-    if not gaps and len(varying) > GRAMIAN_FEATURES:
-        found = _gramian_pairs(data, features, varying)
-    else:
-        found = _aggregate_pairs(data, features, varying, gaps)
-    rows = [
-        (i, j, features[i], features[j], found.get((i, j)))
-        for i, j in combinations(range(len(features)), 2)
-    ]
-    return small_table(
-        df.sparkSession, rows, "i int, j int, feature_i string, feature_j string, r double"
+    data = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(features)])
+    schema = "i int, j int, feature_i string, feature_j string, r double"
+    if not features:
+        return small_table(df.sparkSession, [], schema)
+    means = data.agg(*[F.avg(F.nanvl(F.col(c), F.lit(None))).alias(c) for c in data.columns]).first()
+    centre = np.array([0.0 if m is None or not np.isfinite(m) else m for m in means])
+    sums = data.mapInArrow(_products(centre), "i int, j int, n double, x double, y double, xx double, yy double,"
+                           " xy double, xlo double, xhi double, ylo double, yhi double")
+    total = sums.groupBy("i", "j").agg(
+        *[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")],
+        *[F.min(c).alias(c) for c in ("xlo", "ylo")], *[F.max(c).alias(c) for c in ("xhi", "yhi")],
     )
+    around = F.col("xy") - F.col("x") * F.col("y") / F.col("n")
+    spread = F.sqrt(F.col("xx") - F.col("x") ** 2 / F.col("n")) * F.sqrt(F.col("yy") - F.col("y") ** 2 / F.col("n"))
+    varies = (F.col("xlo") < F.col("xhi")) & (F.col("ylo") < F.col("yhi"))
+    known = total.select("i", "j", F.when(varies, F.try_divide(around, spread)).alias("r"))
+    pairs = [(i, j, features[i], features[j]) for i, j in combinations(range(len(features)), 2)]
+    listed = small_table(df.sparkSession, pairs, "i int, j int, feature_i string, feature_j string")
+    return listed.join(known, ["i", "j"], "left").select("i", "j", "feature_i", "feature_j", "r")
+
+
+def _products(centre: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per task and pair: rows with both values, sums of x, y and their products, least and largest values."""
+        d = len(centre)
+        sums, least = np.zeros((4, d, d)), np.full((d, d), np.inf)
+        most = -least
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2048):
+                part = batch.slice(start, 2048)
+                x = np.stack([c.to_numpy(zero_copy_only=False) for c in part.columns], axis=1).astype(float) - centre
+                there = ~np.isnan(x)
+                filled, mask = np.where(there, x, 0.0), there.astype(float)
+                sums += (mask.T @ mask, filled.T @ mask, (filled**2).T @ mask, filled.T @ filled)
+                # least and largest x of column i over the rows where column j is present
+                low, high = np.where(there, x, np.inf).min(axis=0), np.where(there, x, -np.inf).max(axis=0)
+                full = there.all(axis=0)
+                least[:, full] = np.minimum(least[:, full], low[:, None])
+                most[:, full] = np.maximum(most[:, full], high[:, None])
+                for j in np.flatnonzero(~full):
+                    rows = x[there[:, j]]
+                    if len(rows):
+                        least[:, j] = np.minimum(least[:, j], np.where(np.isnan(rows), np.inf, rows).min(axis=0))
+                        most[:, j] = np.maximum(most[:, j], np.where(np.isnan(rows), -np.inf, rows).max(axis=0))
+        i, j = np.triu_indices(d, 1)
+        n, x, xx, xy = sums
+        values = [n[i, j], x[i, j], x[j, i], xx[i, j], xx[j, i], xy[i, j], least[i, j], most[i, j], least[j, i], most[j, i]]
+        names = ["i", "j", "n", "x", "y", "xx", "yy", "xy", "xlo", "xhi", "ylo", "yhi"]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(i, pa.int32()), pa.array(j, pa.int32()), *[pa.array(v) for v in values]], names=names
+        )
 
-
-def _gramian_pairs(data, features, varying):
-    vectors = VectorAssembler(inputCols=[features[i] for i in varying], outputCol="_v")
-    matrix = Correlation.corr(vectors.transform(data).select("_v"), "_v").head()[0].toArray()
-    return {
-        (varying[a], varying[b]): float(matrix[a, b])
-        for a, b in combinations(range(len(varying)), 2)
-    }
-
-
-def _aggregate_pairs(data, features, varying, gaps):
-    """Only a partner with gaps restricts the rows a deviation is taken over."""
-
-    def deviation(i, j):
-        x = F.col(features[i])
-        if j not in gaps:
-            return F.stddev_pop(x)
-        shared = F.when(F.col(features[j]).isNotNull(), x)
-        return F.when(F.max(shared) > F.min(shared), F.stddev_pop(shared))
-
-    found = {}
-    pairs = list(combinations(varying, 2))
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        part = pairs[start : start + PAIRS_PER_PASS]
-        exprs = [
-            F.try_divide(
-                F.covar_pop(features[i], features[j]), deviation(i, j) * deviation(j, i)
-            ).alias(f"r{i}_{j}")
-            for i, j in part
-        ]
-        row = data.agg(*exprs).first()
-        found.update({(i, j): row[f"r{i}_{j}"] for i, j in part})
-    return found
+    return run
 
 
 def correlated_features(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sievewright.functions.ranks import at_or_after, hash_quota
 from sievewright.operators.labels import require_column
 
+# Keywords of the day names in source files, by split.
 DAY_ASSIGNMENT = {
     "train": ["monday", "tuesday", "wednesday", "thursday"],
     "val": [],
@@ -108,15 +109,12 @@ def split_dataset(
     key: str = "row_id", order_by: str | list[str] | None = None,
 ) -> DataFrame:
     """Split by strategy name; the source tag is dropped because it is not a feature."""
-    chosen = strategy.lower().strip()
-    if chosen == "random":
-        done = stratified_split(df, target, test_size, val_size, seed, key)
-    elif chosen == "day_based":
-        done = day_split(df, day_assignment)
-    elif chosen == "time_based":
-        done = ordered_split(df, order_by or key, test_size, val_size)
-    else:
-        raise ValueError(
-            f"unknown split strategy {strategy!r}; use random, day_based or time_based"
-        )
-    return done.drop("source_file")
+    ways = {
+        "random": lambda: stratified_split(df, target, test_size, val_size, seed, key),
+        "day_based": lambda: day_split(df, day_assignment),
+        "time_based": lambda: ordered_split(df, order_by or key, test_size, val_size),
+    }
+    way = ways.get(strategy.lower().strip())
+    if way is None:
+        raise ValueError(f"no split is called {strategy!r}, only {', '.join(sorted(ways))}")
+    return way().drop("source_file")

@@ -13,9 +13,9 @@ from sievewright.functions.names import numeric_columns
 from sievewright.operators import balance, labels, scale, select
 from sievewright.operators.clean import clean_dataframe, clip_outliers
 from sievewright.operators.split import split_dataset
-from sievewright.session import small_table, stage
+from sievewright.session import small_table, stage, stage_counted
 from sievewright.sources import tables
-from sievewright.sources.csv import FILE_BITS, read_folder, source_names
+from sievewright.sources.csv import FILE_BITS, file_sources, read_folder
 
 TARGETS = ("label_binary", "label_multi")
 
@@ -68,10 +68,9 @@ def prepare(raw: DataFrame, config: Config | None = None, sources: DataFrame | N
         carried, "row_id", cleaning.columns_to_drop, cleaning.replace_inf_with,
         cleaning.remove_duplicates, False, cleaning.clip_factor, label, mode, cleaning.compat,
     )
-    clean = stage(clean, "clean")
+    clean, rows = stage_counted(clean, "clean")
     not_features = {"row_id", "source_file", label, *TARGETS, "split"}
     features = [c for c in numeric_columns(clean) if c not in not_features]
-    rows = clean.count()
     if clip_all:
         clean = clip_outliers(clean, cleaning.clip_factor, features, mode)
     if sources is not None:
@@ -147,10 +146,10 @@ def prepare_folder(spark: SparkSession, folder: str, config: Config | None = Non
     config = config or Config()
     started = time.time()
     raw = read_folder(
-        spark, folder, config.ingest.encoding, config.ingest.fallback_encoding
+        spark, folder, config.ingest.encoding, config.ingest.fallback_encoding,
+        multi_line=config.ingest.multi_line,
     )
-    sources = stage(source_names(raw), "sources")
-    done = prepare(raw, config, sources)
+    done = prepare(raw, config, file_sources(spark, folder))
     done.summary.insert(0, ("ingest", "columns", str(len(raw.columns) - 1)))
     done.summary.insert(0, ("ingest", "rows", str(raw.count())))
     done.note("run", "seconds", round(time.time() - started, 1))

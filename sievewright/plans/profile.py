@@ -24,7 +24,7 @@ def profile_splits(
         "missing_train": missing_values(train, features),
         "missing_test": missing_values(test, features),
         "histograms": histogram(train, features),
-        "correlations": correlation_matrix(train, features[:30]),
+        "correlations": correlation_matrix(train, features),
         "leakage": leakage_columns(train.select(features)),
     }
 

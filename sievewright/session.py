@@ -22,6 +22,7 @@ def local_session(cores: int | str = "*", app: str = "sievewright", **conf: str)
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.driver.memory": "12g",
         "spark.ui.enabled": "false",
+        "spark.checkpoint.dir": os.path.join(tempfile.gettempdir(), "sievewright"),
         # no call-site capture per column expression: wide plans build several times faster
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
@@ -35,17 +36,21 @@ def local_session(cores: int | str = "*", app: str = "sievewright", **conf: str)
 
 
 def staging_root(spark: SparkSession) -> str:
-    """Shared folder for staged tables, as named by the session.
+    """Shared folder for staged tables: ``spark.checkpoint.dir``, else a folder in the session's warehouse.
 
-    A machine-local folder is only made up for local masters, where every task can see it.
+    What an application stages there goes when its session's JVM ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="sievewright-")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staging"
         spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+    root = root.rstrip("/")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{spark.sparkContext.applicationId}")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return root
 
 
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -57,6 +62,16 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.createDataFrame(pa.Table.from_arrays(arrays, names=fields.names), fields)
 
 
+def stage_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """`stage` and the number of rows written, from the footers of the written files.
+
+    Not by `observe`: once a session has observed a frame, model functions that hold on to the session can no
+    longer be sent to tasks.
+    """
+    staged = stage(df, name)
+    return staged, staged.count()
+
+
 def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to a new table in the staging folder and read it back.
 

@@ -24,7 +24,6 @@ from sievewright.session import small_table, stage
 
 CORRUPT = "_corrupt_record"
 FILE_BITS = 40  # row_id = file number * 2^40 + line number; both stay positive BIGINTs
-BROADCAST_BLOCKS = 2_000_000  # some 200 MB; more blocks than that are joined by shuffle
 BYTES = "ISO-8859-1"  # maps every byte to one character and back
 # UTF-8 can fail on a file; the single-byte charsets accept every file.
 CHARSETS = {"utf-8": "UTF-8", "utf8": "UTF-8", "latin-1": BYTES, "latin1": BYTES,
@@ -83,6 +82,10 @@ def _decode(raw: bytes, encoding: str, fallback: str) -> str:
         return raw.decode(fallback)
 
 
+def _stem(name: str) -> str:
+    return name.rsplit(".", 1)[0] if "." in name[1:] else name
+
+
 def _sources(
     spark: SparkSession, paths: list[str], encoding: str, fallback: str, tidy: bool
 ) -> list[SourceFile]:
@@ -95,14 +98,23 @@ def _sources(
         name = posixpath.basename(path)
         # file metadata columns carry the URI form of the name
         uri = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).toUri().toString()
-        stem = name.rsplit(".", 1)[0] if "." in name[1:] else name
         files.append(
-            SourceFile(number, path, posixpath.basename(uri), stem, tuple(tidy_names(names) if tidy else names))
+            SourceFile(number, path, posixpath.basename(uri), _stem(name), tuple(tidy_names(names) if tidy else names))
         )
     return files
 
 
-def _scan(spark: SparkSession, files: list[SourceFile]) -> DataFrame:
+def _refuse_open_quotes(spark: SparkSession, files: list[SourceFile]) -> None:
+    """A line with an odd number of quotes is part of a record that goes on: read as lines it would be wrong."""
+    lines = spark.read.text([f.path for f in files]).select("value", F.col("_metadata.file_name").alias("file"))
+    found = lines.filter(F.regexp_count("value", F.lit('"')) % 2 == 1).limit(1).collect()
+    if found:
+        raise ValueError(
+            f"{found[0]['file']}: a quoted field goes on in the next line ({found[0]['value'][:80]!r}); use multi_line=True"
+        )
+
+
+def _scan(spark: SparkSession, files: list[SourceFile], multi_line: bool) -> DataFrame:
     """Files of one header: string columns, position, and per row whether its bytes are UTF-8.
 
     Lines with too many fields are dropped, short ones padded with NULL. The reader flags
@@ -118,6 +130,8 @@ def _scan(spark: SparkSession, files: list[SourceFile]) -> DataFrame:
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
         .option("enforceSchema", True)
+        .option("escape", '"')  # a doubled quote inside quotes is a quote
+        .option("multiLine", multi_line)
         .csv([f.path for f in files])
     )
     flagged = F.col(CORRUPT)
@@ -135,13 +149,14 @@ def _scan(spark: SparkSession, files: list[SourceFile]) -> DataFrame:
 
 def read_folder(
     spark: SparkSession, folder: str, encoding: str = "utf-8", fallback_encoding: str = "latin-1",
-    pattern: str = "*.csv", tidy: bool = True,
+    pattern: str = "*.csv", tidy: bool = True, multi_line: bool = False,
 ) -> DataFrame:
     """All files of a folder by column name, as strings, with ``source_file`` and ``row_id``.
 
     ``row_id`` grows with file name and line. A file is decoded with ``encoding`` if all its
     bytes allow that, else with ``fallback_encoding``. NA texts are NULL. Files with different
-    headers are united by (tidy) name, missing columns NULL.
+    headers are united by (tidy) name, missing columns NULL. Line breaks inside quotes need ``multi_line``, which
+    reads each file in one task; without it such a file is an error.
     """
     strict, loose = _charset(encoding), _charset(fallback_encoding)
     files = _sources(spark, discover_files(spark, folder, pattern), encoding, fallback_encoding,
@@ -149,7 +164,9 @@ def read_folder(
     by_header: dict[tuple, list[SourceFile]] = {}
     for f in files:
         by_header.setdefault(f.header, []).append(f)
-    scans = [_scan(spark, group) for group in by_header.values()]
+    if not multi_line:
+        _refuse_open_quotes(spark, files)
+    scans = [_scan(spark, group, multi_line) for group in by_header.values()]
     united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
     staged = stage(united, "ingest")
     names = [c for c in dict.fromkeys(n for f in files for n in f.header)]
@@ -171,8 +188,6 @@ def read_folder(
         "_file string, _number bigint, source_file string",
     )
     places = stage(numbered.join(listed.join(valid, "_file", "left"), "_file"), "ingest-blocks")
-    if places.count() <= BROADCAST_BLOCKS:
-        places = F.broadcast(places)
 
     def decoded(name: str):
         text = F.col("`" + name.replace("`", "``") + "`")
@@ -199,6 +214,12 @@ def read_folder(
     )
 
 
+def file_sources(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
+    """``(file_number, source_file)`` of a folder, from the list of its files alone."""
+    names = [_stem(posixpath.basename(p)) for p in discover_files(spark, folder, pattern)]
+    return small_table(spark, list(enumerate(names)), "file_number bigint, source_file string")
+
+
 def source_names(df: DataFrame) -> DataFrame:
     """``(file_number, source_file)``; the number is also in the high bits of ``row_id``."""
     return df.select(

@@ -48,14 +48,13 @@ def test_first_copy_survives(spark):
 
 
 def test_keep_first_is_a_hash_aggregate(spark, capsys):
-    df = spark.createDataFrame([(1, "s", 2.0, "t")], "row_id bigint, source_file string, v double, t string")
+    df = spark.createDataFrame([(1, 2.0, "t")], "row_id bigint, v double, t string")
     clean.keep_first(df, "row_id").explain()
     plan = capsys.readouterr().out
     assert "HashAggregate" in plan and "SortAggregate" not in plan and "Window" not in plan
 
 
-def test_many_sources_fall_back(spark, monkeypatch):
-    monkeypatch.setattr(clean, "DICTIONARY_LIMIT", 1)
+def test_ignored_columns_come_from_the_first_row(spark):
     df = spark.createDataFrame([(2, "a", 1), (1, "b", 1), (3, "c", 2)], "row_id bigint, source_file string, v int")
     assert sorted(tuple(r) for r in clean.keep_first(df, "row_id").collect()) == [(1, "b", 1), (3, "c", 2)]
 
