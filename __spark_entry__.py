@@ -31,7 +31,8 @@ from sievewright.operators import (  # noqa: E402
     select,
     split,
 )
-from sievewright.plans.prepare import prepare  # noqa: E402
+from sievewright.plans.prepare import prepare, write_prepared  # noqa: E402
+from sievewright.plans.prepare import prepare_folder as run_folder  # noqa: E402
 from sievewright.plans.train import train_and_evaluate  # noqa: E402
 from sievewright.session import stage, staging_root  # noqa: E402
 from sievewright.sources import csv, tables  # noqa: E402
@@ -807,7 +808,6 @@ def enn_filter(spark, sf_dir):
 
 
 UNIT = "(('0x' || substr(md5(concat_ws('|', {0})), 16, 13))::bigint / 4503599627370496::double)"
-SHOWN = ", ".join(f"round(e{i}, 6) as e{i}" for i in (0, 1, 31, 63))
 
 
 def _smote_ctes() -> str:
@@ -830,14 +830,14 @@ def _smote_ctes() -> str:
 
 
 def _shown_sql(source: str, where: str = "") -> str:
-    shown = ", ".join(f"round(embedding[{i + 1}], 6) as e{i}" for i in (0, 1, 31, 63))
+    shown = ", ".join(f"round(embedding[{i + 1}], 6) as {c}" for i, c in enumerate(VECTOR))
     return f"select vec_id, label, {shown} from {source} {where}"
 
 
 def _resample_query(method: str, source: Query = embedded) -> Query:
     def run(spark, sf_dir):
         done = balance.resample(source(spark, sf_dir), "label", VECTOR, method, key="vec_id")
-        return rounded(done.select("vec_id", "label", "e0", "e1", "e31", "e63"), "e0", "e1", "e31", "e63")
+        return rounded(done.select("vec_id", "label", *VECTOR), *VECTOR)
 
     return run
 
@@ -879,6 +879,46 @@ query(
 )(_resample_query("adasyn", rare))
 
 
+@query(
+    "sampling_strategies",
+    """with c as (select event_type as label, count(*) as n from events group by 1),
+            t as (select max(n) as top, min(n) as least, min(label) filter (where n = (select max(n) from c)) as largest,
+                         min(label) filter (where n = (select min(n) from c)) as smallest from c)
+       select 'over minority' as way, label, case when label = smallest then top else n end as count from c, t
+       union all select 'over not majority', label, case when label <> largest then top else n end from c, t
+       union all select 'over dict', label, case when label = 'error' then 5000 else n end from c
+       union all select 'under majority', label, case when label = largest then least else n end from c, t
+       union all select 'under all', label, least from c, t
+       union all select 'under dict', label, case when label = 'click' then 100 else n end from c""",
+)
+def sampling_strategies(spark, sf_dir):
+    """Class sizes after random sampling by every kind of strategy."""
+    rows = table(spark, sf_dir, "events").selectExpr("event_id", "event_type as label")
+    ways = {
+        "over minority": (balance.random_over, "minority"), "over not majority": (balance.random_over, "not majority"),
+        "over dict": (balance.random_over, {"error": 5000}), "under majority": (balance.random_under, "majority"),
+        "under all": (balance.random_under, "all"), "under dict": (balance.random_under, {"click": 100}),
+    }
+    found = None
+    for way, (sample, strategy) in ways.items():
+        done = sample(rows, "label", strategy, key="event_id").groupBy("label").count()
+        done = done.select(F.lit(way).alias("way"), "label", "count")
+        found = done if found is None else found.unionByName(done)
+    return found
+
+
+@query(
+    "smote_tiny_class",
+    """with r as (select vec_id, case when vec_id < 3 then 99 else label end as label from embeddings),
+            c as (select label, count(*) as n from r group by 1)
+       select label, case when label = 99 then n else (select max(n) from c) end as count from c""",
+)
+def smote_tiny_class(spark, sf_dir):
+    """A class of three rows is left alone and lowers the number of neighbours for all."""
+    rows = embedded(spark, sf_dir).withColumn("label", F.when(F.col("vec_id") < 3, 99).otherwise(F.col("label")))
+    return balance.resample(rows, "label", VECTOR, "smote", key="vec_id").groupBy("label").count()
+
+
 # -- metrics -----------------------------------------------------------------------------------------
 
 JUDGED = """select o_orderkey, cast(substr(o_orderpriority, 1, 1) as int) - 1 as y,
@@ -1046,6 +1086,7 @@ def _ovr(spark, sf_dir):
         "case event_type when 'click' then 0 when 'error' then 1 when 'purchase' then 2 else 3 end as y",
         """array(floor(value) / 1000D, (event_id % 100) / 100D,
              (user_id % 17) / (17D + case when event_type = 'purchase' then 3 else 9 end), 0.5D) as probabilities""",
+        "cast(user_id % 4 as int) as prediction",
     )
 
 
@@ -1089,16 +1130,58 @@ def apply_threshold(spark, sf_dir):
     return rounded(metrics.apply_threshold(scored(spark, sf_dir), 0.37), "p")
 
 
+def _evaluation_sql(judged_sql: str, labels: list[int], overall: str) -> str:
+    """Overall metrics (a statement over d) and the report of every class and average."""
+    return f"""with d as materialized ({judged_sql}),
+        per as (select l as class, count_if(y = l and prediction = l)::double as hits,
+                       count_if(prediction = l)::double as said, count_if(y = l)::double as support
+                from d, (select unnest({labels}) as l) group by l),
+        s as (select *, case when said = 0 then 0 else hits / said end as precision,
+                     case when support = 0 then 0 else hits / support end as recall,
+                     case when said + support = 0 then 0 else 2 * hits / (said + support) end as f1 from per),
+        rep as (select class::varchar as class, precision, recall, f1, support from s
+            union all select 'accuracy', a, a, a, n from (select sum(hits) / sum(support) as a, sum(support) as n from s)
+            union all select 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) from s
+            union all select 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+                   sum(f1 * support) / sum(support), sum(support) from s)
+        select 'rule' as model, metric, class, round(value, 6) as value
+        from (unpivot rep on precision, recall, f1, support into name metric value value)
+        union all select 'rule', metric, null, round(value, 6) from ({overall})"""
+
+
 @query(
     "evaluate_binary",
-    f"""select 'rule' as model, metric, null::varchar as class, value from (
-          {ORACLES['probability_metrics']})""",
+    _evaluation_sql(
+        f"select y, case when p >= 0.37 then 1 else 0 end as prediction from ({SCORES})", [0, 1],
+        f"""with m as (select count_if(y = 1 and prediction = 1)::double as tp, count_if(y = 0 and prediction = 1)::double as fp,
+                     count_if(y = 1 and prediction = 0)::double as fn, count_if(y = 0 and prediction = 0)::double as tn from d),
+            r as (select (tp + tn) / (tp + fp + fn + tn) as accuracy, (tp / (tp + fn) + tn / (tn + fp)) / 2 as balanced_accuracy,
+                     tp, fp, fn, tn, fp / (fp + tn) as fpr, tp / (tp + fp) as precision, tp / (tp + fn) as recall,
+                     2 * tp / (2 * tp + fp + fn) as f1 from m)
+            select metric, value from (unpivot r on columns(*) into name metric value value)
+            union all select * from ({ORACLES['probability_metrics']})""",
+    ),
 )
 def evaluate_binary(spark, sf_dir):
     decided = metrics.apply_threshold(scored(spark, sf_dir), 0.37)
-    found = metrics.evaluate(decided, "rule")
-    areas = F.col("metric").isin("roc_auc", "pr_auc", "average_precision")
-    return rounded(metrics.key_metrics(found).filter(areas), "value")
+    return rounded(metrics.evaluate(decided, "rule"), "value")
+
+
+@query(
+    "evaluate_multiclass",
+    _evaluation_sql(
+        OVR.replace(" from events", ", cast(user_id % 4 as int) as prediction from events"), [0, 1, 2, 3],
+        f"""with o as (select sum(hits) / sum(support) as accuracy, avg(recall) filter (where support > 0) as balanced_accuracy,
+                     sum(precision * support) / sum(support) as precision_weighted,
+                     sum(recall * support) / sum(support) as recall_weighted,
+                     sum(f1 * support) / sum(support) as f1_weighted from s)
+            select metric, value from (unpivot o on columns(*) into name metric value value)
+            union all select * from ({ORACLES['auc_ovr_weighted']})""",
+    ),
+)
+def evaluate_multiclass(spark, sf_dir):
+    found = metrics.evaluate(_ovr(spark, sf_dir), "rule", "multiclass", score="probabilities", labels=[0, 1, 2, 3])
+    return rounded(found, "value")
 
 
 # -- profile --------------------------------------------------------------------------------------------
@@ -1138,14 +1221,14 @@ def histogram(spark, sf_dir):
 
 @query(
     "leakage_columns",
-    """select 'Src_IP' as feature, count(*) - count(user_id) as missing from events
+    """select 'Src_IP' as "column", count(*) - count(user_id) as missing from events
        union all select 'timestamp', count(*) - count(ts) from events""",
 )
 def leakage_columns(spark, sf_dir):
     """Identity columns that survived, with how many of their values are missing."""
     rows = table(spark, sf_dir, "events").selectExpr("user_id as Src_IP", "ts as timestamp", "value")
-    found = [r["column"] for r in profile.leakage_columns(rows).collect()]
-    return profile.missing_values(rows, found).filter(F.col("feature") != "TOTAL")
+    missing = profile.missing_values(rows).withColumnRenamed("feature", "column")
+    return profile.leakage_columns(rows).join(missing, "column", "left")
 
 
 @query(
@@ -1208,24 +1291,68 @@ for _fmt in ("parquet", "feather", "csv"):
     query(f"sink_{_fmt}", "select o_orderkey, o_custkey, o_orderstatus from orders")(_sink_query(_fmt))
 
 
+ORDER_SPLIT = "case when o_orderkey % 10 = 0 then 'test' when o_orderkey % 10 = 1 then 'val' else 'train' end"
+
+
 @query(
     "split_tables",
-    f"""select l_orderkey * 10 + l_linenumber as row_id, l_quantity, l_tax,
-               case when l_returnflag = 'N' then 0 else 1 end as label_binary
-        from (select *, count(*) over (partition by l_orderkey, l_linenumber) as copies from lineitem)
-        where copies = 1 and {SPLIT_FLOW} = 'train'""",
+    f"""select {ORDER_SPLIT} as split, o_orderkey as row_id, o_totalprice, o_custkey,
+               case when o_orderstatus = 'F' then 1 else 0 end as label_binary from orders""",
 )
 def split_tables(spark, sf_dir):
-    """Features and target of a split written apart and joined again on their key."""
-    rows = table(spark, sf_dir, "lineitem").select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), "l_quantity", "l_tax",
-        F.expr("cast(l_returnflag <> 'N' as int)").alias("label_binary"),
-        F.expr(SPLIT_FLOW).alias("split"),
+    """Features and targets of all splits written apart and joined again on their key."""
+    rows = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey as row_id", "o_totalprice", "o_custkey", "cast(o_orderstatus = 'F' as int) as label_binary",
+        f"{ORDER_SPLIT} as split",
     )
-    once = rows.groupBy("row_id").count().filter("count = 1").select("row_id")
-    folder = _scratch(spark, "tables")
-    tables.save_split(rows.join(once, "row_id"), folder, "train", ["label_binary"], ["l_quantity", "l_tax"])
-    return tables.load_split(spark, folder, "train")
+    folder, back = _scratch(spark, "tables"), []
+    for name in ("train", "val", "test"):
+        tables.save_split(rows, folder, name, ["label_binary"], ["o_totalprice", "o_custkey"])
+        back.append(tables.load_split(spark, folder, name).withColumn("split", F.lit(name)))
+    return back[0].unionByName(back[1]).unionByName(back[2])
+
+
+def _as_files(spark, written: str, folder: str, names: list[str]) -> None:
+    """Move the part files of a written folder into ``folder`` under the given names, in their order."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    files = path(written).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path(folder))
+    parts = sorted(s.getPath().toString() for s in files.listStatus(path(written)) if s.getPath().getName().startswith("part-"))
+    for part, name in zip(parts, names, strict=True):
+        files.rename(path(part), path(f"{folder}/{name}"))
+
+
+MESSY_LINE = """case when doc_id % 50 = 7 then concat(doc_id, ',x,', lang, ',surplus') when doc_id % 50 = 8 then concat('\n', doc_id)
+    else concat(doc_id, ',"', replace(text, '"', '""'), '",', lang) end"""
+
+
+@query(
+    "ingest_messy_csv",
+    """with d as (select *, (doc_id % 3) * 1099511627776 + row_number() over (partition by doc_id % 3 order by doc_id) - 1
+                as row_id from documents)
+       select row_id, 'file' || (doc_id % 3) as source_file, doc_id::varchar as id,
+              case when doc_id % 3 <> 0 or doc_id % 50 <> 8 then text end as text,
+              case when doc_id % 3 <> 0 or doc_id % 50 <> 8 then lang end as lang,
+              case when doc_id % 3 = 1 then source end as note
+       from d where doc_id % 3 <> 0 or doc_id % 50 <> 7""",
+)
+def ingest_messy_csv(spark, sf_dir):
+    """Three files: quotes, line breaks, blank, short and surplus lines; another header; single-byte text."""
+    docs, folder = table(spark, sf_dir, "documents"), _scratch(spark, "messy")
+    plain = docs.filter("doc_id % 3 = 0").selectExpr("doc_id", f"{MESSY_LINE} as line")
+    header = spark.range(1).selectExpr("-1L as doc_id", "'id,text, Lang' as line")
+    ways = [
+        plain.unionByName(header).coalesce(1).sortWithinPartitions("doc_id").select("line").write.format("text"),
+        docs.filter("doc_id % 3 = 1").selectExpr("source as Note", "lang as Lang", "doc_id as ID", "text as Text")
+        .coalesce(1).sortWithinPartitions("ID").write.format("csv").options(header=True, escape='"'),
+        docs.filter("doc_id % 3 = 2").selectExpr("doc_id as id", "text", "lang")
+        .coalesce(1).sortWithinPartitions("id").write.format("csv").options(header=True, escape='"', encoding="ISO-8859-1"),
+    ]
+    for i, way in enumerate(ways):
+        way.save(f"{folder}-{i}")
+        _as_files(spark, f"{folder}-{i}", folder, [f"file{i}.csv"])
+    return csv.read_folder(spark, folder, multi_line=True).select("row_id", "source_file", "id", "text", "lang", "note")
 
 
 # -- streaming ------------------------------------------------------------------------------------------------
@@ -1352,6 +1479,35 @@ def prepare_dataset_summary(spark, sf_dir):
     return done.data.groupBy("split", "label_multi").agg(F.count(F.lit(1)).alias("rows"), *means)
 
 
+DAYS = ["Friday", "Monday", "Saturday", "Sunday", "Thursday", "Tuesday", "Wednesday"]
+
+
+@query(
+    "prepare_folder",
+    ORACLES["prepare_dataset_summary"].replace("order by row_id, day) as i", "order by day) as i"),
+)
+def prepare_folder_summary(spark, sf_dir):
+    """From a folder of raw files to written tables and back, with every parameter table read again."""
+    folder, out = _scratch(spark, "raw"), _scratch(spark, "prepared")
+    flows = raw_flows(spark, sf_dir).drop("row_id")
+    for day in DAYS:
+        one = flows.filter(F.col("source_file") == day).drop("source_file").coalesce(1)
+        one.write.options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{folder}-{day}")
+        _as_files(spark, f"{folder}-{day}", folder, [f"{day}-hours.csv"])
+    config = Config().override(task="multiclass")
+    write_prepared(run_folder(spark, folder, config), out, config)
+    codes = {r["label"]: r["code"] for r in tables.load_parameters(spark, out, "label_map").collect()}
+    assert codes == {"BENIGN": 0, "Bot": 1, "DDoS": 2}
+    features = tables.load_features(spark, out)
+    assert {"imputer", "scaler"} <= {n for n in ("imputer", "scaler", "class_weights") if tables.load_parameters(spark, out, n).count()}
+    back = None
+    for name in ("train", "test"):
+        rows = tables.load_split(spark, out, name).withColumn("split", F.lit(name))
+        back = rows if back is None else back.unionByName(rows)
+    means = [F.round(F.avg(c), 4).alias(c) for c in features]
+    return back.groupBy("split", "label_multi").agg(F.count(F.lit(1)).alias("rows"), *means)
+
+
 # -- contract ---------------------------------------------------------------------------------------------------------
 
 
