@@ -1376,6 +1376,48 @@ def stream_clean(spark, sf_dir):
     )
 
 
+def _through_stream(spark, sf_dir, change, *columns: str):
+    """The events as a stream, changed and written batch by batch, then read."""
+    source = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    folder = _scratch(spark, "stream")
+    streams.write_batches(change(stream), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out").select(*columns)
+
+
+@query(
+    "stream_prepare",
+    f"""with d as ({GAPPY}), f as (select median(a) as fa, median(b) as fb from d where split = 'train'),
+        i as (select event_id, split, coalesce(a, fa) as a, coalesce(b, fb) as b from d, f),
+        s as (select avg(a) as ma, stddev_pop(a) as sa, avg(b) as mb, stddev_pop(b) as sb from i where split = 'train')
+        select event_id, round((a - ma) / sa, 6) + 0.0 as a, round((b - mb) / sb, 6) + 0.0 as b from i, s""",
+)
+def stream_prepare(spark, sf_dir):
+    """Impute and scale a stream by parameters fitted on batch rows."""
+    rows = gappy_events(spark, sf_dir)
+    filled, imputer = scale.impute(rows, ["a", "b"], "median")
+    scaler = scale.fit_scaler(filled, ["a", "b"], "standard")
+
+    def change(stream):
+        gappy = stream.selectExpr(
+            "event_id", "case when event_id % 7 = 0 then null else value end as a",
+            "case when event_id % 3 = 0 then null else cast(user_id as double) end as b",
+        )
+        return streams.prepare_stream(gappy, imputer, scaler)
+
+    return rounded(_through_stream(spark, sf_dir, change, "event_id", "a", "b"), "a", "b")
+
+
+@query("stream_deduplicate", "select distinct user_id, event_type from events")
+def stream_deduplicate(spark, sf_dir):
+    """The first arrival of every user and type within a watermark that spans the table."""
+
+    def change(stream):
+        return streams.drop_repeats(stream, "ts", ["user_id", "event_type"], "20000 days")
+
+    return _through_stream(spark, sf_dir, change, "user_id", "event_type")
+
+
 # -- models and whole runs ----------------------------------------------------------------------------------------
 
 

@@ -72,6 +72,7 @@ class FeatureSelection:
     variance_threshold: float = 0.0
     correlation_threshold: float = 0.95
     mutual_info_top_k: int | None = None
+    mutual_info_method: str = "knn"  # knn (nearest neighbours) | binned (one pass, coarser)
 
 
 @dataclass(frozen=True)

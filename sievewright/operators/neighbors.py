@@ -250,21 +250,24 @@ def _block_candidates(k: int):
             # decide by the difference form
             error = 1e-12 * part.shape[1] * (xx[:, None] + yy.max() + 1e-300)
             limit = np.partition(rough, keep - 1, axis=1)[:, keep - 1 : keep] + 2 * error
-            for row, maybe in enumerate(rough <= limit):
-                at = np.flatnonzero(maybe)
-                at = at[others[at] != ids[start + row]]
-                distance = np.sqrt(((y[at] - part[row]) ** 2).sum(axis=1))
-                best = np.lexsort((others[at], distance))[:k]
-                out.append((at[best], distance[best]))
-        mine = np.repeat(np.arange(len(ids)), [len(at) for at, _ in out])
-        theirs = np.concatenate([at for at, _ in out])
+            rows, at = np.nonzero(rough <= limit)
+            rest = others[at] != ids[start + rows]
+            rows, at = rows[rest], at[rest]
+            distance = np.sqrt(((y[at] - part[rows]) ** 2).sum(axis=1))
+            order = np.lexsort((others[at], distance, rows))
+            rows, at, distance = rows[order], at[order], distance[order]
+            # the place of a candidate among those of its row
+            place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            best = place < k
+            out.append((start + rows[best], at[best], distance[best]))
+        mine, theirs, distances = (np.concatenate(c) for c in zip(*out, strict=True))
         return pd.DataFrame(
             {
                 "id": ids[mine],
                 "tag": q["tag"].to_numpy()[mine],
                 "nn_id": others[theirs],
                 "nn_tag": s["nn_tag"].to_numpy()[theirs],
-                "distance": np.concatenate([d for _, d in out]),
+                "distance": distances,
             }
         )
 

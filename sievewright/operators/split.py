@@ -18,9 +18,14 @@ DAY_ASSIGNMENT = {
 }
 
 
+MOST_CLASSES = 10_000
+
+
 def class_counts(df: DataFrame, target: str) -> dict:
-    """Rows per class as a small dict."""
-    counted = df.groupBy(target).count().collect()
+    """Rows per class as a small dict; more than `MOST_CLASSES` classes are an error."""
+    counted = df.groupBy(target).count().limit(MOST_CLASSES + 1).collect()
+    if len(counted) > MOST_CLASSES:
+        raise ValueError(f"{target!r} has more than {MOST_CLASSES} classes")
     return {r[target]: r["count"] for r in counted if r[target] is not None}
 
 

@@ -111,7 +111,10 @@ def prepare(raw: DataFrame, config: Config | None = None, sources: DataFrame | N
         data, gone = select.correlation_filter(data, features, chosen.correlation_threshold)
         features = [c for c in features if c not in gone]
         if chosen.mutual_info_top_k:
-            best = select.mutual_info_ranking(data, features, target, chosen.mutual_info_top_k)
+            how = {"method": chosen.mutual_info_method}
+            if chosen.mutual_info_method == "knn":
+                how["key"] = "row_id"
+            best = select.mutual_info_ranking(data, features, target, chosen.mutual_info_top_k, **how)
             kept = {r["feature"] for r in best.collect()}
             data = data.drop(*[c for c in features if c not in kept])
             features = [c for c in features if c in kept]

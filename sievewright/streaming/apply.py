@@ -59,7 +59,12 @@ def score_stream(
 def drop_repeats(
     stream: DataFrame, time: str, compare: list[str], delay: str = "10 minutes"
 ) -> DataFrame:
-    """First arrival of every distinct content within the watermark delay."""
+    """First arrival of every distinct content within the watermark delay.
+
+    Times without a zone are read in the session's zone, as watermarks need.
+    """
+    if stream.schema[time].dataType.typeName() == "timestamp_ntz":
+        stream = stream.withColumn(time, F.col(time).cast("timestamp"))
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(compare)
 
 
