@@ -28,9 +28,13 @@ SALTS = 256
 
 @dataclass(frozen=True)
 class _Target:
-    """Search state for the value of ascending ``rank`` in ``column``: it lies in (low, high)."""
+    """Search state for the value of ascending ``rank`` in ``column``: it lies in (low, high).
+
+    Targets of one ``pair`` (the two ranks of a quantile) are counted together while their interval is the same.
+    """
 
     key: int
+    pair: int
     column: str
     rank: int
     low: float
@@ -42,58 +46,73 @@ class _Target:
     def interval(self) -> tuple[str, float, float]:
         return self.column, self.low, self.high
 
-    def open_interval(self) -> Column:
-        value = F.col(self.column)
-        return F.when((value > F.lit(self.low)) & (value < F.lit(self.high)), value)
+    def group(self) -> tuple:
+        return self.pair, *self.interval()
+
+
+def _matched(df: DataFrame, intervals: list[tuple[str, float, float]]) -> DataFrame:
+    """``(g, v)``: every value with the number of each interval it lies in; others are dropped before they multiply."""
+    columns = list(dict.fromkeys(c for c, _, _ in intervals))
+    of_column = [
+        F.array(*[
+            F.struct(F.lit(g).alias("g"), F.lit(low).alias("low"), F.lit(high).alias("high"))
+            for g, (c, low, high) in enumerate(intervals) if c == name
+        ])
+        for name in columns
+    ]
+    cells = F.array(*[F.struct(F.lit(i + 1).alias("i"), F.col(c).alias("v")) for i, c in enumerate(columns)])
+    tall = df.select(F.explode(cells).alias("x")).select("x.i", "x.v").filter(F.col("v").isNotNull())
+    within = F.filter(
+        F.element_at(F.array(*of_column), F.col("i")), lambda t: (F.col("v") > t["low"]) & (F.col("v") < t["high"])
+    )
+    return tall.select(F.explode(F.transform(within, lambda t: t["g"])).alias("g"), "v")
 
 
-def _sketch_brackets(df: DataFrame, targets: list[_Target]) -> dict[int, tuple[float, float]]:
-    """Two data values per target that very likely enclose it.
+def _sketch_brackets(df: DataFrame, targets: list[_Target]) -> dict[tuple, tuple[float, float]]:
+    """Two data values per group of targets that very likely enclose it.
 
-    Targets in the same interval share a sketch. Sketches are merged in two steps (salt, then
-    all) so no reducer meets one per input task.
+    Groups in the same interval share a sketch. Sketches are merged in two steps (salt, then all) so no reducer meets
+    one per input task; the driver gets two numbers per group.
     """
-    sketches = {t.interval(): f"s{t.key}" for t in targets}
-    values = {t.interval(): t.open_interval() for t in targets}
-    salted = df.groupBy((F.spark_partition_id() % SALTS).alias("_salt")).agg(
-        *[
-            F.kll_sketch_agg_double(values[i], F.lit(SKETCH_K)).alias(name)
-            for i, name in sketches.items()
-        ]
+    intervals = list(dict.fromkeys(t.interval() for t in targets))
+    groups = list(dict.fromkeys(t.group() for t in targets))
+    edges: list[list[float]] = [[] for _ in intervals]
+    places: dict[tuple, tuple[int, int]] = {}
+    for group in groups:
+        own = [t for t in targets if t.group() == group]
+        at = intervals.index(group[1:])
+        share = [(t.rank - t.below) / max(t.inside - 1, 1) for t in own]
+        places[group] = (at, len(edges[at]))
+        edges[at] += [max(min(share) - SKETCH_ERROR, 0.0), min(max(share) + SKETCH_ERROR, 1.0)]
+    salted = _matched(df, intervals).groupBy("g", (F.spark_partition_id() % SALTS).alias("_salt")).agg(
+        F.kll_sketch_agg_double("v", F.lit(SKETCH_K)).alias("s")
     )
-    merged = salted.agg(*[F.kll_merge_agg_double(n).alias(n) for n in sketches.values()])
-    quantiles = []
-    for t in targets:
-        middle = (t.rank - t.below) / max(t.inside - 1, 1)
-        edges = [max(middle - SKETCH_ERROR, 0.0), min(middle + SKETCH_ERROR, 1.0)]
-        quantiles.append(
-            F.kll_sketch_get_quantile_double(
-                sketches[t.interval()], F.array(*[F.lit(e) for e in edges])
-            ).alias(f"q{t.key}")
-        )
-    row = merged.select(*quantiles).first()
-    return {t.key: tuple(row[f"q{t.key}"]) for t in targets}
+    merged = salted.groupBy("g").agg(F.kll_merge_agg_double("s").alias("s"))
+    asked = F.lit(None)  # the ranks asked of a sketch have to be literals
+    for g, own in enumerate(edges):
+        quantiles_ = F.kll_sketch_get_quantile_double("s", F.array(*[F.lit(e) for e in own]))
+        asked = quantiles_ if g == 0 else F.when(F.col("g") == g, quantiles_).otherwise(asked)
+    found = {r["g"]: r["q"] for r in merged.select("g", asked.alias("q")).collect()}
+    return {group: tuple(found[at][k : k + 2]) for group, (at, k) in places.items()}
 
 
 def _narrow(df: DataFrame, targets: list[_Target]) -> list[_Target]:
     """One round: bracket by sketch, then count exactly on which side every target lies."""
     brackets = _sketch_brackets(df, targets)
-    counts = []
-    for t in targets:
-        low, high = brackets[t.key]
-        value = t.open_interval()
-        counts += [
-            F.count_if(value < low).alias(f"b{t.key}"),
-            F.count_if(value == low).alias(f"l{t.key}"),
-            F.count_if((value > low) & (value < high)).alias(f"i{t.key}"),
-            F.count_if(value == high).alias(f"h{t.key}"),
-        ]
-    row = df.agg(*counts).first()
+    groups = list(brackets)
+    low, high = (F.element_at(F.array(*[F.lit(brackets[g][k]) for g in groups]), F.col("g") + 1) for k in (0, 1))
+    value = F.col("v")
+    rows = _matched(df, [g[1:] for g in groups]).groupBy("g").agg(
+        F.count_if(value < low).alias("below"), F.count_if(value == low).alias("at_low"),
+        F.count_if((value > low) & (value < high)).alias("inside"), F.count_if(value == high).alias("at_high"),
+    )
+    counted = {groups[r["g"]]: r for r in rows.collect()}
     result = []
     for t in targets:
-        low, high = brackets[t.key]
-        below, at_low, inside = row[f"b{t.key}"], row[f"l{t.key}"], row[f"i{t.key}"]
-        at_high = row[f"h{t.key}"] if high > low else 0
+        low, high = brackets[t.group()]
+        row = counted[t.group()]
+        below, at_low, inside = row["below"], row["at_low"], row["inside"]
+        at_high = row["at_high"] if high > low else 0
         offset = t.rank - t.below
         if offset < below:
             t = replace(t, high=low, inside=below)
@@ -111,25 +130,19 @@ def _narrow(df: DataFrame, targets: list[_Target]) -> list[_Target]:
 
 
 def _resolve(df: DataFrame, targets: list[_Target]) -> dict[int, float]:
-    """Look the targets up among their few remaining values; one group per target."""
-    candidates = F.array(
-        *[
-            F.struct(F.lit(t.key).alias("key"), t.open_interval().alias("value"))
-            for t in targets
-        ]
-    )
-    offsets = F.create_map(
-        *[F.lit(x) for t in targets for x in (t.key, t.rank - t.below + 1)]
-    )
-    found = (
-        df.select(F.explode(candidates).alias("c"))
-        .select("c.key", "c.value")
-        .filter(F.col("value").isNotNull())
-        .groupBy("key")
-        .agg(F.sort_array(F.collect_list("value")).alias("values"))
-        .select("key", F.element_at("values", F.element_at(offsets, F.col("key"))).alias("v"))
-    )
-    return {r["key"]: r["v"] for r in found.collect()}
+    """Look the targets up among the few remaining values of their interval; one group per interval."""
+    intervals = list(dict.fromkeys(t.interval() for t in targets))
+    wanted: list[list[int]] = [[] for _ in intervals]
+    places = {}
+    for t in targets:
+        at = intervals.index(t.interval())
+        places[t.key] = (at, len(wanted[at]))
+        wanted[at].append(t.rank - t.below + 1)
+    offsets = F.element_at(F.array(*[F.array(*[F.lit(o) for o in os]) for os in wanted]), F.col("g") + 1)
+    values = _matched(df, intervals).groupBy("g").agg(F.sort_array(F.collect_list("v")).alias("values"))
+    found = {r["g"]: r["q"] for r in values.select(
+        "g", F.transform(offsets, lambda o: F.element_at("values", o)).alias("q")).collect()}
+    return {key: found[at][k] for key, (at, k) in places.items()}
 
 
 def order_statistics(
@@ -137,14 +150,15 @@ def order_statistics(
     wanted: list[tuple[str, int]],
     counts: list[int],
     direct_rows: int = DIRECT_ROWS,
+    pairs: list[int] | None = None,
 ) -> list[float]:
     """Exact values at ascending 0-based ranks of double columns (NULLs do not count).
 
-    ``counts`` are the non-null counts of the same columns.
+    ``counts`` are the non-null counts of the same columns; ranks with equal ``pairs`` lie close together.
     """
     inf = float("inf")
     targets = [
-        _Target(i, col, rank, -inf, inf, 0, n)
+        _Target(i, pairs[i] if pairs else i, col, rank, -inf, inf, 0, n)
         for i, ((col, rank), n) in enumerate(zip(wanted, counts, strict=True))
     ]
     done: dict[int, float] = {}
@@ -170,8 +184,8 @@ def quantiles(
 ) -> dict[str, list[float] | None]:
     """Linearly interpolated quantiles of the non-null values; None for an all-null column.
 
-    ``exact`` uses one ``percentile`` group per column while a column fits one task and the
-    narrowing search beyond that. ``approx`` answers from mergeable sketches in one pass.
+    ``exact`` narrows the two ranks around each quantile until a task can hold what is left. ``approx`` answers from
+    mergeable sketches in one pass.
     """
     if mode not in ("exact", "approx"):
         raise ValueError(f"unknown quantile mode {mode!r}; use exact or approx")
@@ -182,25 +196,6 @@ def quantiles(
         return _sketched_quantiles(narrow, columns, probs)
     row = narrow.agg(*[F.count(F.col(c)).alias(c) for c in columns]).first()
     counts = {c: row[c] for c in columns}
-    if max(counts.values()) <= direct_rows:
-        grouped = (
-            narrow.select(
-                F.explode(
-                    F.array(
-                        *[
-                            F.struct(F.lit(i).alias("i"), F.col(c).alias("v"))
-                            for i, c in enumerate(columns)
-                        ]
-                    )
-                ).alias("x")
-            )
-            .filter(F.col("x.v").isNotNull())
-            .groupBy(F.col("x.i").alias("i"))
-            .agg(F.percentile(F.col("x.v"), [float(p) for p in probs]).alias("q"))
-        )
-        found = {columns[r["i"]]: [float(v) for v in r["q"]] for r in grouped.collect()}
-        return {c: found.get(c) for c in columns}
-
     wanted, sizes, plan = [], [], []
     for c in columns:
         n = counts[c]
@@ -213,7 +208,8 @@ def quantiles(
             for rank in (lower, min(lower + 1, n - 1)):
                 wanted.append((c, rank))
                 sizes.append(n)
-    values = order_statistics(narrow, wanted, sizes, direct_rows)
+    pairs = [i // 2 for i in range(len(wanted))]
+    values = order_statistics(narrow, wanted, sizes, direct_rows, pairs) if wanted else []
     result: dict[str, list[float] | None] = {c: None for c in columns}
     for c, at, share in plan:
         low, high = values[at], values[at + 1]
