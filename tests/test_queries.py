@@ -6,6 +6,11 @@ from check_queries import compare, connect
 import __spark_entry__ as entry
 
 SF_DIR = "/root/testdata/sf0.001"
+#: Results that SQL cannot express; tests of their own compare them with plain Python or a library.
+WITHOUT_SQL = {
+    "lr_tuned_metrics", "lr_multiclass_metrics", "op1_mix", "op2_shard", "op3_idcoder", "op5_langid", "op7_pii",
+    "op9_pieces", "op10_imatch", "pipeline",
+}
 
 
 @pytest.fixture(scope="module")
@@ -16,8 +21,8 @@ def duck():
 @pytest.mark.parametrize("name", list(entry.queries()))
 def test_query(spark, duck, name):
     verdict, rows = compare(spark, duck, SF_DIR, entry.queries()[name], entry.oracle_sql().get(name))
-    assert verdict in ("ok", "rows only")
-    assert rows >= 0
+    assert verdict == ("rows only" if name in WITHOUT_SQL else "ok")
+    assert rows > 0
 
 
 def test_entry(spark):
