@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BLANK = "▁"
 NONE = np.int32(2**31 - 1)
 #: Code points of segments that are indexed together.
-BATCH = 1 << 20
+BATCH = 1 << 19
+#: Code points and rows of texts that are encoded together.
+TEXTS, ROWS = 1 << 22, 4096
 #: Longer segments are relaxed one by one with a heap.
 LONG = 32
 CACHE = 2_000_000
@@ -277,7 +280,7 @@ class Encoder:
         if len(self.known) > CACHE or sum(map(len, self.flat)) > 4 * CACHE:
             self.reset()
         cuts = [self.cut.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
-        new = dict.fromkeys(s for c in cuts for s in c if s not in self.known)
+        new = set().union(*cuts).difference(self.known)
         if new:
             self.learn(list(new))
         self.flat = [np.concatenate(self.flat)]
@@ -326,6 +329,19 @@ class Decoder:
         return text[1:] if text.startswith(" ") else text
 
 
+def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose last column, of texts, is neither long nor has many rows."""
+    start, size = 0, 0
+    sizes = pc.fill_null(pc.utf8_length(batch.column(batch.num_columns - 1)), 0).to_pylist()
+    for row, n in enumerate(sizes):
+        if row > start and (size + n > TEXTS or row - start >= ROWS):
+            yield batch.slice(start, row - start)
+            start, size = row, 0
+        size += n
+    if batch.num_rows > start:
+        yield batch.slice(start)
+
+
 def _with_column(batch: pa.RecordBatch, column: pa.Array, name: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns[:-1], column], names=[*batch.schema.names[:-1], name])
 
@@ -345,8 +361,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", into: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary)
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
+            for part in _portions(batch):
                 ids, counts = encoder.encode(part.column(part.num_columns - 1).to_pylist())
                 ends = pa.array(np.cumsum([0, *counts]).astype(np.int32))
                 yield _with_column(part, pa.ListArray.from_arrays(ends, pa.array(ids)), into)
@@ -363,7 +378,10 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", into: str =
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                texts = [decoder.decode(x.as_py() or []) for x in part.column(part.num_columns - 1)]
+                lists = part.column(part.num_columns - 1)
+                ids, ends = lists.flatten().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(lists), 0)
+                cuts = np.cumsum([0, *ends.to_pylist()])
+                texts = [decoder.decode(ids[a:b].tolist()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield _with_column(part, pa.array(texts, pa.string()), into)
 
     return df.select(*kept, F.col(ids).alias("__ids")).mapInArrow(run, _schema(df, kept, f"`{into}` string"))
