@@ -29,7 +29,7 @@ NONE = np.int32(2**31 - 1)
 #: Code points of segments that are indexed together.
 BATCH = 1 << 19
 #: Code points and rows of texts that are encoded together.
-TEXTS, ROWS = 1 << 22, 4096
+TEXTS, ROWS = 1 << 21, 2048
 #: Longer segments are relaxed one by one with a heap.
 LONG = 32
 CACHE = 2_000_000
