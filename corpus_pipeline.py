@@ -24,6 +24,16 @@ from sievewright.session import stage
 LEAST_SHARE = 0.35
 
 
+def _renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """Documents with column names that clash with none of an operator's, and the new name of each column."""
+    names = {c: f"column{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def _as_before(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    return rows.select(*[F.col(new).alias(old) for old, new in names.items()])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn from the labelled documents; drop those that are `und` or spread over many languages.
 
@@ -33,9 +43,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs)
     if not model.languages:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    judged = langid.predict(docs, model)
+    safe, names = _renamed(docs)
+    judged = langid.predict(safe, model, names["text"])
     kept = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE)
-    return judged.filter(kept).select(*docs.columns)
+    return _as_before(judged.filter(kept), names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +68,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once, small sources more often, in the order of the mix."""
-    ordered = mix.mix_sources(docs, shuffled("doc_id"))
-    return ordered.repartitionByRange("position").sortWithinPartitions("position").select(*docs.columns)
+    safe, names = _renamed(docs)
+    ordered = mix.mix_sources(safe, shuffled(names["doc_id"]), names["source"])
+    return _as_before(ordered.repartitionByRange("position").sortWithinPartitions("position"), names)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
