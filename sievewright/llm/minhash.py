@@ -4,8 +4,8 @@ A document is the set of its distinct shingles (five words; a shorter text is on
 Documents with equal sets form a class, and only one of a class goes on. `BANDS` bands of `ROWS` minima
 give candidates: at the required similarity of 0.75 a pair misses all bands with probability
 (1 - 0.75^4)^32 = 5e-6. Within a band all members are first compared with the smallest of them, which is
-linear and settles groups of copies; what is still in different components after that is compared
-by signatures in blocks. Links are confirmed on the full sets.
+linear and settles groups of copies; what is still in different components after that is compared in blocks, by
+signatures first and then on full sets, inside tasks: pairs are never written out. Every link is confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -31,8 +31,9 @@ PERCENT = 75
 BANDS = 32
 ROWS = 4
 #: Signatures agree in at least this share before full sets are compared: at a similarity of 0.75
-#: fewer than 70 of 128 equal minima have probability 5e-7.
-LIKELY = 70 / (BANDS * ROWS)
+#: fewer than 74 of 128 equal minima have probability 7e-6.
+LIKELY = 74 / (BANDS * ROWS)
+#: Rows of a group that one task compares with as many others.
 BLOCK = 1024
 SEED = 11
 
@@ -114,43 +115,93 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _pairs_in_group(ids: np.ndarray, comps: np.ndarray, blocks: np.ndarray, key: tuple, signs: np.ndarray):
-    """Likely pairs of one group: block i against block j, or within a block."""
-    first, second = np.flatnonzero(blocks == key[1]), np.flatnonzero(blocks == key[2])
-    for i in first:
-        others = second[second > i] if key[1] == key[2] else second
-        others = others[comps[others] != comps[i]]
-        if len(others):
-            share = (signs[others] == signs[i]).mean(axis=1)
-            for j in others[share >= LIKELY]:
-                yield min(ids[i], ids[j]), max(ids[i], ids[j])
+def _packed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = _WordHashes()
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            found = [shingles(t.as_py(), hashes).tobytes() for t in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["id", "parts"])
 
 
-def _likely_pairs(frames):
-    """Groups come sorted by (band, i, j) and may go on in the next frame."""
+def _groups(frames, keys: list[str]):
+    """Whole groups of frames that come sorted by the keys; a group may go on in the next frame."""
     import pandas as pd
 
     carry = None
-    cuts = ["band", "i", "j"]
-
-    def pairs_of(frame):
-        out = []
-        for key, group in frame.groupby(cuts, sort=False):
-            signs = np.frombuffer(b"".join(group["sign"]), "<u4").reshape(len(group), -1)
-            out += _pairs_in_group(
-                group["id"].to_numpy(), group["comp"].to_numpy(), group["block"].to_numpy(), key, signs
-            )
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64").drop_duplicates()
-
     for frame in frames:
         if carry is not None:
             frame = pd.concat([carry, frame], ignore_index=True)
-        last = (frame[cuts] == frame[cuts].iloc[-1]).all(axis=1)
+        last = (frame[keys] == frame[keys].iloc[-1]).all(axis=1)
         carry = frame[last]
-        if not last.all():
-            yield pairs_of(frame[~last])
+        yield from frame[~last].groupby(keys, sort=False)
     if carry is not None:
-        yield pairs_of(carry)
+        yield from carry.groupby(keys, sort=False)
+
+
+def _likely(group, i: int, j: int, place: int = 0):
+    """For the rows of block i of a group: the rows of block j (later ones, if i is j) in other components whose
+    signature agrees enough, and that meet in no band before ``place``."""
+    signs = np.frombuffer(b"".join(group["sign"]), "<u4").reshape(len(group), BANDS, ROWS)
+    blocks, comps = group["block"].to_numpy(), group["comp"].to_numpy()
+    first, second = np.flatnonzero(blocks == i), np.flatnonzero(blocks == j)
+    for row in first:
+        others = second[second > row] if i == j else second
+        others = others[comps[others] != comps[row]]
+        if len(others):
+            same = signs[others] == signs[row]
+            met = same[:, :place].all(axis=2).any(axis=1)
+            others = others[(same.mean(axis=(1, 2)) >= LIKELY) & ~met]
+            if len(others):
+                yield row, others
+
+
+class _Joined:
+    """Which rows of a group its links connect; only links that connect more are kept."""
+
+    def __init__(self, ids: np.ndarray):
+        self.ids, self.root, self.links = ids, np.arange(len(ids)), []
+
+    def apart(self, row: int, others: np.ndarray) -> np.ndarray:
+        return others[self.root[others] != self.root[row]]
+
+    def link(self, row: int, others: np.ndarray) -> None:
+        for k in others:
+            if self.root[k] != self.root[row]:
+                self.root[self.root == self.root[k]] = self.root[row]
+                self.links.append((self.ids[row], self.ids[k]))
+
+
+def _likely_links(frames):
+    """Edges (a, b) that connect the likely pairs of a group: fewer than it has rows."""
+    import pandas as pd
+
+    for (place, _, i, j), group in _groups(frames, ["place", "band", "i", "j"]):
+        joined = _Joined(group["id"].to_numpy())
+        for row, others in _likely(group, i, j, place):
+            joined.link(row, joined.apart(row, others))
+        if joined.links:
+            yield pd.DataFrame(joined.links, columns=["a", "b"])
+
+
+def _confirmed_links(frames):
+    """Links (a, b) confirmed on full sets; none between rows that the links of a group connect already."""
+    import pandas as pd
+
+    for (_, i, j), group in _groups(frames, ["cluster", "i", "j"]):
+        sets = [np.frombuffer(x, np.uint64) for x in group["parts"]]
+        sizes = np.array([len(x) for x in sets])
+        joined = _Joined(group["id"].to_numpy())
+        for row, others in _likely(group, i, j):
+            others = joined.apart(row, others)
+            if not len(others):
+                continue
+            parts = np.concatenate([sets[k] for k in others])
+            at = np.minimum(np.searchsorted(sets[row], parts), sizes[row] - 1)
+            common = np.add.reduceat(sets[row][at] == parts, np.cumsum(sizes[others]) - sizes[others], dtype=np.int64)
+            joined.link(row, others[100 * common >= PERCENT * (sizes[others] + sizes[row] - common)])
+        if joined.links:
+            yield pd.DataFrame(joined.links, columns=["a", "b"])
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -165,6 +216,18 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(100 * common >= PERCENT * union).select("a", "b").distinct()
 
 
+def _in_blocks(rows: DataFrame, keys: list[str], sizes: DataFrame) -> DataFrame:
+    """Rows of a group dealt to pairs (i, j) of its blocks; ``sizes`` has the number of blocks of the groups to keep."""
+    placed = rows.join(sizes, keys).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    return placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        *rows.columns, "block", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j")
+    )
+
+
+def _sorted_by(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.repartition(*keys).sortWithinPartitions(*keys)
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id, kept) for every row.
 
@@ -184,27 +247,34 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     width = 4 * ROWS
     banded = classes.select("id", F.posexplode(F.expr(
         f"transform(sequence(0, {BANDS - 1}), k -> xxhash64(k, substring(sign, k * {width} + 1, {width})))"
-    )).alias("place", "band")).select("id", "band")
-    shared = banded.groupBy("band").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = stage(banded.join(shared.select("band", "least"), "band"), "members")
+    )).alias("place", "band"))
+    shared = banded.groupBy("place", "band").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = stage(banded.join(shared.drop("n"), ["place", "band"]), "members")
     stars = stage(members.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     links = stage(_confirmed(stars, docs), "links")
     found = components(links)
 
     # members of a band that are still apart
     apart = members.join(found.withColumnRenamed("node", "id"), "id", "left").select(
-        "band", "id", F.coalesce("component", "id").alias("comp")
+        "place", "band", "id", F.coalesce("component", "id").alias("comp")
+    )
+    blocks = F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")
+    mixed = apart.groupBy("place", "band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), blocks)
+    mixed = mixed.filter("low <> high").select("place", "band", "blocks")
+    dealt = _in_blocks(apart, ["place", "band"], mixed).join(classes.select("id", "sign"), "id")
+    likely = components(_sorted_by(dealt, "place", "band", "i", "j").mapInPandas(_likely_links, "a long, b long"))
+    # documents that likely pairs connect are compared on full sets, which are sent once for each block of the others
+    clustered = stage(
+        likely.toDF("id", "cluster").join(found.toDF("id", "comp"), "id", "left").select(
+            "id", "cluster", F.coalesce("comp", "id").alias("comp")
+        ),
+        "clustered",
     )
-    mixed = apart.groupBy("band").agg(
-        F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n")
-    ).filter("low <> high").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    placed = apart.join(mixed, "band").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    dealt = placed.join(classes.select("id", "sign"), "id").withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    ).select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp", "sign")
-    grouped = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    more = stage(grouped.mapInPandas(_likely_pairs, "a long, b long").distinct(), "pairs")
-    late = _confirmed(more, docs)
+    texts = docs.join(clustered.select("id"), "id", "left_semi")
+    full = _in_blocks(clustered, ["cluster"], clustered.groupBy("cluster").agg(blocks)).join(
+        classes.select("id", "sign"), "id"
+    ).join(texts.mapInArrow(_packed_sets, "id long, parts binary"), "id")
+    late = stage(_sorted_by(full, "cluster", "i", "j").mapInPandas(_confirmed_links, "a long, b long"), "links")
     final = components(links.union(late))
 
     owners = classes.select("digest", F.col("id").alias("owner"))
