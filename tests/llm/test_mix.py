@@ -72,3 +72,42 @@ def test_query(spark):
     for t in range(len(got) // mix.BLOCK_ROWS):
         had["=" + by_place[t * mix.BLOCK_ROWS]["source"]] += 1
         assert all(abs(had[s] - (t + 1) * a / mix.FRAME) < 1 for s, a in shares.items())
+
+
+@pytest.mark.parametrize("weights", [{"a": 1, "b": 1, "c": 1}, {"big": 1e6, "one": 1e-2, "two": 3}, {f"s{i}": (1 + i) ** 0.7 for i in range(30)}])
+def test_no_drift_from_the_given_weights_over_many_frames(weights):
+    names = sorted(weights)
+    exact = mix.exact_shares(weights)
+    shares, done, state = [exact[s] for s in names], [0] * len(names), [0] * len(names)
+    total = sum(map(Fraction, weights.values()))
+    entitled = [Fraction(weights[s]) / total for s in names]
+    t, slots = 0, []
+    for frame in range(8):
+        for i in mix.deal(shares, frame * mix.FRAME, (frame + 1) * mix.FRAME, done):
+            t += 1
+            state[i] += 1
+            slots.append(i)
+            assert abs(state[i] - entitled[i] * t) < 1
+        assert state == done and all(abs(n - w * t) < 1 for n, w in zip(done, entitled, strict=True))
+    assert slots == list(mix.deal(shares, 0, 8 * mix.FRAME, [0] * len(names)))
+
+
+def test_mix_keeps_thirds_over_many_frames(spark):
+    n = 3 * mix.FRAME
+    df = spark.range(3 * n).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"))
+    got = mix.mix_sources(df, [F.col("doc_id")], block_rows=1).orderBy("position").select("source").toArrow()["source"].to_pylist()
+    assert len(got) == 3 * n
+    had = Counter()
+    for t, s in enumerate(got, 1):
+        had[s] += 1
+        assert abs(3 * had[s] - t) < 3
+    assert set(had.values()) == {n}
+
+
+def test_one_row_beside_a_large_source_is_not_lifted(spark):
+    df = spark.range(400_001).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 0, "one").otherwise("big").alias("source"))
+    got = mix.mix_sources(df, [F.col("doc_id")])
+    n = got.filter("source = 'one'").count()
+    slots = got.count() // mix.BLOCK_ROWS
+    weight = 1 / (1 + 400_000**mix.TEMPER)
+    assert n % mix.BLOCK_ROWS == 0 and abs(n / mix.BLOCK_ROWS - weight * slots) < 1
