@@ -1,10 +1,11 @@
 """I-Match fingerprints: hashes of the sorted, distinct mid-frequency terms of a document, taken
 over several randomised subsets of the lexicon.
 
-DataFrame expressions only. A term is a lower-cased run of letters and digits; its identity is one
-of `SLOTS` hash slots, so document frequencies and the lexicon have a fixed size whatever the
-corpus. The lexicon keeps the slots whose inverse document frequency, divided by that of a term
-seen once, lies in a band. It reaches the expressions as one bit set in a scalar subquery.
+DataFrame expressions and joins only. A term is a lower-cased run of letters and digits; its identity is
+its 64-bit hash. Document frequencies are counted term by term. The lexicon keeps the terms whose inverse document
+frequency, divided by that of a term seen once, lies in a band; it is a staged table that is joined with the terms of
+the texts, so it may grow with the vocabulary. Terms above the band by frequency stay in that table, marked: they
+are few (a text's number of terms times n to the power 0.2, for n documents), and are taken out before the join because all texts hold them.
 
 A fingerprint has four hex digits per subset. Subsets come in levels: level 0 is the whole
 lexicon, every later level cuts it at random into four times as many parts and uses up to twelve of
@@ -16,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SLOTS = 1 << 22
+from sievewright.session import stage
+
 BAND = (0.2, 0.8)
 #: With fewer terms in the band a document uses all its terms.
 LEAST_TERMS = 5
@@ -36,30 +38,24 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), ""))
 
 
+def _hashed(text: Column) -> Column:
+    return F.transform(_terms(text), lambda t: F.xxhash64(t))
+
+
 def document_frequencies(df: DataFrame, text: str = "text") -> DataFrame:
-    """(slot, df) over all texts; counted on the map side first."""
-    one = df.select(F.explode(_terms(F.col(text))).alias("term"))
-    return one.groupBy(F.pmod(F.xxhash64("term"), F.lit(SLOTS)).alias("slot")).agg(
-        F.count(F.lit(1)).alias("df")
-    )
+    """(term, df) over all texts, a term by its hash; counted on the map side first."""
+    return df.select(F.explode(_hashed(F.col(text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def lexicon(df: DataFrame, text: str = "text", band: tuple[float, float] = BAND) -> DataFrame:
-    """One row with `words`, the bit set of the slots in the band as `SLOTS / 64` longs.
+    """(term, frequent), staged: the terms in the band, and as ``frequent`` those in too many documents for it.
 
-    An empty table, or one with a single document, gives an empty lexicon.
+    An empty table gives an empty lexicon, one with a single document has no term in the band.
     """
-    spark = df.sparkSession
     n = df.count()
     ratio = F.log(F.lit(float(max(n, 1))) / F.col("df")) / F.log(F.lit(float(max(n, 2))))
-    kept = document_frequencies(df, text).filter(ratio.between(*band))
-    words = kept.groupBy(F.expr("slot div 64").alias("at")).agg(
-        F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("word")
-    )
-    every = spark.range(0, SLOTS // 64, 1, 4).withColumnRenamed("id", "at")
-    filled = every.join(words, "at", "left").select("at", F.coalesce("word", F.lit(0)).alias("word"))
-    # one row of fixed size: 64 Ki longs
-    return filled.agg(F.expr("transform(sort_array(collect_list(struct(at, word))), x -> x.word)").alias("words"))
+    kept = document_frequencies(df, text).filter(ratio <= band[1])
+    return stage(kept.select("term", (ratio < band[0]).alias("frequent")), "lexicon")
 
 
 def with_fingerprint(df: DataFrame, words: DataFrame, text: str, into: str) -> DataFrame:
@@ -69,18 +65,19 @@ def with_fingerprint(df: DataFrame, words: DataFrame, text: str, into: str) -> D
     texts have equal fingerprints. Other columns pass through; ``into`` is replaced.
     """
     kept = [c for c in df.columns if c != into]
-    found = df.select("*", words.scalar().alias("__words")).select(
-        *kept, "__words",
-        F.transform(_terms(F.coalesce(F.col(text), F.lit(""))), lambda t: F.xxhash64(t)).alias("__all"),
-    )
-    found = found.select(*kept, "__all", F.expr(
-        f"""filter(__all, h -> getbit(get(__words, cast(pmod(h, {SLOTS}) div 64 as int)),
-                                      cast(pmod(h, {SLOTS}) % 64 as int)) = 1)"""
-    ).alias("__band"))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    # equal texts have equal terms, so 128 bits of the text stand for the row
+    keys = [F.xxhash64(whole).alias("__k1"), F.xxhash64(F.lit("second"), whole).alias("__k2")]
+    terms = df.select(*keys, F.explode(_hashed(whole)).alias("term"))
+    frequent = words.filter("frequent").select("term")
+    banded = terms.join(F.broadcast(frequent), "term", "left_anti").join(words.filter("not frequent"), "term")
+    banded = banded.groupBy("__k1", "__k2").agg(F.collect_set("term").alias("__band"))
+    found = df.select(*kept, _hashed(whole).alias("__all"), *keys).join(banded, ["__k1", "__k2"], "left")
+    found = found.withColumn("__band", F.coalesce("__band", F.array().cast("array<bigint>")))
     found = found.select(
         *kept, F.sort_array(F.when(F.size("__band") < LEAST_TERMS, F.col("__all")).otherwise(F.col("__band"))).alias("__l0"),
     )
-    # part of a term on a level: bits of its hash that the slot number does not use
+    # part of a term on a level: bits of its hash
     part = {i: f"(shiftrightunsigned(h, {63 - 8 * i}) & {4**i - 1})" for i in range(1, LEVELS)}
     lists = [
         F.expr(f"filter(__l0, h -> {part[i]} < {_subsets(i)})").alias(f"__l{i}") for i in range(1, LEVELS)

@@ -68,3 +68,18 @@ def test_small_edits_stay_alike(spark):
     words = imatch.lexicon(df)
     both = imatch.with_fingerprint(imatch.with_fingerprint(df, words, "text", "a"), words, "near", "b")
     assert both.agg(F.avg(imatch.likeness("a", "b"))).first()[0] > 0.6
+
+
+def test_rare_terms_stay_out_of_the_band_whatever_the_vocabulary(spark):
+    # 64 terms a document seen once, 5 million in all, above 4 million hash slots; all documents share eight terms of the band
+    n, once = 80_000, 64
+    rare = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(once - 1)), lambda i: F.concat(F.lit("r"), F.col("id") * once + i)), " ")
+    mid = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.concat(F.lit("m"), F.col("id") % 500, F.lit("x"), i)), " ")
+    df = spark.range(0, n, 1, 8).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("the of"), mid, rare).alias("text"))
+    words = imatch.lexicon(df)
+    want = spark.range(500).select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.xxhash64(F.concat(F.lit("m"), F.col("id"), F.lit("x"), i)))).alias("term"))
+    assert words.filter("not frequent").count() == 4000 == words.filter("not frequent").join(want, "term", "left_semi").count()
+    assert words.filter("frequent").count() == 2
+    some = df.filter("doc_id < 2000")
+    got = imatch.with_fingerprint(some, words, "text", "fp").groupBy(F.col("doc_id") % 500).agg(F.countDistinct("fp").alias("n"))
+    assert got.filter("n > 1").count() == 0
