@@ -2,8 +2,9 @@
 
 DataFrame expressions only. A pattern proposes leftmost, non-overlapping spans; splitting the text
 at the same pattern gives the gaps between them, and running sums of lengths give code-point
-positions. Validators (Luhn, mod 97, ranges, digit counts) drop failing proposals without a retry. Words in
-the `WINDOW` code points before a span raise its score.
+positions. Validators (Luhn, mod 97, ranges, digit counts) drop failing proposals without a retry. An IBAN
+proposal is first cut to the length that its country has registered. Words in the `WINDOW` code points before or after a
+span raise its score.
 
 Quantifiers are possessive and starts inside a run are excluded, which leaves the matches as they
 are but keeps the work linear in the length of a text.
@@ -24,9 +25,33 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+# fixed values: countries by the length of their account numbers, registered or in use without being registered
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR",
+    27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _grouped(n: int) -> str:
+    """Pattern of the ``n`` characters after country and check digits, in groups of four or without spaces."""
+    rest = f"(?:\\x20?[A-Z0-9]{{{n % 4}}})" if n % 4 else ""
+    return f"(?:\\x20?[A-Z0-9]{{4}}){{{n // 4}}}{rest}"
+
+
+# each country takes exactly its length and leaves what follows to the text; a country that is not listed takes all groups.
+# The lookahead spares other places the list.
+_LISTED = "|".join(names.replace(" ", "|") for names in IBAN_LENGTHS.values())
+_IBAN = r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})(?:" + "|".join(
+    f"(?:{names.replace(' ', '|')})[0-9]{{2}}{_grouped(n - 4)}" for n, names in IBAN_LENGTHS.items()
+) + rf"|(?!{_LISTED})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{2,7}}+(?:\x20?[A-Z0-9]{{1,3}})?+)(?![A-Za-z0-9])"
+
 # kinds that the method adds
 ADDED = {
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])",
+    "iban": _IBAN,
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "tel": r"(?<![0-9+().-])\(?0[0-9]{2,4}\)?[\x20/-][0-9]{3,4}(?:[\x20-]?[0-9]{2,4}){1,2}+(?![0-9])",
 }
@@ -67,7 +92,8 @@ def _placed(kind: str) -> Column:
     rank = KINDS.index(kind)
     score = f"{PRIOR[kind]}D"
     bonus = BONUS_WEAK if kind in ("ssn", "tel") else BONUS
-    near = f"substring(__t, greatest(1, x.s - {WINDOW - 1}), least(x.s, {WINDOW})) rlike r\"{CONTEXT[kind]}\""
+    before = f"substring(__t, greatest(1, x.s - {WINDOW - 1}), least(x.s, {WINDOW}))"
+    near = " or ".join(f"{side} rlike r\"{CONTEXT[kind]}\"" for side in (before, f"substring(__t, x.e + 1, {WINDOW})"))
     return F.expr(f"""transform(filter(aggregate(
         zip_with(__m_{kind}, __g_{kind}, (m, g) -> named_struct('m', m, 'g', g)),
         named_struct('at', 0, 'out', cast(array() as array<struct<s:int,e:int,v:string>>)),

@@ -85,3 +85,29 @@ def test_query_against_plain_patterns(spark):
         joined = ",".join(f"{k}:{s}:{e}" for s, _, k, e in base)
         assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
         assert [r[f"n_{k}"] for k in pii.BASE] == [sum(x[2] == k for x in base) for k in pii.BASE]
+
+
+def added(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {texts[r["doc_id"]]: [texts[r["doc_id"]][x["start"] : x["end"]] for x in r["pii"] if x["rank"] >= 4] for r in pii.find_spans(df).collect()}
+
+
+def test_account_numbers_end_where_their_country_says(spark):
+    want = {
+        "IBAN BE68 5390 0754 7034 BIC GEBABEBB": ["BE68 5390 0754 7034"],
+        "AT61 1904 3002 3457 3201 BIC": ["AT61 1904 3002 3457 3201"],
+        "BE68539007547034 BIC": ["BE68539007547034"], "BE68539007547034 2024 and more": ["BE68539007547034"],
+        "BE68 5390 0754 7034 AT61 1904 3002 3457 3201": ["BE68 5390 0754 7034", "AT61 1904 3002 3457 3201"],
+        "DE89 3704 0044 0532 0130 00 EUR": ["DE89 3704 0044 0532 0130 00"], "NO93 8601 1117 947 NOK": ["NO93 8601 1117 947"],
+        "MT84 MALT 0110 0001 2345 MTLC AST0 01S": ["MT84 MALT 0110 0001 2345 MTLC AST0 01S"],
+        "BE68 5390 0754 7035 BIC": [], "BE685390075470341": [], "ZZ68 5390 0754 7034": [], "BE68 5390 0754": [],
+    }
+    assert added(spark, list(want)) == want
+
+
+def test_context_after_a_span_counts(spark):
+    want = {
+        "123-45-6789 is my SSN": ["123-45-6789"], "030 1234 5678 (phone)": ["030 1234 5678"],
+        "123-45-6789" + " x" * 24 + " SSN": [], "123-45-6789 is a part number": [],
+    }
+    assert added(spark, list(want)) == want
