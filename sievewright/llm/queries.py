@@ -10,7 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import egojoin, idfiles, imatch, langid, minhash, mix, pieces, pii, shard, warc
+from sievewright.llm import egojoin, hardneg, idfiles, imatch, langid, minhash, mix, pieces, pii, shard, warc
 from sievewright.llm.following import with_next
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -200,3 +200,26 @@ def op3_idcoder(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     files = idfiles.write_ids(docs, definition)
     return files.read(crc_of_ids, "ids_crc32 long").withColumnRenamed("key", "doc_id")
+
+
+NEGATIVES_SQL = """with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+            list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+            where vec_id is not null and label is not null and embedding is not null
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    s as materialized (select x.vec_id as a, y.vec_id as b, x.label = y.label as same,
+            list_inner_product(x.e, y.e)::bigint as score
+            from v x join v y on x.vec_id % 100 = 0 and x.vec_id <> y.vec_id and len(x.e) = len(y.e)),
+    p as materialized (select a, b, score from s where same
+            qualify row_number() over (partition by a order by score desc, b) <= 5)
+    select p.a as anchor_id, p.b as positive_id,
+            row_number() over (partition by p.a, p.b order by s.score desc, s.b)::int as rank, s.b as negative_id,
+            p.score as positive_score, s.score as negative_score
+    from p join s on p.a = s.a and not s.same and 30 * p.score <= 100 * s.score and 100 * s.score <= 90 * p.score
+    qualify row_number() over (partition by p.a, p.b order by s.score desc, s.b) <= 10"""
+
+
+@query("op13_hardneg", NEGATIVES_SQL)
+def op13_hardneg(spark, sf_dir):
+    """Hard negatives of every hundredth vector; the labels of every seventh are moved by one."""
+    label = F.expr("case when vec_id % 7 = 0 then (label + 1) % 10 else label end")
+    return hardneg.hard_negatives(table(spark, sf_dir, "embeddings"), F.expr("vec_id % 100 = 0"), label)
