@@ -10,7 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import egojoin, hardneg, idfiles, imatch, langid, minhash, mix, pieces, pii, shard, warc
+from sievewright.llm import egojoin, hardneg, idfiles, imatch, langid, lexsearch, minhash, mix, pieces, pii, shard, warc
 from sievewright.llm.following import with_next
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -202,6 +202,32 @@ def op3_idcoder(spark, sf_dir):
     return files.read(crc_of_ids, "ids_crc32 long").withColumnRenamed("key", "doc_id")
 
 
+RANKS_SQL = r"""with words as materialized (select doc_id, unnest(regexp_extract_all(translate(text,
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+    asked as materialized (select item_id, unnest(regexp_extract_all(translate(text,
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+    lengths as materialized (select doc_id, count(*)::bigint as n from words group by 1),
+    totals as (select count(*)::bigint as docs, sum(n)::bigint as len from lengths),
+    held as materialized (select term, doc_id, count(*)::bigint as tf from words
+            where term in (select term from asked) group by 1, 2),
+    weights as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)))::bigint as w
+            from held, totals group by term, docs),
+    norms as (select doc_id, 25 + (75 * n * docs) // len as m from lengths, totals),
+    scores as (select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score
+            from asked join weights using (term) join held using (term) join norms using (doc_id) group by 1, 2),
+    ranked as (select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score
+            from scores where score > 0)
+    select * from ranked where rank <= 10"""
+
+
+@query("op11_lexsearch", RANKS_SQL)
+def op11_lexsearch(spark, sf_dir):
+    """The ten best documents of every benchmark item."""
+    items = table(spark, sf_dir, "benchmark")
+    index = lexsearch.build_index(table(spark, sf_dir, "documents"), for_items=items)
+    return lexsearch.search(index, items)
+
+
 NEGATIVES_SQL = """with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
             list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
             where vec_id is not null and label is not null and embedding is not null
