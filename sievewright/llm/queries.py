@@ -10,7 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import egojoin, hardneg, idfiles, imatch, langid, lexsearch, minhash, mix, pieces, pii, shard, warc
+from sievewright.llm import egojoin, hardneg, idfiles, imatch, katz, langid, lexsearch, minhash, mix, pieces, pii, shard, warc
 from sievewright.llm.following import with_next
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -228,6 +228,50 @@ def op11_lexsearch(spark, sf_dir):
     return lexsearch.search(index, items)
 
 
+KATZ_SQL = r"""with keyed as materialized (select doc_id, coalesce(text, '') as text, coalesce(xor(4294967295, list_reduce(
+            [4294967295::bigint] || list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint),
+            lambda c, b: list_reduce([xor(c, b)] || range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))) % 7 = 2, false) as held_out
+            from documents),
+    lists as (select doc_id, held_out, [' start'] || list_filter(regexp_split_to_array(translate(text,
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') || [' end'] as l from keyed),
+    pairs as materialized (select doc_id, held_out, l[i] as v, l[i + 1] as w from (select *, unnest(range(1, len(l))) as i from lists)),
+    one as materialized (select w, count(*) as c from pairs where not held_out group by 1),
+    two as materialized (select v, w, count(*) as c from pairs where not held_out group by 1, 2),
+    sizes as (select 1 as kind, c, count(*) as n from one group by 2 union all select 2, c, count(*) from two group by 2),
+    filled as materialized (select kind, list(n order by r) as n from (select k.kind, r, coalesce(sum(s.n), 0)::double as n
+            from (values (1), (2)) k(kind) cross join range(1, 7) t(r) left join sizes s on s.kind = k.kind and s.c = r group by 1, 2) group by 1),
+    tried as materialized (select kind, k, r, n, (k + 1) * n[k + 1] / nullif(n[1], 0) as last,
+            ((r + 1) * n[r + 1] / nullif(r * n[r], 0) - (k + 1) * n[k + 1] / nullif(n[1], 0))
+              / nullif(1 - (k + 1) * n[k + 1] / nullif(n[1], 0), 0) as d
+            from filled, range(2, 6) a(k), range(1, 6) b(r) where r <= k),
+    fit as (select kind, k from tried group by 1, 2 having bool_and(coalesce(last < 1 and d > 0 and d < 1 and n[k + 1] > 0, false))),
+    ratios as materialized (select kind, r, d from tried where (kind, k) in (select (kind, max(k)) from fit group by kind)),
+    totals as (select coalesce(sum(c), 0)::bigint as total, count(*) as types,
+            coalesce(sum(c), 0)::bigint + (select count(*) = 0 from ratios where kind = 1)::int as whole from one),
+    chance as materialized (select w, c, coalesce(d, 1) * c / whole as p from totals, one left join ratios on kind = 1 and r = c),
+    unseen as (select 1 - coalesce(sum(p), 0) as p from chance),
+    context as materialized (select v, sum(c) + (sum(c) > 65536 or not bool_or(r is not null))::int as total
+            from two left join ratios on kind = 2 and r = c group by 1),
+    follow as materialized (select v, two.w, coalesce(d, 1) * two.c / total as p, chance.p as p1 from two join context using (v)
+            join chance on chance.w = two.w left join ratios on kind = 2 and r = two.c),
+    weight as materialized (select v, (1 - sum(p)) / (1 - sum(p1)) as a from follow group by 1)
+    select doc_id, held_out, count(*) as n_tokens, count(chance.c) as n_known, total as train_tokens,
+           round(sum(log10((coalesce(chance.c, 0) + 1) / (total + types + 1))), 6) as base_score,
+           round(sum(log10(coalesce(follow.p, coalesce(a, 1) * coalesce(chance.p, unseen.p)))), 6) as score
+    from totals, unseen, pairs left join follow on follow.v = pairs.v and follow.w = pairs.w left join weight on weight.v = pairs.v
+    left join chance on chance.w = pairs.w group by doc_id, held_out, total"""
+
+
+@query("op12_katz", KATZ_SQL)
+def op12_katz(spark, sf_dir):
+    """Base score and log10 probability of every text; a seventh of the documents is held out of training."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents")
+    model = katz.train(docs.filter(~held_out))
+    scored = katz.log_probabilities(docs, model, [F.col("doc_id"), held_out.alias("held_out")])
+    return scored.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+
 NEGATIVES_SQL = """with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
             list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
             where vec_id is not null and label is not null and embedding is not null
