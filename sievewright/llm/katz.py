@@ -35,7 +35,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 TABLE = splitting.byte_table(b"\x09\x0a\x0b\x0c\x0d")
 #: Counts up to this may be discounted.
 TOP = 5
-KNOWN = 1 << 20
+KNOWN = 1 << 18
 #: Pairs in a partition, about.
 ENTRIES = 4_000_000
 #: Contexts seen more often than this always keep one count for what was not seen.
