@@ -37,7 +37,7 @@ TABLE = splitting.byte_table(b"\x09\x0a\x0b\x0c\x0d")
 TOP = 5
 KNOWN = 1 << 18
 #: Pairs in a partition, about.
-ENTRIES = 4_000_000
+ENTRIES = 2_000_000
 #: Contexts seen more often than this always keep one count for what was not seen.
 MANY = 1 << 16
 START, END = splitting.hashes(pa.array([" start", " end"]))  # no word holds a blank

@@ -14,7 +14,7 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Bytes of text that are split at a time; a longer text is a portion of its own.
-PORTION = 1 << 24
+PORTION = 1 << 23
 
 
 def byte_table(separators: bytes) -> bytes:
