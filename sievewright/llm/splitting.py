@@ -35,6 +35,7 @@ def portions(texts: pa.StringArray) -> Iterator[pa.StringArray]:
         stop = max(start + 1, int(np.searchsorted(sizes, before + PORTION, side="right")))
         yield texts.slice(start, stop - start)
         start = stop
+        pa.default_memory_pool().release_unused()
 
 
 def split(texts: pa.StringArray, table: bytes) -> tuple[np.ndarray, np.ndarray, pa.StringArray]:
@@ -42,9 +43,16 @@ def split(texts: pa.StringArray, table: bytes) -> tuple[np.ndarray, np.ndarray,
 
     NULL has no words.
     """
-    valid, offsets, data = texts.buffers()
-    data = pa.py_buffer((data or b"") and data.to_pybytes().translate(table))
-    plain = pa.StringArray.from_buffers(len(texts), offsets, data, valid, -1, texts.offset)
+    if not len(texts):
+        return np.empty(0, np.int64), np.empty(0, np.int64), pa.array([], pa.string())
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    own = data.slice(ends[0], ends[-1] - ends[0]).to_pybytes().translate(table) if data else b""
+    known = None if texts.null_count == 0 else texts.is_valid().to_numpy(zero_copy_only=False)
+    plain = pa.StringArray.from_buffers(
+        len(texts), pa.py_buffer(ends - ends[0]), pa.py_buffer(own),
+        None if known is None else pa.py_buffer(np.packbits(known, bitorder="little")),
+    )
     lists = pc.ascii_split_whitespace(plain)
     rows = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = pc.dictionary_encode(lists.flatten())
