@@ -16,6 +16,7 @@ scored where the text is read; the numbers of both are bounded by the number of
 
 from __future__ import annotations
 
+import hashlib
 import math
 import sys
 from collections.abc import Iterator
@@ -43,8 +44,10 @@ MANY = 1 << 16
 START, END = splitting.hashes(pa.array([" start", " end"]))  # no word holds a blank
 
 PACKED = "part int, kind int, blob binary"
-SUMS = "doc_id long, digest long, w long, n long, score double, base double, tokens long, known long, copies long"
-PAIRS, MASS, ENTRY, DIRECT = range(4)
+#: Packed sums of a portion's documents, or one new pair (document, token, count) that has to be looked up.
+REPLY = "portion long, blob binary, doc int, w long, n long"
+SUMS = "portion long, doc int, doc_id long, digest long, score double, base double, tokens long, known long, copies long"
+PAIRS, MASS, ENTRY, PASSED = range(4)
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -390,7 +393,13 @@ def _entry_packer(model: dict):
         for rows, docs, codes, ids in _documents(batches, 2):
             docs, before, token, ids = _pairs(docs, codes, ids, rows.num_rows)
             names = words.numbers(ids)
-            rows_of = [rows.column(0).fill_null(0).to_numpy(), rows.column(0).is_valid().to_numpy(zero_copy_only=False), rows.column(1).to_numpy()]
+            some = rows.column(0).is_valid().to_numpy(zero_copy_only=False)
+            who = {"key": rows.column(0).fill_null(0).to_numpy(), "some": some, "digest": rows.column(1).to_numpy()}
+            # portions of equal rows are one: their sums are added, and divided by the number of copies in the end
+            name = hashlib.blake2b(b"".join(x.tobytes() for x in who.values()), digest_size=8).digest()
+            portion = np.frombuffer(name, np.int64)
+            home = int(_mixed(portion)[0] % np.uint64(words.parts))
+            yield _row(home, PASSED, _pack(portion=portion, **who))
             pairs = before * len(ids) + token
             order = np.lexsort((docs, pairs))
             pairs, docs = pairs[order], docs[order]
@@ -405,37 +414,36 @@ def _entry_packer(model: dict):
 
             def entries(at: np.ndarray):
                 which = np.repeat(starts[at], held[at]) + _places(held[at])
-                used, local = np.unique(docs[which], return_inverse=True)
-                ids_of = dict(zip(("key", "some", "digest"), (x[used] for x in rows_of), strict=True))
-                return local, n[which], ids_of
+                return docs[which], n[which]
 
             if (here >= 0).any():
                 at = np.flatnonzero(here >= 0)
-                doc, count, ids_of = entries(at)
+                doc, count = entries(at)
                 pair = np.repeat(here[at], held[at])
                 end, start = np.repeat(w[at] == model["end"], held[at]), np.repeat(v[at] == model["start"], held[at])
-                to = int(_mixed(ids_of["digest"][:1])[0] % np.uint64(words.parts))
-                yield _row(to, DIRECT, _pack(**ids_of, **_per_document(
-                    doc, count, heavy_scores[pair], heavy_counts[pair], start, end, len(ids_of["key"])
-                )))
+                sums = _per_document(doc, count, heavy_scores[pair], heavy_counts[pair], start, end)
+                yield _row(home, PASSED, _pack(portion=portion, **sums))
             rest = np.flatnonzero(here < 0)
             for p, at in _by_part(words.part(v[rest], w[rest])):
                 at = rest[at]
                 at = at[np.lexsort((w[at], v[at]))]
-                doc, count, ids_of = entries(at)
+                doc, count = entries(at)
                 yield _row(p, ENTRY, _pack(
-                    **_by_context(v[at], w[at]), held=_small(held[at]), doc=_small(doc), n=_small(count), **ids_of
+                    portion=portion, **_by_context(v[at], w[at]), held=_small(held[at]), doc=_small(doc), n=_small(count)
                 ))
 
     return pack
 
 
-def _per_document(doc, n, score, count, start, end, size: int) -> dict[str, np.ndarray]:
-    """Sums over a document's pairs; ``count`` is the context's."""
+def _per_document(doc, n, score, count, start, end) -> dict[str, np.ndarray]:
+    """Sums over a document's pairs; ``count`` is the context's. Documents are given by their distances."""
+    used, doc = np.unique(doc, return_inverse=True)
+    size = len(used)
     whole = {"tokens": n, "known": n * ((count > 0) & ~start), "copies": n * end}
     return {
-        "score": np.bincount(doc, score * n, size), "base": np.bincount(doc, np.where(start, 0.0, np.log10(count + 1)) * n, size),
-        **{k: np.bincount(doc, x, size).astype(np.int64) for k, x in whole.items()},
+        "gap": _small(np.diff(used, prepend=0)), "score": np.bincount(doc, score * n, size),
+        "base": np.bincount(doc, np.where(start, 0.0, np.log10(count + 1)) * n, size),
+        **{k: _small(np.bincount(doc, x, size)) for k, x in whole.items()},
     }
 
 
@@ -488,17 +496,37 @@ def _lookup(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(sorted_[at] == x, at, -1)
 
 
-def _sums(key, some, digest, **columns) -> pa.Table:
-    ids = {"doc_id": pa.array(key, pa.int64(), mask=~some), "digest": pa.array(digest, pa.int64())}
-    zeros = np.zeros(len(key))
-    types = {"n": pa.int64(), "score": pa.float64(), "base": pa.float64(), "tokens": pa.int64(), "known": pa.int64(), "copies": pa.int64()}
-    w = pa.array(columns["w"], pa.int64()) if "w" in columns else pa.nulls(len(key), pa.int64())
-    rest = {c: pa.array(columns.get(c, zeros).astype(t.to_pandas_dtype()), t) for c, t in types.items()}
-    return pa.table({**ids, "w": w, **rest})
+def _reply(portion: int, blob: bytes | None = None, doc=(), w=(), n=()) -> pa.Table:
+    """One row with a blob, or one for every pair to be looked up."""
+    size = len(doc) if blob is None else 1
+    columns = [doc, w, n] if blob is None else [[None]] * 3
+    types = [pa.int32(), pa.int64(), pa.int64()]
+    return pa.Table.from_arrays(
+        [pa.array([portion] * size, pa.int64()), pa.array([blob] * size, pa.binary()),
+         *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["portion", "blob", "doc", "w", "n"],
+    )
+
+
+def _add(table: pa.Table) -> pa.Table:
+    """A portion's documents with their sums over all partitions."""
+    parts = [_unpack(b) for b in table["blob"].to_pylist()]
+    who = next(p for p in parts if "key" in p)
+    size = len(who["key"])
+    sums = {c: np.zeros(size, np.int64 if c in ("tokens", "known", "copies") else float) for c in ("score", "base", "tokens", "known", "copies")}
+    for p in parts:
+        if "gap" in p:
+            at = np.cumsum(p["gap"].astype(np.int64))
+            for c, total in sums.items():
+                total[at] += p[c].astype(total.dtype)
+    first = pa.chunked_array([pa.array([table["portion"][0].as_py()] * size, pa.int64())])
+    return pa.table({
+        "portion": first, "doc": pa.array(np.arange(size), pa.int32()), "doc_id": pa.array(who["key"], pa.int64(), mask=~who["some"]),
+        "digest": who["digest"], **sums,
+    })
 
 
 def _scorer(model: dict):
-    """One row of sums per document of a partition; new pairs whose token is not among the known are returned to be looked up."""
+    """Sums of every portion's documents over a partition; new pairs whose token is not among the known are to be looked up."""
     words: Words = model["words"]
 
     def score(table: pa.Table) -> pa.Table:
@@ -509,8 +537,8 @@ def _scorer(model: dict):
         heavy = np.array(sorted(model["contexts"]), np.int64)
         heavy_counts = np.array([model["contexts"][x][0] for x in heavy.tolist()], np.int64)
         heavy_weights = np.array([model["contexts"][x][2] for x in heavy.tolist()])
-        out = [_sums(np.empty(0, np.int64), np.empty(0, bool), np.empty(0, np.int64))]
-        out += [_sums(**_unpack(blob)) for blob in by_kind.get(DIRECT, [])]
+        out = [_reply(0)]
+        out += [_reply(int(_unpack(blob)["portion"][0]), blob) for blob in by_kind.get(PASSED, [])]
         for blob in by_kind.get(ENTRY, []):
             c = _unpack(blob)
             v, w = _pairs_of(c)
@@ -523,12 +551,11 @@ def _scorer(model: dict):
             scores[known] += np.log10(model["chances"][w[known]])
             scores[seen] = part.score[pair[seen]]
             row = np.repeat(np.arange(len(v)), c["held"])
-            doc, n, ids = c["doc"], c["n"].astype(np.int64), (c["key"], c["some"], c["digest"])
-            out.append(_sums(*ids, **_per_document(
-                doc, n, scores[row], count[row], (v == model["start"])[row], (w == model["end"])[row], len(ids[0])
-            )))
+            doc, n, portion = c["doc"], c["n"].astype(np.int64), int(c["portion"][0])
+            sums = _per_document(doc, n, scores[row], count[row], (v == model["start"])[row], (w == model["end"])[row])
+            out.append(_reply(portion, _pack(**sums)))
             rest = np.flatnonzero((~seen & ~known)[row])
-            out.append(_sums(*(x[doc[rest]] for x in ids), w=w[row[rest]], n=n[rest]))
+            out.append(_reply(portion, None, doc[rest], w[row[rest]], n[rest]))
         return pa.concat_tables(out)
 
     return score
@@ -554,15 +581,14 @@ def log_probabilities(df: DataFrame, model: Model, keep: list[Column], key: str
     digest = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     docs = df.select(F.col(key).cast("long").alias("doc_id"), digest.alias("digest"), F.col(text).alias("text"))
     rows = model.packed.unionByName(docs.mapInArrow(_entry_packer(small), PACKED))
-    sums = stage(rows.groupBy("part").applyInArrow(_scorer(small), SUMS), "sums")
-
+    replies = stage(rows.groupBy("part").applyInArrow(_scorer(small), REPLY), "replies")
+    sums = replies.filter("blob is not null").select("portion", "blob").groupBy("portion").applyInArrow(_add, SUMS)
     # what a partition could not look up: new pairs with a token that is rare or was never seen
     chance = F.coalesce("p", F.lit(model.unseen))
-    open_ = sums.filter("w is not null").select("doc_id", "digest", "w", "n").join(model.seldom, "w", "left").select(
-        "doc_id", "digest", (F.col("n") * F.log10(chance)).alias("score"), F.lit(0.0).alias("base"),
-        *[F.lit(0).cast("long").alias(c) for c in ("tokens", "known", "copies")],
+    open_ = replies.filter("w is not null").select("portion", "doc", "w", "n").join(model.seldom, "w", "left").groupBy("portion", "doc").agg(
+        F.sum(F.col("n") * F.log10(chance)).alias("open")
     )
-    parts = sums.filter("w is null").drop("w", "n").unionByName(open_)
+    parts = sums.join(open_, ["portion", "doc"], "left").withColumn("score", F.col("score") + F.coalesce("open", F.lit(0.0)))
     # rows of one key and text were read as often as their end
     totals = parts.groupBy("doc_id", "digest").agg(*[
         (F.sum(c) / F.sum("copies")).alias(c) for c in ("score", "base", "tokens", "known")
