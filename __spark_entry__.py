@@ -605,7 +605,7 @@ def random_over(spark, sf_dir):
 
 @query(
     "random_under",
-    """select doc_id, quality, toxic from (select *, row_number() over (partition by toxic
+    """select cast(doc_id as varchar) as doc_id, quality, toxic from (select *, row_number() over (partition by toxic
          order by md5(concat_ws('|', doc_id, 42))) as r from labels)
        where r <= (select min(n) from (select count(*) as n from labels group by toxic))""",
 )
@@ -789,9 +789,14 @@ def knn_within_class(spark, sf_dir):
 
 @query(
     "tomek_links",
-    f"""with n as materialized (select vec_id, nn_id, la, lb from {_knn_sql(1, False, RARE)})
+    f"""with r as materialized (select vec_id, label, embedding::double[] as v from {RARE}),
+        d as materialized (select a.vec_id, b.vec_id as nn_id, a.label <> b.label as mixed, list_distance(a.v, b.v) as distance
+                           from r as a join r as b on a.vec_id <> b.vec_id),
+        least as materialized (select vec_id, min(distance) as distance from d group by 1),
+        n as materialized (select vec_id, min(nn_id) as nn_id, arg_min(mixed, nn_id) as mixed
+                           from d join least using (vec_id, distance) group by 1)
         select a.vec_id, a.nn_id from n as a join n as b
-        on a.nn_id = b.vec_id and b.nn_id = a.vec_id where a.la <> a.lb""",
+        on a.nn_id = b.vec_id and b.nn_id = a.vec_id where a.mixed""",
 )
 def tomek_links(spark, sf_dir):
     return balance.tomek_links(rare(spark, sf_dir), "label", VECTOR, "vec_id")
@@ -886,18 +891,19 @@ query(
                          min(label) filter (where n = (select min(n) from c)) as smallest from c)
        select 'over minority' as way, label, case when label = smallest then top else n end as count from c, t
        union all select 'over not majority', label, case when label <> largest then top else n end from c, t
-       union all select 'over dict', label, case when label = 'error' then 5000 else n end from c
+       union all select 'over dict', label, case when label = 'error' then top + 7 else n end from c, t
        union all select 'under majority', label, case when label = largest then least else n end from c, t
        union all select 'under all', label, least from c, t
-       union all select 'under dict', label, case when label = 'click' then 100 else n end from c""",
+       union all select 'under dict', label, case when label = 'click' then least // 2 else n end from c, t""",
 )
 def sampling_strategies(spark, sf_dir):
     """Class sizes after random sampling by every kind of strategy."""
     rows = table(spark, sf_dir, "events").selectExpr("event_id", "event_type as label")
+    sizes = [r["count"] for r in rows.groupBy("label").count().collect()]
     ways = {
         "over minority": (balance.random_over, "minority"), "over not majority": (balance.random_over, "not majority"),
-        "over dict": (balance.random_over, {"error": 5000}), "under majority": (balance.random_under, "majority"),
-        "under all": (balance.random_under, "all"), "under dict": (balance.random_under, {"click": 100}),
+        "over dict": (balance.random_over, {"error": max(sizes) + 7}), "under majority": (balance.random_under, "majority"),
+        "under all": (balance.random_under, "all"), "under dict": (balance.random_under, {"click": min(sizes) // 2}),
     }
     found = None
     for way, (sample, strategy) in ways.items():

@@ -1,32 +1,39 @@
-"""Exact k nearest neighbours as a blocked join with metric pruning.
-
-Rows are assigned to the nearest of a few hundred pivots and the cells so formed are cut into
-blocks of a few thousand rows, so neither a crowded cell nor a large class meets one task.
-Triangle inequalities on pivot distances decide which cells can hold neighbours of which
-others (Lu et al. 2012). Every surviving pair of blocks is one small matrix product that
-returns at most k candidates per row; a per-row top-k merges them.
+"""Exact k nearest neighbours by two-level pivots and a bound for every row.
+
+Base rows go to cells around √n pivots, in two levels of about n^(1/4). Cells lie in blocks of a few thousand rows: small cells
+share one, a crowded cell takes several. A query meets the block of its own cell first; the k-th distance found there is
+its bound. Triangle inequalities then leave only the cells whose ring around their pivot, and around the pivot of the upper
+level, comes within the bound (Lu et al. 2012), and the query is sent to the blocks of those. Base rows are shuffled
+once, into their blocks; only queries are copied. Every meeting is one small matrix product that returns at most k candidates
+per query; a per-row top-k merges them.
 """
 
 from __future__ import annotations
 
 import math
 import sys
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievewright.functions.hashing import row_hash
-from sievewright.session import small_table, stage
+from sievewright.functions.hashing import row_hash, unit_interval
+from sievewright.functions.ranks import by_literal
+from sievewright.session import stage
 
 # ship the task functions below with the job, so executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_ROWS = 4096
-CELL_ROWS = 50_000
-MAX_PIVOTS = 512
+#: Groups are looked up by literals; more of them are an error.
+MOST_GROUPS = 5000
+#: Rounding of distances, relative.
+SLACK = 1e-9
 
 
 def vector_of(features: list[str]):
@@ -34,6 +41,58 @@ def vector_of(features: list[str]):
     return F.expr(f"array({', '.join(f'cast(`{c}` as double)' for c in features)})")
 
 
+@dataclass
+class Pivots:
+    """Pivots of one group: ``upper`` of the first level and, for each, the numbers of its ``cells`` and their pivots.
+
+    ``rings``: least and largest distance of a cell's base rows to its pivot; ``upper_rings`` the same to the upper pivot, over all
+    rows below it. ``blocks``: first block and number of blocks of every cell.
+    """
+
+    upper: np.ndarray
+    cells: list[list[int]]
+    lower: list[np.ndarray]
+    rings: dict[int, tuple[float, float]] | None = None
+    upper_rings: list[tuple[float, float]] | None = None
+    blocks: dict[int, tuple[int, int]] | None = None
+
+
+def _by_group(batch: pa.RecordBatch, pivots: dict[str, Pivots]):
+    """(pivots, rows, vectors) for every group of a batch."""
+    for g, at in _places(batch["grp"]):
+        vectors = batch["vec"].take(pa.array(at))
+        yield pivots[g], at, vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1)
+
+
+def _places(values: pa.Array):
+    """Every distinct value with its rows."""
+    coded = pc.dictionary_encode(values)
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    return [(g, np.flatnonzero(codes == i)) for i, g in enumerate(coded.dictionary.to_pylist())]
+
+
+def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Rows by pivots, by differences: the product form loses digits near 0."""
+    return np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in pivots], axis=1)
+
+
+@dataclass
+class Index:
+    """Base rows in their blocks, cached in that partitioning, and the pivots of every group."""
+
+    rows: DataFrame
+    pivots: dict[str, Pivots]
+
+    def close(self) -> None:
+        self.rows.unpersist()
+
+
+def _shown(df: DataFrame, key: str, vector: str, group: str | None, carry: str | None) -> DataFrame:
+    g = F.col(group).cast("string") if group else F.lit("")
+    tag = F.col(carry) if carry else F.lit(None).cast("int")
+    return df.select(F.col(key).alias("id"), tag.alias("tag"), g.alias("grp"), F.col(vector).cast("array<double>").alias("vec"))
+
+
 def nearest_neighbours(
     queries: DataFrame, base: DataFrame, k: int, key: str = "row_id", vector: str = "features",
     group: str | None = None, carry: str | None = None, pivots: int | None = None,
@@ -44,231 +103,234 @@ def nearest_neighbours(
     Euclidean distance, ties by key, never the row itself. With ``group`` only rows of the
     same group are neighbours. Fewer rows come back where a group has fewer. ``carry`` names a
     column to bring along from both rows, as ``<carry>`` and ``nn_<carry>``: joining it on
-    afterwards would meet a hot key wherever many copies share their nearest row.
+    afterwards would meet a hot key wherever many copies share their nearest row. ``pivots`` per group
+    default to the square root of its rows.
     """
-    g = F.col(group).cast("string") if group else F.lit("")
-    tag = F.col(carry) if carry else F.lit(None).cast("int")
-    shown = [
-        F.col(key).alias("id"), tag.alias("tag"), g.alias("grp"),
-        F.col(vector).cast("array<double>").alias("vec"),
-    ]
-    q, s = queries.select(*shown), base.select(*shown)
-    sizes = {r["grp"]: r["count"] for r in s.groupBy("grp").count().collect()}
-    if not sizes:
-        return _named(
-            q.select("id", "tag", F.col("id").alias("nn_id"), F.col("tag").alias("nn_tag"),
-                     F.lit(0.0).alias("distance"), F.lit(1).alias("rank")).limit(0), key, carry,
-        )
-    same = queries is base
-    centres = _choose_pivots(s, sizes, pivots)
-    s = stage(_assign(s, centres), "neighbour-base")
-    q = s if same else stage(_assign(q, centres), "neighbour-queries")
-    pairs = _cell_pairs(q, s, centres, k, block_rows)
-    spark = base.sparkSession
-    table = small_table(
-        spark, pairs, "q_cell int, s_cell int, q_blocks int, s_blocks int, near double, far double"
-    )
-
-    def block(blocks: str):
-        return F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
-
-    left = (
-        q.join(table, q["cell"] == table["q_cell"])
-        .withColumn("q_block", block("q_blocks"))
-        .withColumn("s_block", F.explode(F.sequence(F.lit(0), F.col("s_blocks") - 1)))
-        .select("q_cell", "q_block", "s_cell", "s_block", "id", "tag", "vec")
-        .toDF("qc", "qb", "sc", "sb", "id", "tag", "vec")
-    )
-    right = (
-        s.join(table, s["cell"] == table["s_cell"])
-        .filter((F.col("radius") >= F.col("near")) & (F.col("radius") <= F.col("far")))
-        .withColumn("s_block", block("s_blocks"))
-        .withColumn("q_block", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)))
-        .select("q_cell", "q_block", "s_cell", "s_block", "id", "tag", "vec")
-        .toDF("with_qc", "with_qb", "with_sc", "with_sb", "nn_id", "nn_tag", "nn_vec")
-    )
-    keys = ["qc", "qb", "sc", "sb"]
-    id_type, tag_type = (q.schema[c].dataType.simpleString() for c in ("id", "tag"))
-    candidates = (
-        left.groupBy(*keys)
-        .cogroup(right.groupBy(*[f"with_{c}" for c in keys]))
-        .applyInPandas(
-            _block_candidates(k),
-            f"id {id_type}, tag {tag_type}, nn_id {id_type}, nn_tag {tag_type}, distance double",
-        )
-    )
+    s = _shown(base, key, vector, group, carry)
+    q = s if queries is base else _shown(queries, key, vector, group, carry)
+    index = build_index(s, pivots, block_rows)
+    if index is None:
+        empty = q.select("id", "tag", F.col("id").alias("nn_id"), F.col("tag").alias("nn_tag"), F.lit(0.0).alias("distance"), F.lit(1).alias("rank"))
+        return _named(empty.limit(0), key, carry)
+    own = stage(own_block(index, None if q is s else q, k), "neighbour-own")
+    rest = _meet(index, routed(index, q, own, k), k)
+    candidates = stage(own.select(*CANDIDATE).unionByName(rest.select(*CANDIDATE)), "neighbours")
+    index.close()
     order = Window.partitionBy("id").orderBy("distance", "nn_id")
     ranked = candidates.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return _named(ranked, key, carry)
 
 
+CANDIDATE = ["id", "tag", "nn_id", "nn_tag", "distance"]
+
+
 def _named(found: DataFrame, key: str, carry: str | None) -> DataFrame:
     tags = [F.col("tag").alias(carry), F.col("nn_tag").alias(f"nn_{carry}")] if carry else []
     return found.select(F.col("id").alias(key), *tags, "rank", "nn_id", "distance")
 
 
-def _choose_pivots(s: DataFrame, sizes: dict[str, int], pivots: int | None) -> dict:
-    """Per group, cell numbers and pivot vectors: a few rows drawn by hash, bounded in all."""
-    wish = {g: pivots or max(1, n // CELL_ROWS) for g, n in sizes.items()}
-    shrink = min(1.0, MAX_PIVOTS / sum(wish.values()))
-    wish = {g: max(1, min(sizes[g], int(w * shrink))) for g, w in wish.items()}
-    most = max(wish.values())
+def build_index(s: DataFrame, pivots: int | None = None, block_rows: int = BLOCK_ROWS) -> Index | None:
+    """Cells and blocks of base rows (`_shown`); None without rows. The driver holds √n pivots and their rings."""
+    sizes = {r["grp"]: r["count"] for r in s.groupBy("grp").count().limit(MOST_GROUPS + 1).collect()}
+    if len(sizes) > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups")
+    if not sizes:
+        return None
+    found = _choose_pivots(s, sizes, pivots)
+    placed = stage(_assign(s, found), "neighbour-base")
+    rows = placed.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n"), F.min("radius").alias("near"), F.max("radius").alias("far"),
+        F.min("upper").alias("upper_near"), F.max("upper").alias("upper_far"),
+    ).collect()  # one row per pivot
+    of_cell = {r["cell"]: r for r in rows}
+    block, room = -1, 0
+    for p in found.values():
+        p.rings, p.blocks, p.upper_rings = {}, {}, []
+        room = 0  # rows of two groups share no block
+        for cells in p.cells:
+            used = [of_cell[c] for c in cells if c in of_cell]
+            p.upper_rings.append((min((r["upper_near"] for r in used), default=math.inf), max((r["upper_far"] for r in used), default=-math.inf)))
+            for r in used:
+                p.rings[r["cell"]] = (r["near"], r["far"])
+                count = math.ceil(r["n"] / block_rows)
+                if count > 1:
+                    p.blocks[r["cell"]] = (block + 1, count)
+                    block, room = block + count, 0
+                else:
+                    if r["n"] > room:
+                        block, room = block + 1, block_rows
+                    p.blocks[r["cell"]] = (block, 1)
+                    room -= r["n"]
+    blocked = placed.mapInArrow(_block_of(found), f"{_fields(placed)}, block int").drop("upper", "radius", "cell")
+    # as many partitions as a shuffle has: what is grouped by block later stays where it is
+    parts = int(s.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = blocked.repartition(parts, "block").persist(StorageLevel.DISK_ONLY)
+    rows.count()  # the partitioning of a cached table is known once it is there
+    return Index(rows, found)
+
+
+def _with(batch: pa.RecordBatch, **columns) -> pa.RecordBatch:
+    arrays = [c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()]
+    return pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *columns])
+
+
+def _fields(df: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def _choose_pivots(s: DataFrame, sizes: dict[str, int], pivots: int | None) -> dict[str, Pivots]:
+    """Rows drawn by hash, about the square root of each group's number, or the origin where none was drawn."""
+    wish = {g: pivots or math.ceil(math.sqrt(n)) for g, n in sizes.items()}
+    share = by_literal(F.col("grp"), {g: w / sizes[g] for g, w in wish.items()})
+    digest = row_hash(F.col("id"), "pivot")
     drawn: dict[str, list] = {}
-    if most > 1:
-        order = Window.partitionBy("grp").orderBy(row_hash(F.col("id"), "pivot"))
-        rows = s.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most)
-        for r in rows.collect():
-            if r["_n"] <= wish[r["grp"]]:
-                drawn.setdefault(r["grp"], []).append(r["vec"])
-    centres, cell = {}, 0
+    for r in s.filter(unit_interval(digest, 1) < share).select("grp", "vec", digest.alias("h")).orderBy("h").collect():
+        drawn.setdefault(r["grp"], []).append(r["vec"])
+    result, cell = {}, 0
     for g in sorted(sizes):
-        vectors = np.asarray(drawn[g], dtype=float) if wish[g] > 1 else None
-        count = 1 if vectors is None else len(vectors)
-        centres[g] = (list(range(cell, cell + count)), vectors)
-        cell += count
-    return centres
-
-
-def _assign(rows: DataFrame, centres: dict) -> DataFrame:
-    """Add the cell of the nearest pivot and the distance to it."""
-    known = rows.filter(F.col("grp").isin(list(centres)))
-    if all(v is None for _, v in centres.values()):
-        cells = F.create_map(*[F.lit(x) for g, (c, _) in centres.items() for x in (g, c[0])])
-        return known.withColumn("cell", F.element_at(cells, F.col("grp"))).withColumn(
-            "radius", F.lit(0.0)
-        )
+        vectors = np.unique(np.asarray(drawn.get(g, [[0.0]]), dtype=float), axis=0)
+        first = math.ceil(math.sqrt(len(vectors)))
+        upper = vectors[np.unique(np.linspace(0, len(vectors) - 1, first).astype(int))]
+        at = _distances(vectors, upper).argmin(axis=1)
+        lower = [vectors[at == i] for i in range(len(upper))]
+        cells = []
+        for part in lower:
+            cells.append(list(range(cell, cell + len(part))))
+            cell += len(part)
+        result[g] = Pivots(upper, cells, lower)
+    return result
+
+
+def _assign(rows: DataFrame, pivots: dict[str, Pivots]) -> DataFrame:
+    """Add the cell of the nearest pivot below the nearest upper one, and the distances to both."""
 
     def nearest(batches):
         for batch in batches:
-            cell = np.zeros(len(batch), dtype=np.int32)
-            radius = np.zeros(len(batch))
-            groups = batch["grp"].to_numpy()
-            for g in pd.unique(groups):
-                at = np.flatnonzero(groups == g)
-                cells, vectors = centres[g]
-                cell[at] = cells[0]
-                if vectors is None:
-                    continue
-                x = np.stack(batch["vec"].to_numpy()[at])
-                best = np.full(len(at), np.inf)
-                for number, centre in zip(cells, vectors, strict=True):
-                    d = np.sqrt(((x - centre) ** 2).sum(axis=1))
-                    closer = d < best
-                    best[closer] = d[closer]
-                    cell[at[closer]] = number
-                radius[at] = best
-            yield batch.assign(cell=cell, radius=radius)
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return known.mapInPandas(nearest, f"{schema}, cell int, radius double")
-
-
-def _cell_pairs(
-    q: DataFrame, s: DataFrame, centres: dict, k: int, block_rows: int
-) -> list[tuple]:
-    """Cell pairs that may contain neighbours, with the pivot distances worth sending.
-
-    For queries in cell i: any k+1 known base rows bound how far the k-th neighbour can be,
-    and a base row whose pivot distance puts it farther than that bound is left out.
-    """
-    def summary(rows):
-        return {
-            r["cell"]: r
-            for r in rows.groupBy("cell")
-            .agg(F.count(F.lit(1)).alias("n"), F.max("radius").alias("far"))
-            .collect()
-        }
-
-    of_s = summary(s)
-    of_q = of_s if q is s else summary(q)
-    order = Window.partitionBy("cell").orderBy("radius")
-    inner: dict[int, list[float]] = {}
-    if any(v is not None for _, v in centres.values()):
-        first = (
-            s.select("cell", "radius")
-            .withColumn("_n", F.row_number().over(order))
-            .filter(F.col("_n") <= k + 1)
-        )
-        for r in first.collect():
-            inner.setdefault(r["cell"], []).append(r["radius"])
-
-    def blocks(n):
-        return max(1, math.ceil(n / block_rows))
-
-    slack = 1e-9
-    pairs = []
-    for cells, vectors in centres.values():
-        if vectors is None:
-            c = cells[0]
-            if c in of_q and c in of_s:
-                pairs.append(
-                    (c, c, blocks(of_q[c]["n"]), blocks(of_s[c]["n"]), 0.0, math.inf)
-                )
-            continue
-        apart = np.sqrt(((vectors[:, None, :] - vectors[None, :, :]) ** 2).sum(axis=2))
-        for i, ci in enumerate(cells):
-            if ci not in of_q:
-                continue
-            reach = of_q[ci]["far"]
-            known = sorted(
-                reach + apart[i, j] + r for j, cj in enumerate(cells) for r in inner.get(cj, [])
-            )
-            bound = known[k] if len(known) > k else math.inf
-            for j, cj in enumerate(cells):
-                if cj not in of_s:
-                    continue
-                margin = (reach + bound) * (1 + slack) + slack * (1 + apart[i, j])
-                near, far = float(apart[i, j] - margin), float(apart[i, j] + margin)
-                if of_s[cj]["far"] >= near and min(inner[cj]) <= far:
-                    pairs.append(
-                        (ci, cj, blocks(of_q[ci]["n"]), blocks(of_s[cj]["n"]), near, far)
-                    )
-    return pairs
-
-
-def _sortable(ids: pd.Series) -> np.ndarray:
+            cell, radius, upper = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+            for p, at, x in _by_group(batch, pivots):
+                above = _distances(x, p.upper)
+                first = above.argmin(axis=1)
+                upper[at] = above.min(axis=1)
+                for i in np.unique(first):
+                    own = np.flatnonzero(first == i)
+                    d = _distances(x[own], p.lower[i])
+                    cell[at[own]] = np.asarray(p.cells[i])[d.argmin(axis=1)]
+                    radius[at[own]] = d.min(axis=1)
+            yield _with(batch, cell=cell, radius=radius, upper=upper)
+
+    known = rows.filter(F.col("grp").isin(list(pivots)))
+    return known.mapInArrow(nearest, f"{_fields(rows)}, cell int, radius double, upper double")
+
+
+def _block_of(pivots: dict[str, Pivots]):
+    """Add the block of each row's cell; rows of a crowded cell are dealt over its blocks by their key."""
+
+    def blocks(batches):
+        of_cell = {c: b for p in pivots.values() for c, b in p.blocks.items()}
+        for batch in batches:
+            first, count = np.array([of_cell.get(c, (-1, 1)) for c in batch["cell"].to_pylist()], np.int32).reshape(-1, 2).T
+            dealt = pd.util.hash_array(batch["id"].to_numpy(zero_copy_only=False), categorize=False) % count.astype(np.uint64)
+            yield _with(batch, block=first + dealt.astype(np.int32))
+
+    return blocks
+
+
+def own_block(index: Index, q: DataFrame | None, k: int) -> DataFrame:
+    """Candidates of every query from a block of its own cell, none where it holds no base row. None: the base rows are the queries."""
+    own = index.rows
+    if q is not None:
+        placed = _assign(q, index.pivots)
+        own = placed.mapInArrow(_block_of(index.pivots), f"{_fields(placed)}, block int").filter("block >= 0")
+    return _meet(index, own.select("id", "tag", "vec", F.lit(math.inf).alias("bound"), "block"), k)
+
+
+def routed(index: Index, q: DataFrame, own: DataFrame, k: int) -> DataFrame:
+    """Queries with the blocks that may hold rows within their bound, but for the block they have met."""
+    bounds = own.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far"), F.first("met").alias("met"))
+    bound = F.when(F.col("n") >= k, F.col("far")).otherwise(F.lit(math.inf))
+    known = bounds.select(F.col("id").alias("of"), bound.alias("bound"), "met")
+    open_ = q.filter(F.col("grp").isin(list(index.pivots))).join(known, F.col("id") == F.col("of"), "left").select(
+        "id", "tag", "grp", "vec", F.coalesce("bound", F.lit(math.inf)).alias("bound"), F.coalesce("met", F.lit(-1)).alias("met")
+    )
+    sent = open_.mapInArrow(_router(index.pivots), f"{_fields(open_)}, blocks array<int>")
+    return sent.select("id", "tag", "vec", "bound", F.explode("blocks").alias("block"))
+
+
+def _router(pivots: dict[str, Pivots]):
+    def route(batches):
+        for batch in batches:
+            bound, met = batch["bound"].to_numpy(), batch["met"].to_numpy()
+            found: list[set] = [set() for _ in range(batch.num_rows)]
+            for p, at, x in _by_group(batch, pivots):
+                above = _distances(x, p.upper)
+                for i, (near, far) in enumerate(p.upper_rings):
+                    some = np.flatnonzero(_reaches(above[:, i], bound[at], near, far))
+                    if not len(some):
+                        continue
+                    below = _distances(x[some], p.lower[i])
+                    for j, c in enumerate(p.cells[i]):
+                        if c in p.rings:
+                            first, count = p.blocks[c]
+                            for r in some[_reaches(below[:, j], bound[at[some]], *p.rings[c])]:
+                                found[at[r]].update(range(first, first + count))
+            blocks = [sorted(b - {m}) for b, m in zip(found, met.tolist(), strict=True)]
+            yield _with(batch, blocks=pa.array(blocks, pa.list_(pa.int32())))
+
+    return route
+
+
+def _reaches(distance: np.ndarray, bound: np.ndarray, near: float, far: float) -> np.ndarray:
+    """Whether a ring around a pivot comes within the bound of a query at this distance of the pivot."""
+    margin = bound * (1 + SLACK) + SLACK * (1 + distance)
+    return (distance - margin <= far) & (distance + margin >= near)
+
+
+def _meet(index: Index, queries: DataFrame, k: int) -> DataFrame:
+    """Queries (id, tag, vec, bound, block) against the base rows of their block, up to their bound."""
+    id_type, tag_type = (index.rows.schema[c].dataType.simpleString() for c in ("id", "tag"))
+    base = index.rows.select("block", F.col("id").alias("nn_id"), F.col("tag").alias("nn_tag"), F.col("vec").alias("nn_vec"))
+    return queries.groupBy("block").cogroup(base.groupBy("block")).applyInArrow(
+        _block_candidates(k), f"id {id_type}, tag {tag_type}, nn_id {id_type}, nn_tag {tag_type}, distance double, met int",
+    )
+
+
+def _sortable(ids: pa.ChunkedArray) -> np.ndarray:
     values = ids.to_numpy()
     return values.astype(str) if values.dtype == object else values
 
 
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def _block_candidates(k: int):
-    """The k nearest rows of one block for every row of another."""
+    """The k nearest rows of a block for every query that meets it."""
 
-    def candidates(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or s.empty:
-            return pd.DataFrame({c: [] for c in ("id", "tag", "nn_id", "nn_tag", "distance")})
-        x, y = np.stack(q["vec"].to_numpy()), np.stack(s["nn_vec"].to_numpy())
-        ids, others = _sortable(q["id"]), _sortable(s["nn_id"])
+    def candidates(q: pa.Table, s: pa.Table) -> pa.Table:
+        parts = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        x, y = (_vectors(t[c]) if t.num_rows else None for t, c in ((q, "vec"), (s, "nn_vec")))
+        ids, others, bound = _sortable(q["id"]), _sortable(s["nn_id"]), q["bound"].to_numpy()
         keep = min(k + 1, len(others))  # one more, in case the row itself is among them
-        yy = (y * y).sum(axis=1)
-        out = []
-        for start in range(0, len(ids), 256):
+        for start in range(0, len(ids) if len(others) else 0, 256):
             part = x[start : start + 256]
-            xx = (part * part).sum(axis=1)
+            xx, yy = (part * part).sum(axis=1), (y * y).sum(axis=1)
             rough = xx[:, None] + yy[None, :] - 2.0 * (part @ y.T)
             # the product form may be off by rounding: keep what it cannot rule out, and
             # decide by the difference form
             error = 1e-12 * part.shape[1] * (xx[:, None] + yy.max() + 1e-300)
             limit = np.partition(rough, keep - 1, axis=1)[:, keep - 1 : keep] + 2 * error
             rows, at = np.nonzero(rough <= limit)
-            rest = others[at] != ids[start + rows]
-            rows, at = rows[rest], at[rest]
             distance = np.sqrt(((y[at] - part[rows]) ** 2).sum(axis=1))
+            rest = (others[at] != ids[start + rows]) & (distance <= bound[start + rows])
+            rows, at, distance = rows[rest], at[rest], distance[rest]
             order = np.lexsort((others[at], distance, rows))
             rows, at, distance = rows[order], at[order], distance[order]
             # the place of a candidate among those of its row
-            place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-            best = place < k
-            out.append((start + rows[best], at[best], distance[best]))
-        mine, theirs, distances = (np.concatenate(c) for c in zip(*out, strict=True))
-        return pd.DataFrame(
-            {
-                "id": ids[mine],
-                "tag": q["tag"].to_numpy()[mine],
-                "nn_id": others[theirs],
-                "nn_tag": s["nn_tag"].to_numpy()[theirs],
-                "distance": distances,
-            }
-        )
+            best = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+            parts.append((start + rows[best], at[best], distance[best]))
+        mine, theirs, distances = (np.concatenate(c) for c in zip(*parts, strict=True))
+        own, found = q.take(pa.array(mine)), s.take(pa.array(theirs))
+        columns = [own["id"], own["tag"], found["nn_id"], found["nn_tag"], pa.array(distances), own["block"]]
+        return pa.Table.from_arrays(columns, names=["id", "tag", "nn_id", "nn_tag", "distance", "met"])
 
     return candidates

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievewright.operators import balance
+from sievewright.operators import balance, neighbors
 from sievewright.operators.neighbors import nearest_neighbours
 
 
@@ -52,6 +52,48 @@ def test_neighbours_of_copies(spark):
         assert {r["nn_id"] for r in found if r["id"] == 7} == {0, 1, 2}
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_rows_are_routed(spark):
+    """In clusters far apart hardly any query leaves its own block, and base rows are not shuffled again."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(30, 6)) * 100
+    x = np.repeat(centres, 40, axis=0) + rng.normal(size=(1200, 6))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, features array<double>")
+    s = neighbors._shown(frame, "row_id", "features", None, None)
+    index = neighbors.build_index(s, block_rows=64)
+    assert len(index.pivots[""].upper) > 3
+    own = neighbors.own_block(index, None, 4)
+    assert "Exchange" not in plan_of(own).split("InMemoryRelation")[0]
+    own = own.persist()
+    blocks = index.rows.select("block").distinct().count()
+    sent = neighbors.routed(index, s, own, 4).count()
+    assert blocks >= 19 and sent < 0.1 * 1200 * (blocks - 1)
+    index.close()
+    own.unpersist()
+    expected, _ = brute(x, 4)
+    got = {(r["row_id"], r["rank"]): r["nn_id"] for r in nearest_neighbours(frame, frame, 4, block_rows=64).collect()}
+    assert got == {(i, j + 1): int(expected[i, j]) for i in range(1200) for j in range(4)}
+
+
+def test_other_queries_and_strange_groups(spark):
+    rng = np.random.default_rng(10)
+    base = [(f"b{i:03}", "xy"[i % 2], rng.normal(size=3).tolist()) for i in range(90)] + [("lone", "z", [0.0, 0.0, 0.0])]
+    asked = [(f"q{i}", "xyzw"[i % 4], rng.normal(size=3).tolist()) for i in range(20)]
+    schema = "row_id string, g string, features array<double>"
+    found = nearest_neighbours(
+        spark.createDataFrame(asked, schema), spark.createDataFrame(base, schema), 3, group="g", carry="g", block_rows=8
+    ).collect()
+    got = {(r["row_id"], r["rank"]): (r["nn_id"], r["nn_g"]) for r in found}
+    want = {}
+    for i, g, v in asked:
+        near = sorted((float(np.linalg.norm(np.subtract(v, w))), j, h) for j, h, w in base if h == g)[:3]
+        want.update({(i, n + 1): (j, h) for n, (_, j, h) in enumerate(near)})
+    assert got == want
+
+
 def test_targets_and_plan():
     counts = {0: 50, 1: 8, 2: 3}
     assert balance.over_targets(counts) == {1: 42, 2: 47}
