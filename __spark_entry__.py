@@ -1344,7 +1344,7 @@ MESSY_LINE = """case when doc_id % 50 = 7 then concat(doc_id, ',x,', lang, ',sur
        from d where doc_id % 3 <> 0 or doc_id % 50 <> 7""",
 )
 def ingest_messy_csv(spark, sf_dir):
-    """Three files: quotes, line breaks, blank, short and surplus lines; another header; single-byte text."""
+    """Files of three kinds, some larger than a split: quotes, line breaks, blank, short and surplus lines; another header; single-byte text."""
     docs, folder = table(spark, sf_dir, "documents"), _scratch(spark, "messy")
     plain = docs.filter("doc_id % 3 = 0").selectExpr("doc_id", f"{MESSY_LINE} as line")
     header = spark.range(1).selectExpr("-1L as doc_id", "'id,text, Lang' as line")
@@ -1358,7 +1358,7 @@ def ingest_messy_csv(spark, sf_dir):
     for i, way in enumerate(ways):
         way.save(f"{folder}-{i}")
         _as_files(spark, f"{folder}-{i}", folder, [f"file{i}.csv"])
-    return csv.read_folder(spark, folder, multi_line=True).select("row_id", "source_file", "id", "text", "lang", "note")
+    return csv.read_folder(spark, folder).select("row_id", "source_file", "id", "text", "lang", "note")
 
 
 # -- streaming ------------------------------------------------------------------------------------------------

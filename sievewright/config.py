@@ -12,7 +12,6 @@ from sievewright.operators.split import DAY_ASSIGNMENT
 class Ingest:
     encoding: str = "utf-8"
     fallback_encoding: str = "latin-1"
-    multi_line: bool = False  # quoted fields may hold line breaks
 
 
 @dataclass(frozen=True)

@@ -148,10 +148,7 @@ def prepare(raw: DataFrame, config: Config | None = None, sources: DataFrame | N
 def prepare_folder(spark: SparkSession, folder: str, config: Config | None = None) -> Prepared:
     config = config or Config()
     started = time.time()
-    raw = read_folder(
-        spark, folder, config.ingest.encoding, config.ingest.fallback_encoding,
-        multi_line=config.ingest.multi_line,
-    )
+    raw = read_folder(spark, folder, config.ingest.encoding, config.ingest.fallback_encoding)
     done = prepare(raw, config, file_sources(spark, folder))
     done.summary.insert(0, ("ingest", "columns", str(len(raw.columns) - 1)))
     done.summary.insert(0, ("ingest", "rows", str(raw.count())))

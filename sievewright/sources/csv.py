@@ -1,8 +1,10 @@
-"""Folder of delimited files to one staged table.
+"""Folder of delimited files to one table of strings.
 
-Files are scanned once, as single-byte text so that no byte is lost, and staged as Parquet
-with every field still a string. What a whole file decides (its encoding, the position of its
-rows) is settled on the staged columns, not by reading the text again.
+Files are scanned once, split at any line, as raw bytes, and staged as lines. A quoted field may hold line breaks, so whether a
+line begins a record depends on all lines before it: each line is a function of the quote state (within quotes or not)
+at its block's start, and is staged with its answer for both states. Composing the blocks' functions in file order gives the
+state at the start of each block (one row per block), which picks the answer. The same scan decides what a whole
+file decides: its encoding and the position of its rows.
 """
 
 from __future__ import annotations
@@ -10,11 +12,17 @@ from __future__ import annotations
 import csv as csv_rows
 import io
 import posixpath
+import sys
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from fnmatch import fnmatch
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +30,8 @@ from sievewright.functions.names import mangle_header, tidy_names
 from sievewright.functions.text import na_to_null
 from sievewright.session import small_table, stage
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CORRUPT = "_corrupt_record"
 FILE_BITS = 40  # row_id = file number * 2^40 + line number; both stay positive BIGINTs
 BYTES = "ISO-8859-1"  # maps every byte to one character and back
@@ -104,59 +114,147 @@ def _sources(
     return files
 
 
-def _refuse_open_quotes(spark: SparkSession, files: list[SourceFile]) -> None:
-    """A line with an odd number of quotes is part of a record that goes on: read as lines it would be wrong."""
-    lines = spark.read.text([f.path for f in files]).select("value", F.col("_metadata.file_name").alias("file"))
-    found = lines.filter(F.regexp_count("value", F.lit('"')) % 2 == 1).limit(1).collect()
-    if found:
-        raise ValueError(
-            f"{found[0]['file']}: a quoted field goes on in the next line ({found[0]['value'][:80]!r}); use multi_line=True"
-        )
+def _state_after(line: bytes, inside: int) -> int:
+    """Whether a quoted field is open at the end of a line. Only a quote that begins a field opens one."""
+    at = 0
+    while True:
+        if inside:
+            close = line.find(b'"', at)
+            if close < 0:
+                return 1
+            if line[close + 1 : close + 2] == b'"':  # a doubled quote is a quote
+                at = close + 2
+                continue
+            at = close + 1
+        elif at == 0 and line[:1] == b'"':
+            at, inside = 1, 1
+            continue
+        opening = line.find(b',"', at)
+        if opening < 0:
+            return 0
+        at, inside = opening + 2, 1
+
+
+LINES = "_file string, _block bigint, _at bigint, _value binary, " + ", ".join(
+    f"_kind{h} tinyint, _n{h} bigint, _end{h} tinyint" for h in (0, 1)
+)
+BLANK, FIRST, MORE = 0, 1, 2  # a line without content between records, a record's first line, a later one
+
+
+def _quote_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Kind, number of records begun and state after each line, if its block begins outside or within quotes."""
+    place, done, states, begun = None, 0, [0, 1], [0, 0]
+    for batch in batches:
+        files, blocks = batch.column(1).to_pylist(), batch.column(2).to_numpy()
+        codes = pc.dictionary_encode(batch.column(1)).indices.to_numpy()
+        cuts = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (blocks[1:] != blocks[:-1])][: batch.num_rows])
+        for start, stop in zip(cuts, np.append(cuts[1:], batch.num_rows), strict=True):
+            if place != (files[start], blocks[start]):
+                place, done, states, begun = (files[start], blocks[start]), 0, [0, 1], [0, 0]
+            part = batch.slice(start, stop - start)
+            text = part.column(0).view(pa.string())  # byte-wise functions only
+            n = len(text)
+            blank = pc.equal(pc.ascii_trim_whitespace(text), "").to_numpy(zero_copy_only=False)
+            quoted = np.flatnonzero(pc.greater_equal(pc.find_substring(text, '"'), 0).to_numpy(zero_copy_only=False))
+            lines = part.column(0).take(pa.array(quoted)).to_pylist()
+            columns = []
+            for h in (0, 1):
+                after, state = np.full(n, -1, np.int8), states[h]
+                for at, line in zip(quoted.tolist(), lines, strict=True):
+                    after[at] = state = _state_after(line, state)
+                last = np.maximum.accumulate(np.where(after >= 0, np.arange(n), -1))
+                end = np.where(last >= 0, after[last], states[h]).astype(np.int8)
+                before = np.concatenate([[states[h]], end[:-1]])
+                kind = np.where(before == 1, MORE, np.where(blank, BLANK, FIRST)).astype(np.int8)
+                number = begun[h] + np.cumsum(kind == FIRST)
+                states[h], begun[h] = int(end[-1]), int(number[-1])
+                columns += [pa.array(kind), pa.array(number), pa.array(end)]
+            at = pa.array(np.arange(done, done + n))
+            done += n
+            yield pa.RecordBatch.from_arrays(
+                [part.column(1), part.column(2), at, part.column(0), *columns], names=[c.split()[0] for c in LINES.split(", ")]
+            )
 
 
-def _scan(spark: SparkSession, files: list[SourceFile], multi_line: bool) -> DataFrame:
-    """Files of one header: string columns, position, and per row whether its bytes are UTF-8.
+def _records(spark: SparkSession, files: list[SourceFile]) -> DataFrame:
+    """``(_file, _record, _text, source_file, _number, _ok)``: records of all files as single-byte text, without headers."""
+    scanned = spark.read.option("lineSep", "\n").text([f.path for f in files]).select(
+        F.col("value").cast("binary"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_block")
+    )
+    lines = stage(scanned.mapInArrow(_quote_states, LINES), "ingest-lines")
+    blocks = lines.groupBy("_file", "_block").agg(
+        *[F.max(f"_n{h}").alias(f"_n{h}") for h in (0, 1)], *[F.max_by(f"_end{h}", "_at").alias(f"_end{h}") for h in (0, 1)],
+        F.bool_and(F.is_valid_utf8("_value")).alias("_valid"),
+    )
+    # where each block of each file starts, and in which state; one row per block of input
+    upto = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    swaps = (F.col("_end0") > F.col("_end1")).cast("int")
+    counted = blocks.withColumn("_swaps", F.sum(swaps).over(upto)).withColumn(
+        "_fixed", F.when(F.col("_end0") == F.col("_end1"), F.struct(F.col("_end0").alias("end"), "_swaps"))
+    )
+    fixed, turned = F.last("_fixed", ignorenulls=True).over(before), F.coalesce(F.sum(swaps).over(before), F.lit(0))
+    entered = counted.withColumn("_last", fixed).withColumn(
+        "_state", (F.coalesce("_last.end", F.lit(0)) + turned - F.coalesce("_last._swaps", F.lit(0))) % 2
+    )
+
+    def chosen(c: str):
+        return F.when(F.col("_state") == 0, F.col(f"{c}0")).otherwise(F.col(f"{c}1"))
 
-    Lines with too many fields are dropped, short ones padded with NULL. The reader flags
-    both, so a flagged line stays if it has fewer delimiters outside quotes than columns.
+    listed = small_table(
+        spark, [(f.name, f.number, f.source) for f in files], "_file string, _number bigint, source_file string"
+    )
+    whole = Window.partitionBy("_file")
+    places = stage(
+        entered.select(
+            "_file", "_block", "_state", F.coalesce(F.sum(chosen("_n")).over(before), F.lit(0)).alias("_before"),
+            F.bool_and("_valid").over(whole).alias("_ok"), chosen("_end").alias("_open"), (F.max("_block").over(whole) == F.col("_block")).alias("_last"),
+        ).join(listed, "_file"), "ingest-blocks",
+    )
+    never = places.filter("_last and _open = 1").limit(1).collect()
+    if never:
+        raise ValueError(f"{never[0]['_file']}: a quoted field is not closed at the end of the file")
+    single_byte = F.decode("_value", BYTES)
+    placed = lines.join(places.select("_file", "_block", "_state", "_before", "_ok", "_number", "source_file"), ["_file", "_block"]).select(
+        "_file", "_block", "_at", single_byte.alias("_line"), (F.col("_before") + chosen("_n")).alias("_record"), chosen("_kind").alias("_kind"),
+        chosen("_end").alias("_end"), "_number", "source_file", "_ok",
+    ).filter((F.col("_kind") != BLANK) & (F.col("_record") > 1))  # the first record is the header
+    alone = (F.col("_kind") == FIRST) & (F.col("_end") == 0)
+    keys = ["_file", "_record", "source_file", "_number", "_ok"]
+    parts = F.sort_array(F.collect_list(F.struct("_block", "_at", "_line")))
+    joined = placed.filter(~alone).groupBy(*keys).agg(F.array_join(F.transform(parts, lambda x: x["_line"]), "\n").alias("_line"))
+    records = placed.filter(alone).select(*keys, "_line").unionByName(joined)
+    return records.withColumn("_text", F.regexp_replace("_line", "\r$", "")).drop("_line")
+
+
+def _parsed(records: DataFrame, files: list[SourceFile]) -> DataFrame:
+    """Fields of the records of files with one header, as strings.
+
+    Records with too many fields are dropped, short ones padded with NULL. The parser flags
+    both, so a flagged record stays if it has fewer delimiters outside quotes than columns.
     """
     header = files[0].header
     columns = [f"c{i}" for i in range(len(header))]
     schema = ", ".join(f"{c} string" for c in [*columns, CORRUPT])
-    raw = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("encoding", BYTES)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("enforceSchema", True)
-        .option("escape", '"')  # a doubled quote inside quotes is a quote
-        .option("multiLine", multi_line)
-        .csv([f.path for f in files])
-    )
-    flagged = F.col(CORRUPT)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "escape": '"'}  # a doubled quote inside quotes is a quote
+    fields = records.filter(F.col("_file").isin([f.name for f in files])).withColumn("_f", F.from_csv("_text", schema, options))
+    flagged = F.col(f"_f.{CORRUPT}")
     commas = F.regexp_count(F.regexp_replace(flagged, '"[^"]*"', ""), F.lit(","))
-    text = F.coalesce(flagged, F.concat_ws(",", *columns))
-    return raw.select(
-        *[F.col(c).alias(n) for c, n in zip(columns, header, strict=True)],
-        F.col("_metadata.file_name").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_seq"),
-        (flagged.isNull() | (commas < len(columns))).alias("_kept"),
-        F.is_valid_utf8(F.encode(text, BYTES)).alias("_utf8"),
+    return fields.filter(flagged.isNull() | (commas < len(columns))).select(
+        *[F.col(f"_f.{c}").alias(n) for c, n in zip(columns, header, strict=True)], "_record", "_number", "source_file", "_ok",
     )
 
 
 def read_folder(
     spark: SparkSession, folder: str, encoding: str = "utf-8", fallback_encoding: str = "latin-1",
-    pattern: str = "*.csv", tidy: bool = True, multi_line: bool = False,
+    pattern: str = "*.csv", tidy: bool = True,
 ) -> DataFrame:
     """All files of a folder by column name, as strings, with ``source_file`` and ``row_id``.
 
-    ``row_id`` grows with file name and line. A file is decoded with ``encoding`` if all its
+    ``row_id`` grows with file name and record; records that are dropped keep their number. A file is decoded with ``encoding`` if all its
     bytes allow that, else with ``fallback_encoding``. NA texts are NULL. Files with different
-    headers are united by (tidy) name, missing columns NULL. Line breaks inside quotes need ``multi_line``, which
-    reads each file in one task; without it such a file is an error.
+    headers are united by (tidy) name, missing columns NULL. Quoted fields may hold line breaks; files are read in
+    splits all the same. A quote inside an unquoted field is text. A file that ends within quotes is an error.
     """
     strict, loose = _charset(encoding), _charset(fallback_encoding)
     files = _sources(spark, discover_files(spark, folder, pattern), encoding, fallback_encoding,
@@ -164,31 +262,12 @@ def read_folder(
     by_header: dict[tuple, list[SourceFile]] = {}
     for f in files:
         by_header.setdefault(f.header, []).append(f)
-    if not multi_line:
-        _refuse_open_quotes(spark, files)
-    scans = [_scan(spark, group, multi_line) for group in by_header.values()]
+    records = _records(spark, files)
+    scans = [_parsed(records, group) for group in by_header.values()]
     united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
     staged = stage(united, "ingest")
     names = [c for c in dict.fromkeys(n for f in files for n in f.header)]
 
-    # where each block of each file starts; one row per block of input
-    blocks = staged.groupBy("_file", "_block").agg(
-        F.count(F.lit(1)).alias("_rows"), F.min("_seq").alias("_first")
-    )
-    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    numbered = blocks.select(
-        "_file", "_block",
-        (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
-    )
-    valid = staged.groupBy("_file").agg(F.bool_and("_utf8").alias("_ok"))
-    listed = small_table(
-        spark, [(f.name, f.number, f.source) for f in files],
-        "_file string, _number bigint, source_file string",
-    )
-    places = stage(numbered.join(listed.join(valid, "_file", "left"), "_file"), "ingest-blocks")
-
     def decoded(name: str):
         text = F.col("`" + name.replace("`", "``") + "`")
         raw = F.encode(text, BYTES)
@@ -201,16 +280,9 @@ def read_folder(
         # plain ASCII, the bulk of all cells, is the same in every charset
         return F.when(F.octet_length(text) == F.length(text), text).otherwise(wide)
 
-    return (
-        staged.filter("_kept")
-        .join(places, ["_file", "_block"])
-        .select(
-            (F.shiftleft(F.col("_number"), FILE_BITS) + F.col("_seq") + F.col("_shift")).alias(
-                "row_id"
-            ),
-            "source_file",
-            *[na_to_null(decoded(c)).alias(c) for c in names],
-        )
+    return staged.select(
+        (F.shiftleft(F.col("_number"), FILE_BITS) + F.col("_record") - 2).alias("row_id"), "source_file",
+        *[na_to_null(decoded(c)).alias(c) for c in names],
     )
 
 

@@ -1,12 +1,15 @@
 """No caps by number of columns, one plan whatever the size, quoting of raw files."""
 
+import csv
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sievewright.operators import labels, profile, select
 from sievewright.plans.profile import profile_splits
-from sievewright.sources.csv import read_folder
+from sievewright.sources.csv import FILE_BITS, read_folder
 
 
 def wide(spark, n, gaps=False):
@@ -65,7 +68,33 @@ def test_too_many_labels_are_an_error(spark, monkeypatch):
 
 def test_quotes_and_line_breaks(spark, tmp_path):
     (tmp_path / "a.csv").write_text('a,b,c\n1,"say ""hi""",x\n2,"two\nlines",y\n3,"p,q",z,extra\n4,"p, ""q""",z\n')
-    rows = read_folder(spark, str(tmp_path), multi_line=True).orderBy("row_id").select("a", "b", "c").collect()
+    rows = read_folder(spark, str(tmp_path)).orderBy("row_id").select("a", "b", "c").collect()
     assert [tuple(r) for r in rows] == [("1", 'say "hi"', "x"), ("2", "two\nlines", "y"), ("4", 'p, "q"', "z")]
-    with pytest.raises(ValueError, match="multi_line"):
+    (tmp_path / "b.csv").write_text('a,b,c\n1,5" pipe,x\n2,"open,y\n\n3,z,w\n')
+    with pytest.raises(ValueError, match="b.csv: a quoted field is not closed"):
         read_folder(spark, str(tmp_path))
+
+
+def test_large_files_with_line_breaks_are_split(spark, tmp_path):
+    rng = random.Random(2)
+    want = []
+    for name, end in (("one", "\n"), ("two", "\r\n")):
+        rows = [[str(i), "".join(rng.choice(['"', "\n", "\r\n", ",", " ", "ab", "é", '""', "\n\n"]) for _ in range(rng.choice([0, 3, 30]))), "z"] for i in range(600)]
+        rows[50][1] = "long \n" * 2000  # a field over several blocks
+        with open(tmp_path / f"{name}.csv", "w", newline="", encoding="utf-8") as out:
+            writer = csv.writer(out, lineterminator=end)
+            writer.writerows([["n", "t", "u"], *rows])
+            out.write(f'600,5" pipe and 6",z{end} {end}601,"a"b"c,z{end}')
+        want += [(name, i, r[1]) for i, r in enumerate(rows)] + [(name, 600, '5" pipe and 6"')]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        files = [f"{tmp_path}/{n}.csv" for n in ("one", "two")]
+        assert spark.read.option("lineSep", "\n").text(files).rdd.getNumPartitions() > 20
+        df = read_folder(spark, str(tmp_path))
+        got = {(r["source_file"], r["row_id"] & (1 << FILE_BITS) - 1): (r["n"], r["t"]) for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(got) == 2 * 602
+    for name, i, text in want:
+        assert got[name, i] == (str(i), text or None), (name, i)
