@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from sievewright.operators.metrics import METRICS_SCHEMA
 from sievewright.session import small_table
+from sievewright.sources.arrow import load_arrow, save_arrow
 
-# Arrow IPC files have no Spark writer; the columnar ORC format stands in for them.
-FORMATS = {"parquet": "parquet", "orc": "orc", "feather": "orc", "csv": "csv"}
+#: Feather files are Arrow IPC files.
+FORMATS = {"parquet": "parquet", "orc": "orc", "feather": "feather", "csv": "csv"}
 
 
 def save(df: DataFrame, path: str, fmt: str = "parquet") -> str:
@@ -18,6 +19,9 @@ def save(df: DataFrame, path: str, fmt: str = "parquet") -> str:
     if kind is None:
         raise ValueError(f"unsupported format {fmt!r}; use one of {list(FORMATS)}")
     target = f"{path}.{kind}"
+    if kind == "feather":
+        save_arrow(df, target)
+        return target
     writer = df.write.mode("overwrite")
     if kind == "csv":
         writer = writer.option("header", True)
@@ -25,20 +29,10 @@ def save(df: DataFrame, path: str, fmt: str = "parquet") -> str:
     return target
 
 
-def save_parquet(df: DataFrame, path: str) -> str:
-    return save(df, path, "parquet")
-
-
-def save_orc(df: DataFrame, path: str) -> str:
-    return save(df, path, "orc")
-
-
-def save_csv(df: DataFrame, path: str) -> str:
-    return save(df, path, "csv")
-
-
 def load(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     kind = FORMATS[fmt.lower()]
+    if kind == "feather":
+        return load_arrow(spark, f"{path}.{kind}")
     reader = spark.read
     if kind == "csv":
         reader = reader.option("header", True)

@@ -1,9 +1,14 @@
 """Raw bytes in, strings out."""
 
+import datetime
+import pathlib
+
+import pyarrow as pa
 import pytest
+from pyarrow import feather
 from pyspark.sql import functions as F
 
-from sievewright.sources import tables
+from sievewright.sources import arrow, tables
 from sievewright.sources.csv import FILE_BITS, ingest_statistics, read_folder, source_names
 
 
@@ -91,3 +96,31 @@ def test_sinks(spark, tmp_path):
         assert tables.load(spark, str(tmp_path / "t"), fmt).count() == 3
     with pytest.raises(ValueError):
         tables.save(df, str(tmp_path / "t"), "xml")
+
+
+def test_arrow_files(spark, tmp_path, monkeypatch):
+    """Other programs read the parts, this one reads theirs; an overwrite and left-over files change nothing else."""
+    rows = [(i, None if i % 7 == 0 else f"é{i}", [float(i), None], datetime.datetime(2024, 1, 1, i % 24), {"a": i}) for i in range(1000)]
+    df = spark.createDataFrame(rows, "i long, s string, v array<double>, t timestamp, m map<string, int>").repartition(3)
+    where = tables.save(df, str(tmp_path / "t"), "feather")
+    files = sorted(pathlib.Path(where).glob("*.arrow"))
+    assert len(files) == 3
+    seen = pa.concat_tables([pa.ipc.open_file(f).read_all() for f in files])
+    assert sorted(seen["i"].to_pylist()) == list(range(1000)) and seen["s"].null_count == 143
+    (pathlib.Path(where) / "part-00000-left-over.arrow").write_bytes(files[0].read_bytes())
+    back = tables.load(spark, str(tmp_path / "t"), "feather")
+    assert back.schema == df.schema and sorted(back.collect()) == sorted(df.collect())
+    tables.save(df.filter("i < 5"), str(tmp_path / "t"), "feather")
+    assert tables.load(spark, str(tmp_path / "t"), "feather").count() == 5
+    assert len(list(pathlib.Path(where).glob("*.arrow"))) <= 3
+    tables.save(df.filter("i < 0"), str(tmp_path / "none"), "feather")
+    assert tables.load(spark, str(tmp_path / "none"), "feather").schema == df.schema
+    assert tables.load(spark, str(tmp_path / "none"), "feather").count() == 0
+    (tmp_path / "other.feather").mkdir()
+    feather.write_feather(pa.table({"x": [1, 2, 3], "y": ["a", None, "c"]}), str(tmp_path / "other.feather" / "one.feather"))
+    assert [tuple(r) for r in tables.load(spark, str(tmp_path / "other"), "feather").orderBy("x").collect()] == [(1, "a"), (2, None), (3, "c")]
+    monkeypatch.setattr(arrow, "BATCH_ROWS", 10)
+    monkeypatch.setattr(arrow, "BATCHES", 2)
+    tables.save(df.coalesce(1), str(tmp_path / "split"), "feather")
+    whole = tables.load(spark, str(tmp_path / "split"), "feather")
+    assert whole.rdd.getNumPartitions() == 50 and sorted(whole.collect()) == sorted(df.collect())
