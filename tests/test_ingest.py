@@ -124,3 +124,20 @@ def test_arrow_files(spark, tmp_path, monkeypatch):
     tables.save(df.coalesce(1), str(tmp_path / "split"), "feather")
     whole = tables.load(spark, str(tmp_path / "split"), "feather")
     assert whole.rdd.getNumPartitions() == 50 and sorted(whole.collect()) == sorted(df.collect())
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "orc", "feather"])
+def test_features_and_targets_join_by_buckets(spark, tmp_path, fmt):
+    df = spark.range(500).selectExpr("concat('r', id) as row_id", "id * 1.5 as `a b`", "id % 3 as y", "if(id % 5 = 0, 'test', 'train') as split")
+    for _ in range(2):  # a later run replaces the tables
+        tables.save_split(df, str(tmp_path), "train", ["y"], ["a b"], fmt)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        back = tables.load_split(spark, str(tmp_path), "train", fmt)
+        plan = back._jdf.queryExecution().executedPlan().toString()
+        assert ("Exchange" in plan) == (fmt == "feather")
+        assert sorted(back.collect()) == sorted(df.filter("split = 'train'").drop("split").collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("split_")]
