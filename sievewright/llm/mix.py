@@ -187,3 +187,20 @@ def mix_sources(
     return dealt.join(slots.hint("merge"), ["__index", "__block"]).select(
         *plain.columns, position.cast("long").alias("position"), "pass"
     )
+
+
+def mix_rows(df: DataFrame, order: list[Column], source: str = "source", **options) -> DataFrame:
+    """`mix_sources` for wide rows: keys of rows are mixed, and the rows join them once.
+
+    A row's key is 128 bits of all its columns; equal rows are interchangeable, so one of them stands for all. ``options`` and
+    results are those of `mix_sources`.
+    """
+    plain = df.drop("position", "pass")
+    cells = [x for c in plain.columns for x in (F.col(c), F.col(c).isNull())]
+    keys = [F.xxhash64(F.lit(seed), *cells).alias(f"__key{seed}") for seed in (0, 1)]
+    ordered = [c.alias(f"__order{i}") for i, c in enumerate(order)]
+    narrow = plain.select(*keys, F.col(source).alias("__named"), *ordered)
+    mixed = mix_sources(narrow, [F.col(f"__order{i}") for i in range(len(order))], "__named", **options)
+    places = mixed.select("__key0", "__key1", "position", "pass")
+    rows = plain.select(*keys, "*").dropDuplicates(["__key0", "__key1"])
+    return rows.join(places, ["__key0", "__key1"]).select(*plain.columns, "position", "pass")

@@ -111,3 +111,15 @@ def test_one_row_beside_a_large_source_is_not_lifted(spark):
     slots = got.count() // mix.BLOCK_ROWS
     weight = 1 / (1 + 400_000**mix.TEMPER)
     assert n % mix.BLOCK_ROWS == 0 and abs(n / mix.BLOCK_ROWS - weight * slots) < 1
+
+
+def test_wide_rows_mix_like_narrow_ones(spark):
+    rows = [(i, "hot" if i % 3 else f"s{i % 5}", f"text {i}" * 9, None) for i in range(150)]
+    rows += [(500, "hot", None, "x"), (500, None, "hot", "x")] + [(700, "s1", "copy", None)] * 40
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, position string")
+    got = mix.mix_rows(df, [F.col("doc_id")], block_rows=4).collect()
+    narrow = mix.mix_sources(df.select("doc_id", "source"), [F.col("doc_id")], block_rows=4).collect()
+    assert sorted((r["position"], r["doc_id"], r["source"]) for r in got) == sorted((r["position"], r["doc_id"], r["source"]) for r in narrow)
+    used = Counter((r["doc_id"], r["source"], r["text"]) for r in got if r["pass"] == 0)
+    assert used == Counter(r[:3] for r in rows)
+    assert mix.mix_rows(df.limit(0), [F.col("doc_id")]).count() == 0
