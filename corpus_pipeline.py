@@ -52,10 +52,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of every component, once.
 
+    Where rows of that id have different texts, each text stays once.
     Texts without words have no copies. Documents without an id are never linked and stay.
     """
     kept = minhash.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # rows of one id with different texts are different documents; of equal texts one stays
+    texts = [F.xxhash64(F.lit(seed), F.coalesce("text", F.lit(""))) for seed in (0, 1)]
+    safe, names = _renamed(docs.join(kept, "doc_id", "left_semi").select(*docs.columns, *[t.alias(f"__t{i}") for i, t in enumerate(texts)]))
+    one = _as_before(safe.dropDuplicates([names["doc_id"], names["__t0"], names["__t1"]]), {c: names[c] for c in docs.columns})
     return one.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
 
 
@@ -67,9 +71,12 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once, small sources more often, in the order of the mix."""
+    """Every document at least once, small sources more often, in the order of the mix.
+
+    NULL is a source like any other; rows of one id follow each other in no stated order; an empty table stays empty.
+    """
     safe, names = _renamed(docs)
-    ordered = mix.mix_sources(safe, shuffled(names["doc_id"]), names["source"])
+    ordered = mix.mix_rows(safe, shuffled(names["doc_id"]), names["source"])
     return _as_before(ordered.repartitionByRange("position").sortWithinPartitions("position"), names)
 
 
