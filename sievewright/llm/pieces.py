@@ -321,12 +321,22 @@ class Decoder:
         for b, i in enumerate(vocabulary.bytes_):
             raw[i] = bytes([b])
         raw[vocabulary.unknown] = " ⁇ ".encode()
-        self.raw = raw
+        self.raw = pa.array(raw, pa.large_binary())
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: the blank put before a text at encoding goes; broken bytes become U+FFFD."""
-        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+        return self.decode_lists(pa.array([ids], pa.list_(pa.int32())))[0]
+
+    def decode_lists(self, lists: pa.ListArray) -> list[str]:
+        """The text of each list: the bytes of all ids are gathered at once and cut at the ends of the lists (NULL: empty)."""
+        taken = self.raw.take(lists.flatten())
+        _, offsets, data = taken.buffers()
+        at = np.frombuffer(offsets, np.int64, len(taken) + 1, 8 * taken.offset)
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        cuts = at[np.concatenate(([0], np.cumsum(sizes)))].tolist()
+        whole = memoryview(data) if data is not None else memoryview(b"")
+        texts = [str(whole[a:b], "utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return [t[1:] if t.startswith(" ") else t for t in texts]
 
 
 def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -378,10 +388,7 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", into: str =
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                lists = part.column(part.num_columns - 1)
-                ids, ends = lists.flatten().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(lists), 0)
-                cuts = np.cumsum([0, *ends.to_pylist()])
-                texts = [decoder.decode(ids[a:b].tolist()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                texts = decoder.decode_lists(part.column(part.num_columns - 1))
                 yield _with_column(part, pa.array(texts, pa.string()), into)
 
     return df.select(*kept, F.col(ids).alias("__ids")).mapInArrow(run, _schema(df, kept, f"`{into}` string"))

@@ -70,3 +70,16 @@ def test_query_against_the_library(spark, model):
         assert r["n_pieces"] == len(ids)
         assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].replace("▁", " ").encode()).hexdigest()
+
+
+def test_lists_are_cut_at_their_ends(model):
+    import pyarrow as pa
+
+    decoder = pieces.Decoder(model[1])
+    texts = ["é 日本", "", "plain words", "\x01 odd"]
+    ids, counts = pieces.Encoder(model[1]).encode(texts)
+    lists = [part.tolist() for part in np.split(ids, np.cumsum(counts)[:-1])]
+    column = pa.array([[5, 6], *lists, None, [1]], pa.list_(pa.int32())).slice(1, 5)
+    assert decoder.decode_lists(column) == [*texts, ""]
+    broken = model[1].bytes_[0xE3]
+    assert decoder.decode([int(broken)]) == "�"
