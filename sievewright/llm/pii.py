@@ -1,17 +1,20 @@
 """Personal data: proposed by patterns, confirmed by validators, scored by nearby words.
 
-DataFrame expressions only. A pattern proposes leftmost, non-overlapping spans; splitting the text
-at the same pattern gives the gaps between them, and running sums of lengths give code-point
-positions. Validators (Luhn, mod 97, ranges, digit counts) drop failing proposals without a retry. An IBAN
+DataFrame expressions only. A pattern proposes leftmost, non-overlapping spans; validators (Luhn, mod 97, ranges,
+digit counts) drop failing proposals without a retry. Splitting the text at the same pattern gives the gaps between the
+matches, and running sums of lengths, made in parts, give code-point positions where a match is valid. An IBAN
 proposal is first cut to the length that its country has registered. Words in the `WINDOW` code points before or after a
 span raise its score.
 
 Quantifiers are possessive and starts inside a run are excluded, which leaves the matches as they
-are but keeps the work linear in the length of a text.
+are but keeps the search linear in the length of a text. Nothing is looked up by position in a whole text, and no array
+grows match by match over a whole text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,21 +90,58 @@ VALID = {
 }
 
 
+#: Code points of a chunk of text, and numbers of a part of running values: a text is reached by chunk, never from its start.
+CHUNK = 1024
+PART = 64
+_CHUNKS = f"regexp_extract_all(__t, r'(?s).{{1,{CHUNK}}}', 0)"
+
+
+def _sum(a: str, x: str) -> str:
+    return f"{a} + {x}"
+
+
+def _highest(a: str, x: str) -> str:
+    return f"greatest({a}, {x})"
+
+
+def _running(numbers: str, step: Callable[[str, str], str], levels: int = 2) -> str:
+    """Running values of an array of numbers, from 0 by ``step`` (`_sum` or `_highest`).
+
+    An accumulated array is copied at every step, so only parts of `PART` numbers are accumulated; what parts start with
+    comes from the running values of the parts' own results, in the same way.
+    """
+
+    def steps(array: str, start: str) -> str:
+        return f"""aggregate({array}, named_struct('at', {start}, 'out', cast(array() as array<int>)),
+            (s, x) -> named_struct('at', {step("s.at", "x")}, 'out', concat(s.out, array({step("s.at", "x")}))), s -> s.out)"""
+
+    if levels == 0:
+        return steps(numbers, "0")
+    n, p, e = f"n{levels}", f"p{levels}", f"e{levels}"
+    results = f"transform({p}, y -> aggregate(y, 0, (a, x) -> {step('a', 'x')}))"
+    return f"""transform(array({numbers}), {n} -> transform(
+        array(transform(sequence(0, int((size({n}) - 1) div {PART})), i -> slice({n}, i * {PART} + 1, {PART}))), {p} ->
+        transform(array({_running(results, step, levels - 1)}), {e} ->
+            flatten(transform({p}, (y, i) -> {steps("y", f"coalesce(get({e}, i - 1), 0)")})))[0])[0])[0]"""
+
+
+def _between(start: str, end: str) -> str:
+    """The text between two positions (``start`` not after ``end``), from the chunks `__c` that hold it."""
+    first = f"int({start} div {CHUNK})"
+    return (f"substring(array_join(slice(__c, {first} + 1, int({end} div {CHUNK}) - {first} + 1), ''),"
+            f" {start} - {first} * {CHUNK} + 1, {end} - {start})")
+
+
 def _placed(kind: str) -> Column:
-    """Spans (start, end, value) of a kind from its matches and the gaps between them."""
+    """Spans of a kind from its matches, the gaps between them and the numbers (i) and values (v) of the valid ones."""
     rank = KINDS.index(kind)
     score = f"{PRIOR[kind]}D"
     bonus = BONUS_WEAK if kind in ("ssn", "tel") else BONUS
-    before = f"substring(__t, greatest(1, x.s - {WINDOW - 1}), least(x.s, {WINDOW}))"
-    near = " or ".join(f"{side} rlike r\"{CONTEXT[kind]}\"" for side in (before, f"substring(__t, x.e + 1, {WINDOW})"))
-    return F.expr(f"""transform(filter(aggregate(
-        zip_with(__m_{kind}, __g_{kind}, (m, g) -> named_struct('m', m, 'g', g)),
-        named_struct('at', 0, 'out', cast(array() as array<struct<s:int,e:int,v:string>>)),
-        (a, x) -> if(x.m is null, a, named_struct(
-            'at', a.at + length(x.g) + length(x.m),
-            'out', concat(a.out, array(named_struct('s', a.at + length(x.g),
-                'e', a.at + length(x.g) + length(x.m), 'v', x.m))))),
-        a -> a.out), x -> {VALID[kind]}),
+    windows = (_between(f"greatest(0, x.s - {WINDOW})", "x.s"), _between("x.e", f"(x.e + {WINDOW})"))
+    near = " or ".join(f"{side} rlike r\"{CONTEXT[kind]}\"" for side in windows)
+    lengths = f"zip_with(__m_{kind}, __g_{kind}, (m, g) -> coalesce(length(m), 0) + coalesce(length(g), 0))"
+    return F.expr(f"""transform(flatten(transform(array({_running(lengths, _sum)}), ends ->
+        transform(__v_{kind}, x -> named_struct('s', get(ends, x.i) - length(x.v), 'e', get(ends, x.i))))),
       x -> named_struct('start', x.s, 'rank', {rank}, 'kind', '{kind}', 'end', x.e,
                         'score', round({score} + if({near}, {bonus}D, 0D), 2)))""")
 
@@ -121,18 +161,23 @@ def find_spans(df: DataFrame, text: str = "text", into: str = "pii") -> DataFram
         *kept, "__t",
         *[F.regexp_extract_all("__t", F.lit(p), F.lit(0)).alias(f"__m_{k}") for k, p in patterns.items()],
     )
-    gaps = found.select(
+    valid = found.select(
         "*",
         *[
-            F.when(F.size(f"__m_{k}") > 0, F.split("__t", p, -1))
-            .otherwise(F.array().cast("array<string>")).alias(f"__g_{k}")
-            for k, p in patterns.items()
+            F.expr(f"filter(transform(__m_{k}, (v, i) -> named_struct('i', i, 'v', v)), x -> {VALID[k].strip()})").alias(f"__v_{k}")
+            for k in KINDS
         ],
     )
+    some = F.expr(" or ".join(f"size(__v_{k}) > 0" for k in KINDS))
+    gaps = valid.select(
+        "*",
+        F.when(some, F.expr(_CHUNKS)).alias("__c"),
+        *[F.when(F.size(f"__v_{k}") > 0, F.split("__t", F.lit(p), -1)).alias(f"__g_{k}") for k, p in patterns.items()],
+    )
     placed = gaps.select(
-        *kept, "__t",
+        *kept,
         *[
-            F.when(F.size(f"__m_{k}") > 0, _placed(k)).otherwise(
+            F.when(F.size(f"__v_{k}") > 0, _placed(k)).otherwise(
                 F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,score:double>>")
             ).alias(f"__s_{k}")
             for k in KINDS
@@ -154,13 +199,12 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
 
     Texts without spans, NULL and empty ones stay as they are.
     """
-    found = find_spans(df, text, "__spans")
-    clean = F.expr(f"""aggregate(__spans,
-        named_struct('at', 0, 'out', cast(array() as array<string>)),
-        (a, x) -> if(x.start < a.at, named_struct('at', greatest(a.at, x.end), 'out', a.out),
-            named_struct('at', x.end, 'out', concat(a.out, array(
-                substring(`{text}`, a.at + 1, x.start - a.at), concat('[', upper(x.kind), ']'))))),
-        a -> concat(array_join(a.out, ''), substring(`{text}`, a.at + 1, length(`{text}`))))""")
-    return found.withColumn(text, F.when(F.size("__spans") > 0, clean).otherwise(F.col(text))).select(
-        *df.columns
-    )
+    found = find_spans(df, text, "__spans").withColumn("__t", F.col(text))
+    found = found.withColumn("__c", F.when(F.size("__spans") > 0, F.expr(_CHUNKS)))
+    reach = found.withColumn("__r", F.when(
+        F.size("__spans") > 0, F.expr(_running("transform(__spans, x -> x.end)", _highest))))
+    pieces = f"""flatten(transform(__spans, (x, i) -> if(x.start < coalesce(get(__r, i - 1), 0), cast(array() as array<string>),
+        array({_between("coalesce(get(__r, i - 1), 0)", "x.start")}, concat('[', upper(x.kind), ']')))))"""
+    rest = _between("element_at(__r, -1)", "length(__t)")
+    clean = F.expr(f"concat(array_join({pieces}, ''), {rest})")
+    return reach.withColumn(text, F.when(F.size("__spans") > 0, clean).otherwise(F.col(text))).select(*df.columns)

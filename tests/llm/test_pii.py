@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 
@@ -111,3 +112,37 @@ def test_context_after_a_span_counts(spark):
         "123-45-6789" + " x" * 24 + " SSN": [], "123-45-6789 is a part number": [],
     }
     assert added(spark, list(want)) == want
+
+
+LONG = {"numbers": "12, " * 260_000, "mails": "ab@cd.ef, " * 105_000, "no spaces": "é1.2.3.4;" * 100_000}
+
+
+@pytest.mark.parametrize("kind", LONG)
+def test_thousands_of_matches_in_one_text(spark, kind):
+    """A text of a million characters takes seconds, and its spans lie where the plain patterns find them."""
+    df = spark.createDataFrame([(1, LONG[kind])], "doc_id long, text string")
+    started = time.time()
+    (row,) = pii.find_spans(df).collect()
+    assert time.time() - started < 15
+    got = [(x["start"], x["rank"], x["kind"], x["end"]) for x in row["pii"] if x["rank"] < 4]
+    assert got == brute(LONG[kind])
+
+
+def test_redaction_of_a_long_text(spark):
+    rows = [(1, "é ab@cd.ef, " * 30_000 + "end"), (2, "x" * 5000 + " 10.0.0.1 " + "y" * 5000), (3, "card 4111 1111 1111 1111, a@1.2.3.4 end")]
+    got = dict(pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got[1] == "é [EMAIL], " * 30_000 + "end"
+    assert got[2] == "x" * 5000 + " [IP] " + "y" * 5000
+    assert got[3] == "card [CARD], [EMAIL] end"  # the address within the mail goes with it
+
+
+@pytest.mark.parametrize("n", [1, 63, 64, 65, 4096, 4097, 9000])
+def test_running_values(spark, n):
+    from itertools import accumulate
+
+    from pyspark.sql import functions as F
+
+    numbers = [(i * 7919) % 101 for i in range(n)]
+    df = spark.createDataFrame([(numbers,)], "n array<int>")
+    sums, highs = df.select(F.expr(pii._running("n", pii._sum)), F.expr(pii._running("n", pii._highest))).first()
+    assert sums == list(accumulate(numbers)) and highs == list(accumulate(numbers, max))
