@@ -1318,13 +1318,14 @@ def split_tables(spark, sf_dir):
     return back[0].unionByName(back[1]).unionByName(back[2])
 
 
-def _as_files(spark, written: str, folder: str, names: list[str]) -> None:
-    """Move the part files of a written folder into ``folder`` under the given names, in their order."""
+def _as_files(spark, written: str, folder: str, names) -> None:
+    """Move the part files of a written folder into ``folder`` under a list of names, or names by number, in their order."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path
     files = path(written).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     files.mkdirs(path(folder))
     parts = sorted(s.getPath().toString() for s in files.listStatus(path(written)) if s.getPath().getName().startswith("part-"))
+    names = [names(i) for i in range(len(parts))] if callable(names) else names
     for part, name in zip(parts, names, strict=True):
         files.rename(path(part), path(f"{folder}/{name}"))
 
@@ -1572,18 +1573,24 @@ def prepare_dataset_summary(spark, sf_dir):
 DAYS = ["Friday", "Monday", "Saturday", "Sunday", "Thursday", "Tuesday", "Wednesday"]
 
 
+def _day_files(spark, sf_dir) -> str:
+    """A folder of the raw flows, each day in as many files as tasks wrote."""
+    folder = _scratch(spark, "raw")
+    spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    flows = raw_flows(spark, sf_dir).drop("row_id").repartition(4)
+    flows.write.partitionBy("source_file").options(header=True, **spaces).csv(f"{folder}-days")
+    for day in DAYS:
+        _as_files(spark, f"{folder}-days/source_file={day}", folder, lambda i, day=day: f"{day}-hours-{i:05d}.csv")
+    return folder
+
+
 @query(
     "prepare_folder",
     ORACLES["prepare_dataset_summary"].replace("order by row_id, day) as i", "order by day) as i"),
 )
 def prepare_folder_summary(spark, sf_dir):
     """From a folder of raw files to written tables and back, with every parameter table read again."""
-    folder, out = _scratch(spark, "raw"), _scratch(spark, "prepared")
-    flows = raw_flows(spark, sf_dir).drop("row_id")
-    for day in DAYS:
-        one = flows.filter(F.col("source_file") == day).drop("source_file").coalesce(1)
-        one.write.options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{folder}-{day}")
-        _as_files(spark, f"{folder}-{day}", folder, [f"{day}-hours.csv"])
+    folder, out = _day_files(spark, sf_dir), _scratch(spark, "prepared")
     config = Config().override(task="multiclass")
     write_prepared(run_folder(spark, folder, config), out, config)
     codes = {r["label"]: r["code"] for r in tables.load_parameters(spark, out, "label_map").collect()}
@@ -1598,6 +1605,26 @@ def prepare_folder_summary(spark, sf_dir):
     return back.groupBy("split", "label_multi").agg(F.count(F.lit(1)).alias("rows"), *means)
 
 
+@query(
+    "prepare_run_summary",
+    f"""with {PREPARED}, kept as (select row_id, split, case label when 'BENIGN' then 0 when 'Bot' then 1 else 2 end as y from done),
+          tr as (select y, count(*) as n from kept where split = 'train' group by y),
+          w as (select y, sum(n) over () / (count(*) over () * n) as weight from tr)
+        select 'ingest' as stage, 'rows' as metric, count(*)::varchar as value from lineitem
+        union all select 'ingest', 'columns', '5' union all select 'clean', 'rows', count(*)::varchar from one
+        union all select 'clean', 'columns', '3' union all select 'labels', 'task_mode', 'multiclass'
+        union all select 'labels', 'target', 'label_multi'
+        union all select 'split', split, count(*)::varchar from kept group by split
+        union all select 'impute', 'strategy', 'median' union all select 'scale', 'scaler', 'standard'
+        union all select 'weights', y::varchar, round(weight, 6)::decimal(12, 6)::varchar from w""".replace("order by row_id, day) as i", "order by day) as i"),
+)
+def prepare_run_summary(spark, sf_dir):
+    """What a run from raw files notes about itself, all counted by the jobs that write its tables; seconds left out."""
+    done = run_folder(spark, _day_files(spark, sf_dir), Config().override(task="multiclass"))
+    exact = F.when(F.col("stage") == "weights", F.round(F.col("value").cast("double"), 6).cast("decimal(12,6)").cast("string"))
+    return done.summary_table().filter("stage <> 'run'").withColumn("value", F.coalesce(exact, "value"))
+
+
 # -- contract ---------------------------------------------------------------------------------------------------------
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sievewright.operators.balance import class_weights, with_weights
 from sievewright.operators.metrics import best_threshold
 from sievewright.operators.split import stratified_split
+from sievewright.session import staging_path
 
 
 def train_logistic_regression(
@@ -34,7 +35,11 @@ def train_logistic_regression(
         regParam=1.0 / (c * total), elasticNetParam=0.0, maxIter=max_iter, tol=tol,
         aggregationDepth=3,
     ).fit(assembler.transform(rows).select("features_vec", target, "_w"))
-    return PipelineModel([assembler, fit])
+    # a fitted model holds the session through its training summary and cannot be sent to tasks once the session has
+    # observed a frame; read back from its files it holds its numbers alone
+    path = staging_path(df.sparkSession, "model")
+    fit.save(path)
+    return PipelineModel([assembler, LogisticRegressionModel.load(path)])
 
 
 MODELS = {"lr": ("Logistic Regression", train_logistic_regression)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewright.config import Config
@@ -13,11 +13,20 @@ from sievewright.functions.names import numeric_columns
 from sievewright.operators import balance, labels, scale, select
 from sievewright.operators.clean import clean_dataframe, clip_outliers
 from sievewright.operators.split import split_dataset
-from sievewright.session import small_table, stage, stage_counted
+from sievewright.session import small_table, stage, stage_counted, stage_observed
 from sievewright.sources import tables
-from sievewright.sources.csv import FILE_BITS, file_sources, read_folder
+from sievewright.sources.csv import FILE_BITS, file_sources, read_folder_counted
 
 TARGETS = ("label_binary", "label_multi")
+SPLITS = ("test", "train", "val")
+
+
+SUMMARY = "stage string, metric string, value string"
+
+
+def split_rows() -> dict[str, Column]:
+    """Rows of each split, to be observed."""
+    return {name: F.count_if(F.col("split") == name) for name in SPLITS}
 
 
 @dataclass
@@ -33,6 +42,7 @@ class Prepared:
     scaler: DataFrame | None = None
     weights: DataFrame | None = None
     benign: DataFrame | None = None
+    sizes: dict[str, int] = field(default_factory=dict)  # rows of each split
     summary: list[tuple[str, str, str]] = field(default_factory=list)
 
     def note(self, stage_name: str, metric: str, value) -> None:
@@ -42,8 +52,9 @@ class Prepared:
         return self.data.filter(F.col("split") == name)
 
 
-def split_sizes(df: DataFrame) -> dict[str, int]:
-    return {r["split"]: r["count"] for r in df.groupBy("split").count().collect()}
+    def summary_table(self) -> DataFrame:
+        """What the run noted, as (stage, metric, value), in the order of the stages."""
+        return small_table(self.data.sparkSession, self.summary, SUMMARY)
 
 
 def prepare(raw: DataFrame, config: Config | None = None, sources: DataFrame | None = None
@@ -85,14 +96,15 @@ def prepare(raw: DataFrame, config: Config | None = None, sources: DataFrame | N
         labelled, target, config.split.strategy, config.split.test_size, config.split.val_size,
         seed, config.split.day_assignment, "row_id", config.split.order_by,
     )
-    data = stage(split.select("row_id", *features, *targets, "split"), "split", "split")
-    result = Prepared(data, features, targets, target, mapping)
+    data, sizes = stage_observed(split.select("row_id", *features, *targets, "split"), "split", split_rows(), "split")
+    result = Prepared(data, features, targets, target, mapping, sizes=sizes)
     result.note("clean", "rows", rows)
     result.note("clean", "columns", len(features))
     result.note("labels", "task_mode", config.labels.task_mode)
     result.note("labels", "target", target)
-    for name, n in sorted(split_sizes(data).items()):
-        result.note("split", name, n)
+    for name, n in sizes.items():
+        if n:
+            result.note("split", name, n)
 
     if cleaning.clip_outliers and not clip_all:
         data = clip_outliers(
@@ -131,8 +143,8 @@ def prepare(raw: DataFrame, config: Config | None = None, sources: DataFrame | N
         )
         if "label_binary" in targets and target == "label_multi":
             data = data.withColumn("label_binary", (F.col(target) > 0).cast("int"))
-        data = stage(data, "resampled")
-        result.note("resample", config.imbalance.method, split_sizes(data).get("train", 0))
+        data, result.sizes = stage_observed(data, "resampled", split_rows())
+        result.note("resample", config.imbalance.method, result.sizes["train"])
     train = data.filter(F.col("split") == "train")
     if config.class_weights.enabled:
         result.weights = balance.class_weights(train, target, config.class_weights.mode)
@@ -148,10 +160,10 @@ def prepare(raw: DataFrame, config: Config | None = None, sources: DataFrame | N
 def prepare_folder(spark: SparkSession, folder: str, config: Config | None = None) -> Prepared:
     config = config or Config()
     started = time.time()
-    raw = read_folder(spark, folder, config.ingest.encoding, config.ingest.fallback_encoding)
+    raw, rows = read_folder_counted(spark, folder, config.ingest.encoding, config.ingest.fallback_encoding)
     done = prepare(raw, config, file_sources(spark, folder))
     done.summary.insert(0, ("ingest", "columns", str(len(raw.columns) - 1)))
-    done.summary.insert(0, ("ingest", "rows", str(raw.count())))
+    done.summary.insert(0, ("ingest", "rows", str(rows)))
     done.note("run", "seconds", round(time.time() - started, 1))
     return done
 
@@ -160,9 +172,8 @@ def write_prepared(done: Prepared, folder: str, config: Config | None = None) ->
     """Everything a training run needs, in one folder that a later run replaces."""
     config = config or Config()
     fmt, spark = config.transform.save_format, done.data.sparkSession
-    sizes = split_sizes(done.data)
     for name in ("train", "val", "test"):
-        if name != "val" or sizes.get("val"):
+        if name != "val" or done.sizes["val"]:
             tables.save_split(
                 done.data, folder, name, done.targets, done.features, fmt,
                 csv_copy=config.output.save_csv_copy and name != "val",
@@ -181,5 +192,5 @@ def write_prepared(done: Prepared, folder: str, config: Config | None = None) ->
             tables.save_parameters(table, folder, name)
     summary = [*done.summary, ("save", "format", fmt)]
     if config.output.summary_to_file:
-        frame = small_table(spark, summary, "stage string, metric string, value string")
+        frame = small_table(spark, summary, SUMMARY)
         frame.coalesce(1).write.mode("overwrite").json(f"{folder}/summary")

@@ -7,7 +7,8 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
@@ -53,6 +54,11 @@ def staging_root(spark: SparkSession) -> str:
     return root
 
 
+def staging_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of staged tables."""
+    return f"{staging_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """Driver-side rows (parameters, label maps) as a local relation: reading it is no job."""
     fields = StructType.fromDDL(schema)
@@ -62,14 +68,22 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.createDataFrame(pa.Table.from_arrays(arrays, names=fields.names), fields)
 
 
-def stage_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """`stage` and the number of rows written, from the footers of the written files.
+def stage_observed(
+    df: DataFrame, name: str, measures: dict[str, Column], partition_by: str | None = None
+) -> tuple[DataFrame, dict]:
+    """`stage` and aggregates of the rows written, taken by the writing job itself.
 
-    Not by `observe`: once a session has observed a frame, model functions that hold on to the session can no
-    longer be sent to tasks.
+    They are observed in its last stage, whose tasks count once for each partition, so a lost executor changes nothing.
     """
-    staged = stage(df, name)
-    return staged, staged.count()
+    seen = Observation()
+    observed = df.observe(seen, *[c.alias(n) for n, c in measures.items()])
+    return stage(observed, name, partition_by), dict(seen.get)
+
+
+def stage_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """`stage` and the number of rows written, without another job."""
+    staged, seen = stage_observed(df, name, {"rows": F.count(F.lit(1))})
+    return staged, seen["rows"]
 
 
 def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
@@ -79,7 +93,7 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
     instead of recomputing shuffles, and so that a lost executor costs one task, not the job.
     """
     spark = df.sparkSession
-    path = f"{staging_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = staging_path(spark, name)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(partition_by)

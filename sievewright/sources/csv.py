@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from sievewright.functions.names import mangle_header, tidy_names
 from sievewright.functions.text import na_to_null
-from sievewright.session import small_table, stage
+from sievewright.session import small_table, stage, stage_counted
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -249,7 +249,15 @@ def read_folder(
     spark: SparkSession, folder: str, encoding: str = "utf-8", fallback_encoding: str = "latin-1",
     pattern: str = "*.csv", tidy: bool = True,
 ) -> DataFrame:
-    """All files of a folder by column name, as strings, with ``source_file`` and ``row_id``.
+    """The frame of `read_folder_counted`."""
+    return read_folder_counted(spark, folder, encoding, fallback_encoding, pattern, tidy)[0]
+
+
+def read_folder_counted(
+    spark: SparkSession, folder: str, encoding: str = "utf-8", fallback_encoding: str = "latin-1",
+    pattern: str = "*.csv", tidy: bool = True,
+) -> tuple[DataFrame, int]:
+    """All files of a folder by column name, as strings, with ``source_file`` and ``row_id``, and the number of rows.
 
     ``row_id`` grows with file name and record; records that are dropped keep their number. A file is decoded with ``encoding`` if all its
     bytes allow that, else with ``fallback_encoding``. NA texts are NULL. Files with different
@@ -265,7 +273,7 @@ def read_folder(
     records = _records(spark, files)
     scans = [_parsed(records, group) for group in by_header.values()]
     united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
-    staged = stage(united, "ingest")
+    staged, rows = stage_counted(united, "ingest")
     names = [c for c in dict.fromkeys(n for f in files for n in f.header)]
 
     def decoded(name: str):
@@ -283,7 +291,7 @@ def read_folder(
     return staged.select(
         (F.shiftleft(F.col("_number"), FILE_BITS) + F.col("_record") - 2).alias("row_id"), "source_file",
         *[na_to_null(decoded(c)).alias(c) for c in names],
-    )
+    ), rows
 
 
 def file_sources(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:

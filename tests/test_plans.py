@@ -137,3 +137,20 @@ def test_stream_repeats(spark, tmp_path):
     once = streams.drop_repeats(stream, "ts", ["v"])
     streams.write_batches(once, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out") + "/*").count() == 4
+
+
+def test_sizes_come_from_the_writing_jobs(spark, folder):
+    config = Config.from_dict({"imbalance": {"enabled": True, "method": "random_over"}})
+    done = prepare_folder(spark, folder, config)
+    counted = {r["split"]: r["count"] for r in done.data.groupBy("split").count().collect()}
+    assert {k: n for k, n in done.sizes.items() if n} == counted
+    notes = {(r["stage"], r["metric"]): r["value"] for r in done.summary_table().collect()}
+    assert notes["resample", "random_over"] == str(counted["train"]) and notes["ingest", "rows"] == "484"
+
+
+@pytest.mark.parametrize("rows", [0, 7])
+def test_observed_stage(spark, rows):
+    from sievewright.session import stage_observed
+
+    staged, seen = stage_observed(spark.range(rows), "observed", {"rows": F.count(F.lit(1)), "high": F.max("id")})
+    assert seen == {"rows": rows, "high": rows - 1 if rows else None} and staged.count() == rows
