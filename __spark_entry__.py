@@ -1488,6 +1488,26 @@ def lr_fit_score(spark, sf_dir):
     return test.select("row_id", "y", F.round("p", 4).alias("p"), "prediction")
 
 
+@query(
+    "stream_score",
+    f"""with recursive {MODEL_ROWS}, {_newton_sql('d')}
+        select y as actual, case when p >= 0.5 then 1 else 0 end as prediction, least(floor(p * 10), 9)::integer as bin,
+               count(*) as rows
+        from (select y, 1 / (1 + exp(-(t0 + t1 * a + t2 * b + t3 * c))) as p from z, fit where split = 'test') group by 1, 2, 3""",
+)
+def stream_score(spark, sf_dir):
+    """Test rows scored as a stream of several batches; confusion and score counts kept as state."""
+    rows = stage(modelling_rows(spark, sf_dir), "model-rows")
+    rows, _ = scale.scale(rows, ["a", "b", "c"], "standard")
+    fitted = model.train_logistic_regression(rows.filter("split = 'train'"), ["a", "b", "c"], "y", tol=1e-13)
+    test, folder = rows.filter("split = 'test'"), _scratch(spark, "scored")
+    test.repartition(3).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(test.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    counts = streams.count_scores(streams.score_stream(stream, fitted), "y")
+    streams.write_counts(counts, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return streams.latest_counts(spark, f"{folder}/out")
+
+
 @query("lr_tuned_metrics")
 def lr_tuned_metrics(spark, sf_dir):
     rows = stage(modelling_rows(spark, sf_dir), "model-rows")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewright.functions.names import normalise_columns
@@ -56,6 +56,39 @@ def score_stream(
     return scored
 
 
+def count_scores(scored: DataFrame, target: str, bins: int = 10) -> DataFrame:
+    """``(actual, prediction, bin, rows)`` of a scored binary stream: confusion and score counts.
+
+    The state is one count for each pair of classes and each of the equal ``bins`` of ``p`` (1 is in the last), whatever
+    has passed. Rows without a target are counted under NULL.
+    """
+    bin_ = F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).cast("int")
+    return scored.groupBy(F.col(target).alias("actual"), "prediction", bin_.alias("bin")).agg(
+        F.count(F.lit(1)).alias("rows")
+    )
+
+
+def write_counts(counts: DataFrame, path: str, checkpoint: str):
+    """Start a query that writes all counts so far after every micro-batch, each epoch in its own folder."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.coalesce(1).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    return (
+        counts.writeStream.outputMode("complete").foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def latest_counts(spark: SparkSession, path: str) -> DataFrame:
+    """The counts after the last epoch."""
+    counts = spark.read.parquet(path)
+    last = counts.agg(F.max("epoch")).first()[0]
+    return counts.filter(F.col("epoch") == last).drop("epoch")
+
+
 def drop_repeats(
     stream: DataFrame, time: str, compare: list[str], delay: str = "10 minutes"
 ) -> DataFrame:

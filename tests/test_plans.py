@@ -154,3 +154,16 @@ def test_observed_stage(spark, rows):
 
     staged, seen = stage_observed(spark.range(rows), "observed", {"rows": F.count(F.lit(1)), "high": F.max("id")})
     assert seen == {"rows": rows, "high": rows - 1 if rows else None} and staged.count() == rows
+
+
+def test_stream_counts_equal_batch_counts(spark, tmp_path):
+    scored = spark.range(90).selectExpr(
+        "case when id % 9 < 8 then cast(id % 2 as int) end as y", "id / 89 as p", "cast(id >= 45 as int) as prediction"
+    )
+    scored.repartition(4).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(scored.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    streams.write_counts(streams.count_scores(stream, "y"), out, str(tmp_path / "check")).awaitTermination()
+    got = streams.latest_counts(spark, out).collect()
+    assert sorted(map(str, got)) == sorted(map(str, streams.count_scores(scored, "y").collect()))
+    assert sum(r["rows"] for r in got) == 90 and max(r["bin"] for r in got) == 9
