@@ -3,9 +3,11 @@ over several randomised subsets of the lexicon.
 
 DataFrame expressions and joins only. A term is a lower-cased run of letters and digits; its identity is
 its 64-bit hash. Document frequencies are counted term by term. The lexicon keeps the terms whose inverse document
-frequency, divided by that of a term seen once, lies in a band; it is a staged table that is joined with the terms of
-the texts, so it may grow with the vocabulary. Terms above the band by frequency stay in that table, marked: they
-are few (a text's number of terms times n to the power 0.2, for n documents), and are taken out before the join because all texts hold them.
+frequency, divided by that of a term seen once, lies in a band; it is a staged table that may grow with the vocabulary. While it has at most `LOCAL_TERMS`
+terms, tasks look the terms of a text up in a hash table that every stage gets once, without a shuffle. A larger lexicon is
+joined with the terms of the texts; both ways give the same fingerprints. Terms above the band by frequency stay in the
+table, marked: they are few (a text's number of terms times n to the power 0.2, for n documents), and are taken out before
+the join because all texts hold them.
 
 A fingerprint has four hex digits per subset. Subsets come in levels: level 0 is the whole
 lexicon, every later level cuts it at random into four times as many parts and uses up to twelve of
@@ -28,6 +30,12 @@ PARTS = 12
 LEAST_PARTS = 3
 DIGITS = 4
 NONE = "-" * DIGITS
+#: Terms of the band that tasks may hold: about 15 bytes each.
+LOCAL_TERMS = 1 << 20
+#: Terms in a slot of their hash table, on average.
+SLOT_TERMS = 4
+#: Frequent terms that may be broadcast.
+FREQUENT_TERMS = 1 << 20
 
 
 def _subsets(level: int) -> int:
@@ -58,22 +66,47 @@ def lexicon(df: DataFrame, text: str = "text", band: tuple[float, float] = BAND)
     return stage(kept.select("term", (ratio < band[0]).alias("frequent")), "lexicon")
 
 
-def with_fingerprint(df: DataFrame, words: DataFrame, text: str, into: str) -> DataFrame:
-    """``df`` with the fingerprint of a text column, by the lexicon ``words``.
-
-    NULL counts as an empty text; a text without terms has a fingerprint of dashes only. Equal
-    texts have equal fingerprints. Other columns pass through; ``into`` is replaced.
-    """
-    kept = [c for c in df.columns if c != into]
-    whole = F.coalesce(F.col(text), F.lit(""))
+def _table(words: DataFrame, slots: int) -> DataFrame:
+    """One row with the terms of the band by ``slots`` slots of their hash, for a lexicon of at most `LOCAL_TERMS`."""
+    slot = F.col("term").bitwiseAND(F.lit(slots - 1))
+    filled = words.filter("not frequent").groupBy(slot.alias("id")).agg(F.collect_list("term").alias("terms"))
+    every = words.sparkSession.range(0, slots, 1, 4).join(filled, "id", "left")
+    ordered = F.array_sort(F.collect_list(F.struct("id", F.coalesce("terms", F.array().cast("array<bigint>")).alias("terms"))))
+    return every.agg(F.transform(ordered, lambda s: s["terms"]))
+
+
+def _with_band(df: DataFrame, words: DataFrame, whole: Column, kept: list[str], local_terms: int) -> DataFrame:
+    """``kept`` columns, all distinct terms as ``__all`` and those in the band as ``__band``."""
+    sizes = words.agg(F.count_if(F.col("frequent")).alias("f"), F.count_if(~F.col("frequent")).alias("n")).first()
+    if sizes["n"] <= local_terms:
+        slots = 1 << (sizes["n"] // SLOT_TERMS).bit_length()
+        held = df.select(*kept, _hashed(whole).alias("__all"), _table(words, slots).scalar().alias("__table"))
+        found = F.filter("__all", lambda t: F.array_contains(
+            F.get(F.col("__table"), t.bitwiseAND(F.lit(slots - 1)).cast("int")), t))
+        return held.select(*kept, "__all", found.alias("__band"))
     # equal texts have equal terms, so 128 bits of the text stand for the row
     keys = [F.xxhash64(whole).alias("__k1"), F.xxhash64(F.lit("second"), whole).alias("__k2")]
     terms = df.select(*keys, F.explode(_hashed(whole)).alias("term"))
     frequent = words.filter("frequent").select("term")
-    banded = terms.join(F.broadcast(frequent), "term", "left_anti").join(words.filter("not frequent"), "term")
+    if sizes["f"] <= FREQUENT_TERMS:
+        frequent = F.broadcast(frequent)
+    banded = terms.join(frequent, "term", "left_anti").join(words.filter("not frequent"), "term")
     banded = banded.groupBy("__k1", "__k2").agg(F.collect_set("term").alias("__band"))
     found = df.select(*kept, _hashed(whole).alias("__all"), *keys).join(banded, ["__k1", "__k2"], "left")
-    found = found.withColumn("__band", F.coalesce("__band", F.array().cast("array<bigint>")))
+    return found.withColumn("__band", F.coalesce("__band", F.array().cast("array<bigint>")))
+
+
+def with_fingerprint(
+    df: DataFrame, words: DataFrame, text: str, into: str, local_terms: int = LOCAL_TERMS
+) -> DataFrame:
+    """``df`` with the fingerprint of a text column, by the lexicon ``words``.
+
+    NULL counts as an empty text; a text without terms has a fingerprint of dashes only. Equal
+    texts have equal fingerprints. Other columns pass through; ``into`` is replaced. A lexicon with
+    more than ``local_terms`` terms in the band is joined.
+    """
+    kept = [c for c in df.columns if c != into]
+    found = _with_band(df, words, F.coalesce(F.col(text), F.lit("")), kept, local_terms)
     found = found.select(
         *kept, F.sort_array(F.when(F.size("__band") < LEAST_TERMS, F.col("__all")).otherwise(F.col("__band"))).alias("__l0"),
     )
@@ -89,7 +122,7 @@ def with_fingerprint(df: DataFrame, words: DataFrame, text: str, into: str) -> D
 
     hashes = [F.expr(f"lpad({digits('__l0')}, {DIGITS}, '0')")]
     for i in range(1, LEVELS):
-        one = digits(f"filter(__l{i}, h -> {part[i]} = k)").replace("size(filter", "size(filter")
+        one = digits(f"filter(__l{i}, h -> {part[i]} = k)")
         hashes.append(F.expr(f"array_join(transform(sequence(0, {_subsets(i) - 1}), k -> lpad({one}, {DIGITS}, '0')), '')"))
     return found.select(*kept, F.concat(*hashes).alias(into))
 

@@ -1,7 +1,11 @@
 import hashlib
+import math
 import random
+import re
+from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from sievewright.llm import imatch, queries
@@ -46,6 +50,77 @@ def test_query_against_plain_python(spark):
     assert mean("near_edited") > mean("near_next") + 0.1
 
 
+def plain_hash(data, seed=42):
+    if isinstance(data, str):
+        return xxhash.xxh64_intdigest(data.encode(), seed=seed)
+    for h in data:  # a list of longs: one after the other
+        seed = xxhash.xxh64_intdigest(h.to_bytes(8, "little"), seed=seed)
+    return seed
+
+
+def plain_fingerprints(corpus, texts):
+    """Fingerprints as lists of levels, each a list of subsets' digits."""
+    terms = lambda t: {plain_hash(w) for w in re.split(r"[\W_]+", t.lower()) if w}
+    df = Counter(h for t in corpus for h in terms(t))
+    n = len(corpus)
+    band = {h for h, c in df.items() if imatch.BAND[0] <= math.log(n / c) / math.log(n) <= imatch.BAND[1]}
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    result = []
+    for t in texts:
+        mine = terms(t)
+        mine = mine & band if len(mine & band) >= imatch.LEAST_TERMS else mine
+        levels = []
+        for i in range(imatch.LEVELS):
+            subsets = [[] for _ in range(min(4**i, imatch.PARTS))]
+            for h in sorted(mine, key=signed):
+                part = (h >> (63 - 8 * i)) & (4**i - 1) if i else 0
+                if part < len(subsets):
+                    subsets[part].append(h)
+            levels.append([f"{plain_hash(s):016X}"[-4:] if s else "----" for s in subsets])
+        result.append(levels)
+    return result
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    shares = []
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        same = sum(p == q != "----" for p, q in zip(x, y, strict=True))
+        used = sum(p != "----" or q != "----" for p, q in zip(x, y, strict=True))
+        shares.append(same / max(used, imatch.LEAST_PARTS if i else 1))
+    return max(shares)
+
+
+def test_fingerprints_and_likeness_against_plain_python(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()
+    order = sorted(docs, key=lambda r: -r["doc_id"])
+    texts = [r["text"] or "" for r in order]
+    after = [*texts[1:], texts[0]]
+    edited = [t[: len(t) - len(t) // 2] + s[: len(t) // 2] for t, s in zip(texts, after, strict=True)]
+    own, changed = plain_fingerprints(texts, texts), plain_fingerprints(texts, edited)
+    got = {r["doc_id"]: r for r in queries.QUERIES["op10_imatch"](spark, SF_DIR).collect()}
+    text_of = lambda levels: "".join(d for level in levels for d in level)
+    for i, row in enumerate(order):
+        mine = got[row["doc_id"]]
+        assert mine["fingerprint"] == text_of(own[i])
+        assert mine["edited_fingerprint"] == text_of(changed[i])
+        assert mine["near_edited"] == pytest.approx(plain_likeness(own[i], changed[i]), abs=1e-12)
+        assert mine["near_next"] == pytest.approx(plain_likeness(own[i], own[(i + 1) % len(own)]), abs=1e-12)
+
+
+@pytest.mark.parametrize("frequent", [0, imatch.FREQUENT_TERMS])
+def test_large_lexicons_are_joined_with_the_same_result(spark, monkeypatch, frequent):
+    monkeypatch.setattr(imatch, "FREQUENT_TERMS", frequent)
+    df = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").union(
+        spark.createDataFrame([(-1, None), (-2, ""), (-3, "a")], "doc_id long, text string"))
+    words = imatch.lexicon(df)
+    assert words.filter("not frequent").count() > 100
+    held = imatch.with_fingerprint(df, words, "text", "fp")
+    joined = imatch.with_fingerprint(df, words, "text", "fp", local_terms=0)
+    assert held.exceptAll(joined).count() == 0 == joined.exceptAll(held).count()
+
+
 def test_odd_texts(spark):
     rows = [(1, None, 9), (1, "", 9), (2, "...", 9), (3, "a", 9), (3, "a", 9), (4, "w " * 9000 + "é x1 日本", 9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, fp int")
