@@ -10,17 +10,18 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, replace
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievewright.functions.hashing import row_hash
+from sievewright.session import stage
 
 DIRECT_ROWS = 1_000_000  # values one task may hold
 SKETCH_K = 8192
 SKETCH_ERROR = 0.0015  # rank slack asked of a sketch of that size, twice its usual error
 SALTS = 256
+LEVEL_BUCKETS = 256  # value buckets of one level; a sketch errs by a fraction of one
 
 
 # -- order statistics -------------------------------------------------------------------
@@ -242,24 +243,19 @@ def _sketched_quantiles(df, columns, probs):
 # -- the key at a position ---------------------------------------------------------------
 
 _HALF = 31  # a BIGINT is compared as two doubles that hold it exactly
+_STEP = 5  # bytes of a text that one number holds, with their count
+DIRECT_BYTES = 1 << 26  # text that one task may hold
 
 
 def _key_digits(df: DataFrame, name: str) -> list[Column]:
-    """Double columns whose lexicographic order is the order of one key column, NULLs first."""
+    """Double columns whose lexicographic order is the order of one key column, NULLs first; a text is one binary column."""
     dtype = df.schema[name].dataType
     col = F.col(name)
     present = F.when(col.isNull(), 0.0).otherwise(1.0)
+    if isinstance(dtype, T.StringType):
+        return [present, F.coalesce(col.cast("binary"), F.lit(b""))]
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         parts = [col.cast("double")]
-    elif isinstance(dtype, T.StringType):
-        width = df.agg(F.max(F.octet_length(name))).first()[0] or 0
-        raw = F.encode(col, "UTF-8")
-        parts = [
-            F.conv(
-                F.rpad(F.hex(F.substring(raw, start + 1, 6)), 12, "0"), 16, 10
-            ).cast("double")
-            for start in range(0, width, 6)
-        ]
     elif isinstance(dtype, T.TimestampNTZType):
         # day and time of day: a detour over the session time zone could reorder local times
         second = F.hour(col) * 3600 + F.minute(col) * 60 + F.date_part(F.lit("SECOND"), col)
@@ -278,42 +274,62 @@ def _key_digits(df: DataFrame, name: str) -> list[Column]:
     return [present, *[F.coalesce(p, F.lit(0.0)) for p in parts]]
 
 
+def _bytes_after(col: Column, start: int) -> Column:
+    """Number in the order of the `_STEP` bytes after the first ``start``; where a text ends, it comes before longer ones."""
+    part = F.substring(col, start + 1, _STEP)
+    number = F.conv(F.rpad(F.hex(part), 2 * _STEP, "0"), 16, 10).cast("double")
+    return number * (_STEP + 1) + F.octet_length(part)
+
+
+def _common(a: bytes, b: bytes) -> int:
+    """Length of the common beginning of two different byte strings."""
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
 def at_or_after(
     df: DataFrame, order_by: list[str], position: int, direct_rows: int = 200_000
 ) -> Column:
     """Predicate for the rows from 0-based ``position`` on in the order of unique keys.
 
     Finds the key at that position digit by digit, so the split itself is a row-wise filter
-    with literals: no sort, no shuffle and no dependence on the partitioning.
+    with literals: no sort, no shuffle and no dependence on the partitioning. In a text, what all rows left
+    begin with is skipped (the least and the greatest tell), and the next `_STEP` bytes leave those rows that share them with the
+    key; the length of the texts does not matter. Texts compare by their UTF-8 bytes.
     """
     digits = [d for name in order_by for d in _key_digits(df, name)]
     names = [f"d{i}" for i in range(len(digits))]
     rows = df.select(*[d.alias(n) for d, n in zip(digits, names, strict=True)])
-    cut: dict[str, float] = {}
+    texts = {f.name for f in rows.schema if isinstance(f.dataType, T.BinaryType)}
+    cut: dict[str, float | bytes] = {}
     while len(cut) < len(names):
         left = [n for n in names if n not in cut]
+        lengths = [F.max(F.octet_length(n)) for n in left if n in texts]
         spread = rows.agg(
-            F.count(F.lit(1)).alias("n"),
+            F.count(F.lit(1)).alias("n"), sum(lengths, F.lit(0)).alias("bytes"),
             *[f(n).alias(f"{f.__name__}_{n}") for n in left for f in (F.min, F.max)],
         ).first()
         if position >= spread["n"]:
             return F.lit(False)
-        if spread["n"] <= direct_rows:
+        if spread["n"] <= direct_rows and spread["n"] * spread["bytes"] <= DIRECT_BYTES:
             keys = F.sort_array(F.collect_list(F.struct(*left)))
             key = rows.agg(F.element_at(keys, position + 1).alias("key")).first()["key"]
             cut.update({n: key[n] for n in left})
             break
         for name in left:
-            if spread[f"min_{name}"] < spread[f"max_{name}"]:
-                value = order_statistics(rows, [(name, position)], [spread["n"]])[0]
-                position -= rows.filter(F.col(name) < value).count()
-                rows = rows.filter(F.col(name) == value)
-                cut[name] = value
+            low, high = spread[f"min_{name}"], spread[f"max_{name}"]
+            if low < high:
+                digit = _bytes_after(F.col(name), _common(low, high)) if name in texts else F.col(name)
+                here = rows.withColumn("digit", digit)
+                value = order_statistics(here, [("digit", position)], [spread["n"]])[0]
+                position -= here.filter(F.col("digit") < value).count()
+                rows = here.filter(F.col("digit") == value).drop("digit")
+                if name not in texts:
+                    cut[name] = value
                 break
-            cut[name] = spread[f"min_{name}"]
+            cut[name] = low
     reached = F.lit(True)
     for digit, name in reversed(list(zip(digits, names, strict=True))):
-        value = F.lit(cut[name])
+        value = F.lit(bytes(cut[name]) if name in texts else cut[name])
         reached = (digit > value) | ((digit == value) & reached)
     return reached
 
@@ -410,6 +426,37 @@ def hash_ordinals(
 # -- running totals -------------------------------------------------------------------------
 
 
+def _value_buckets(table: DataFrame, by: str, pieces: int) -> DataFrame:
+    """``table`` with about ``pieces`` buckets as a long ``_b`` that never falls along ``by``; NULLs lowest, NaN highest.
+
+    Levels of at most `LEVEL_BUCKETS`: every bucket of a level is cut at the quantiles of its own sketch. The edges of a level are a
+    small staged table with one row per bucket, so the plan does not grow with the rows.
+    """
+    value = F.col(by).cast("double")
+    table = table.withColumn("_b", F.lit(0).cast("bigint"))
+    buckets = 1
+    while pieces > 1:
+        width = min(pieces, LEVEL_BUCKETS)
+        pieces = math.ceil(pieces / width)
+        salted = table.groupBy("_b", (F.spark_partition_id() % SALTS).alias("_salt")).agg(
+            F.kll_sketch_agg_double(value, F.lit(SKETCH_K)).alias("s")
+        )
+        merged = salted.groupBy("_b").agg(F.kll_merge_agg_double("s").alias("s"))
+        shares = F.array(*[F.lit(i / width) for i in range(1, width)])
+        asked = F.when(F.kll_sketch_get_n_double("s") > 0, F.kll_sketch_get_quantile_double("s", shares))
+        edges = stage(merged.select("_b", F.array_distinct(asked).alias("_edges")), "bucket-edges")
+        steps = F.array(*[F.lit(1 << i) for i in range((width - 1).bit_length() - 1, -1, -1)])
+        # binary search: the number of edges at or below the value
+        below = F.aggregate(
+            steps, F.lit(0), lambda at, s: at + F.when(F.get("_edges", at + s - 1) <= value, s).otherwise(0)
+        )
+        if buckets <= LEVEL_BUCKETS:  # half a megabyte at most; past that no bucket holds many rows
+            edges = F.broadcast(edges)
+        table = table.join(edges, "_b", "left").withColumn("_b", F.col("_b") * width + below).drop("_edges")
+        buckets *= width
+    return table
+
+
 def running_totals(
     table: DataFrame, group: list[str], by: str, sums: dict[str, str], rows: int,
     bucket_rows: int = DIRECT_ROWS,
@@ -417,7 +464,7 @@ def running_totals(
     """Inclusive running sums over descending ``by`` inside each group.
 
     ``table`` has one row per (group, by). A single global window would run on one task; here
-    values are cut into sketch-based buckets, summed inside each bucket, and shifted by the
+    values are cut into sketch-based buckets (`_value_buckets`), summed inside each bucket, and shifted by the
     totals of the higher buckets.
     """
     pieces = math.ceil(rows / bucket_rows)
@@ -429,13 +476,7 @@ def running_totals(
         return table.select(
             "*", *[F.sum(c).over(window).alias(out) for c, out in sums.items()]
         )
-    probs = [i / pieces for i in range(1, pieces)]
-    edges = sorted(set(quantiles(table.select(by), [by], probs, mode="approx")[by] or []))
-    inf = float("inf")
-    splits = [-inf, *edges, inf] if edges else [-inf, 0.0, inf]
-    bucketed = Bucketizer(
-        splits=splits, inputCol=by, outputCol="_b", handleInvalid="keep"
-    ).transform(table)
+    bucketed = _value_buckets(table, by, pieces)
     keys = [*group, "_b"]
     totals = bucketed.groupBy(*keys).agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     higher = (
