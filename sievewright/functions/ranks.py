@@ -459,18 +459,19 @@ def _value_buckets(table: DataFrame, by: str, pieces: int) -> DataFrame:
 
 def running_totals(
     table: DataFrame, group: list[str], by: str, sums: dict[str, str], rows: int,
-    bucket_rows: int = DIRECT_ROWS,
+    bucket_rows: int = DIRECT_ROWS, then: list[str] | None = None,
 ) -> DataFrame:
     """Inclusive running sums over descending ``by`` inside each group.
 
-    ``table`` has one row per (group, by). A single global window would run on one task; here
+    ``table`` has one row per (group, by), or few that follow each other by the columns ``then``. A single global window would run on one task; here
     values are cut into sketch-based buckets (`_value_buckets`), summed inside each bucket, and shifted by the
     totals of the higher buckets.
     """
     pieces = math.ceil(rows / bucket_rows)
+    order = [F.desc(by), *(then or [])]
     if pieces <= 1:
-        window = Window.partitionBy(*group).orderBy(F.desc(by)) if group else (
-            Window.partitionBy(F.lit(0)).orderBy(F.desc(by))
+        window = Window.partitionBy(*group).orderBy(*order) if group else (
+            Window.partitionBy(F.lit(0)).orderBy(*order)
         )
         window = window.rowsBetween(Window.unboundedPreceding, 0)
         return table.select(
@@ -487,7 +488,7 @@ def running_totals(
         *keys,
         *[F.coalesce(F.sum(f"_t_{c}").over(higher), F.lit(0)).alias(f"_s_{c}") for c in sums],
     )
-    window = Window.partitionBy(*keys).orderBy(F.desc(by)).rowsBetween(
+    window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0
     )
     inside = bucketed.select("*", *[F.sum(c).over(window).alias(out) for c, out in sums.items()])

@@ -94,7 +94,8 @@ def plan_oversampling(
     small = {c for c, n in counts.items() if n < min_class_samples}
     spared = small if strategy == "auto" else set()
     wanted = over_targets(counts, strategy)
-    k = sorted((1, max(1, k_neighbors), min(counts.values()) - 1))[1]
+    # fixed rule: the asked count, at most one less than the smallest class has rows, at least 1
+    k = max(1, min(k_neighbors, min(counts.values()) - 1))
     return Plan({c: n for c, n in wanted.items() if n > 0 and c not in spared}, k, tuple(sorted(small)))
 
 

@@ -220,11 +220,11 @@ def mutual_info_knn(
         draw = unit_interval(digest, 1) + unit_interval(digest, 14) - 1
         return F.col(c).cast("double") / F.lit(spread) + draw * F.lit(size)
 
-    cells = stage(_cells(train, features, target, jittered), "mi-cells")
-    sizes = cells.groupBy("feature", "y").agg(F.count(F.lit(1)).alias("n_y"))
-    # a class with a single row has no neighbour and does not count
+    cells = _cells(train, features, target, jittered)
+    # a class with a single row has no neighbour and does not count; sizes do not need the noise
+    sizes = _cells(train, features, target).groupBy("feature", "y").agg(F.count(F.lit(1)).alias("n_y"))
     sizes = sizes.filter(F.col("n_y") > 1)
-    rows = cells.count()
+    rows = train.count() * len(features)
     within = _rows_within(_reach(cells.join(sizes, ["feature", "y"]), neighbours, rows), rows)
     scores = within.groupBy("feature").agg(
         F.count(F.lit(1)).alias("n"),
@@ -267,7 +267,7 @@ def _reach(cells: DataFrame, k: int, rows: int, block: int = 100_000) -> DataFra
     own = spread.withColumn("_kth", kth).filter(F.col("_home") == F.col("_block"))
     at, d = F.col("_kth.at"), F.col("_kth.d")
     return own.select(
-        "feature", "y", "n_y", "v",
+        "feature", "y", "n_y", "rank", "v",
         F.when(at < v, at).otherwise(v - d).alias("low"),
         F.when(at > v, at).otherwise(v + d).alias("high"),
     )
@@ -276,33 +276,21 @@ def _reach(cells: DataFrame, k: int, rows: int, block: int = 100_000) -> DataFra
 def _rows_within(reach: DataFrame, rows: int) -> DataFrame:
     """Add ``m``, the rows of any class strictly inside ``(low, high)``, by running counts.
 
-    Interval ends join the values as points of weight 0, so one ordered count answers all.
+    Both ends of every interval are sorted in among the values, as points of weight 0: from the top, the count
+    at the lower end is that of the values above it, at the upper end that of the values not below it.
     """
-    reach = stage(reach, "mi-reach")
-    ends = F.array(
-        F.struct(F.col("v").alias("at"), F.lit(1).alias("w")),
-        F.struct(F.col("low").alias("at"), F.lit(0).alias("w")),
-        F.struct(F.col("high").alias("at"), F.lit(0).alias("w")),
-    )
-    points = (
-        reach.select("feature", F.explode(ends).alias("e"))
-        .groupBy("feature", F.col("e.at").alias("at"))
-        .agg(F.sum("e.w").alias("w"))
-    )
-    counted = stage(
-        running_totals(points, ["feature"], "at", {"w": "from_top"}, 3 * rows), "mi-counts"
-    )
-    low = counted.select(
-        "feature", F.col("at").alias("low"), (F.col("from_top") - F.col("w")).alias("_above_low")
-    )
-    high = counted.select(
-        "feature", F.col("at").alias("high"), F.col("from_top").alias("_from_high")
-    )
-    return (
-        reach.join(low, ["feature", "low"])
-        .join(high, ["feature", "high"])
-        .select("feature", "y", "n_y", (F.col("_above_low") - F.col("_from_high")).alias("m"))
+    reach = stage(reach, "mi-reach")  # ranks name the rows: they have to stay what they are
+    points = F.array(*[
+        F.struct(F.col(at).alias("at"), F.lit(w).alias("w"), F.lit(turn).alias("turn"))
+        for at, w, turn in (("low", 0, 0), ("v", 1, 1), ("high", 0, 2))
+    ])
+    row = ["feature", "y", "n_y", "rank"]
+    counted = running_totals(
+        reach.select(*row, F.explode(points).alias("e")).select(*row, "e.*"),
+        ["feature"], "at", {"w": "from_top"}, 3 * rows, then=["turn"],
     )
+    inside = F.sum(F.when(F.col("turn") == 0, F.col("from_top")).otherwise(-F.col("from_top")))
+    return counted.filter("turn != 1").groupBy(*row).agg(inside.alias("m"))
 
 
 def mutual_info_ranking(

@@ -94,3 +94,30 @@ def test_buckets_of_levels_follow_the_values(spark, monkeypatch):
     assert all(a["high"] < b["low"] for a, b in zip(got, got[1:], strict=False) if a["high"] is not None)
     assert ranks._value_buckets(df, "v", 60).filter("v is null").select("_b").distinct().collect() == [(0,)]
     assert ranks._value_buckets(df.filter("false"), "v", 60).count() == 0
+
+
+def test_running_totals_with_ties_in_turn(spark):
+    rnd = random.Random(5)
+    rows = [(rnd.choice("ab"), rnd.randrange(40) / 4, turn, rnd.randrange(5)) for turn in range(3) for _ in range(120)]
+    rows = list({r[:3]: r for r in rows}.values())
+    df = spark.createDataFrame(rows, "g string, v double, turn int, w long")
+    got = ranks.running_totals(df, ["g"], "v", {"w": "total"}, len(rows), bucket_rows=20, then=["turn"])
+    found = {(r["g"], r["v"], r["turn"]): r["total"] for r in got.collect()}
+    for group in "ab":
+        total = 0
+        for g, v, turn, w in sorted(rows, key=lambda r: (-r[1], r[2])):
+            if g == group:
+                total += w
+                assert found[g, v, turn] == total
+
+
+def test_neighbour_information_counts_in_buckets(spark, monkeypatch):
+    from sievewright.operators import select
+
+    rnd = random.Random(9)
+    rows = [(i, rnd.choice([0, 0, 1, 2]), rnd.gauss(0, 1), None if i % 9 == 0 else rnd.randrange(12) / 3) for i in range(400)]
+    df = spark.createDataFrame([(i, y, a + y, b) for i, y, a, b in rows], "row_id long, y int, a double, b double")
+    scores = lambda: {r["feature"]: r["mi_score"] for r in select.mutual_info_knn(df, ["a", "b"], "y").collect()}
+    whole, total = scores(), ranks.running_totals
+    monkeypatch.setattr(select, "running_totals", lambda *a, **k: total(*a, **k, bucket_rows=50))
+    assert scores() == pytest.approx(whole, abs=1e-12) and whole["a"] > 0.1
