@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import re
 import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +31,34 @@ ROUNDS = 12
 UNKNOWN = "und"
 #: Code points of a text that are worked on at a time.
 SLICE = 1 << 20
+#: Letters, and a few numbers that are no digits.
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def _has_letter(text: str) -> bool:
+    return any(found[0].isalpha() for found in _LETTER.finditer(text))
+
+
+def _in_word(code: int) -> bool:
+    """Letters and the marks on them, by Unicode category."""
+    return unicodedata.category(chr(code))[0] in "LM"
+
+
+@cache
+def _word_table() -> np.ndarray:
+    return np.array([_in_word(c) for c in range(1 << 16)])
+
+
+def _word_codes(codes: np.ndarray) -> np.ndarray:
+    """Which code points belong to words."""
+    found = _word_table()[codes & 0xFFFF]
+    far = codes > 0xFFFF
+    if far.any():
+        rare, at = np.unique(codes[far], return_inverse=True)
+        found[far] = np.array([_in_word(int(c)) for c in rare])[at]
+    return found
+
+
 @dataclass(frozen=True)
 class Model:
     """Languages and, for each, the probability of every trigram slot (slots by languages)."""
@@ -41,14 +68,13 @@ class Model:
 
 
 def _slots(text: str) -> np.ndarray:
-    """Trigram slots of a text: lower case, everything but letters is one blank."""
+    """Trigram slots of a text: lower case, everything but letters and their marks is one blank."""
     out = []
     for start in range(0, len(text), SLICE):
         # two more code points, so that no trigram is lost at a slice end
         part = " " * (start == 0) + text[start : start + SLICE + 2].lower() + " " * (start + SLICE + 2 >= len(text))
         codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
-        plain = (codes >= 97) & (codes <= 122) | (codes >= 192)
-        codes = np.where(plain, codes, np.uint32(32))
+        codes = np.where(_word_codes(codes), codes, np.uint32(32))
         mixed = codes[:-2] * np.uint32(0x9E3779B1) ^ codes[1:-1] * np.uint32(0x85EBCA77) ^ codes[2:] * np.uint32(0xC2B2AE3D)
         spaced = (codes[1:-1] == 32) & ((codes[:-2] == 32) | (codes[2:] == 32))  # blanks only say nothing
         out.append(((mixed * np.uint32(0x27D4EB2F)) >> np.uint32(16))[~spaced])
@@ -155,7 +181,7 @@ def _predictor(model: Model):
                     kept.clear()
 
             for i, text in enumerate(texts):
-                if not model.languages or not _LETTER.search(text):
+                if not model.languages or not _has_letter(text):
                     continue
                 slots, n = np.unique(_slots(text), return_counts=True)
                 if not len(slots):

@@ -88,3 +88,14 @@ def test_held_out_accuracy(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got)
     held = [r for r in got if r["held_out"]]
     assert sum(r["lang_pred"] == langs[r["doc_id"]] for r in held) >= 0.98 * len(held)
+
+
+def test_letters_by_category(spark):
+    texts = ["µ ª", "— “ ×", "² ½ 7", "\u0301", "x", "नमस्ते", "𝒳", "😀 🎉", "Ⅷ", "e\u0301t\u00e9"]
+    model = langid.Model(("a", "b"), np.full((langid.SLOTS, 2), 1 / langid.SLOTS, np.float32))
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r["id"] for r in langid.predict(df, model).collect() if r["lang_pred"] != "und"}
+    assert got == {i for i, t in enumerate(texts) if any(c.isalpha() for c in t)} == {0, 4, 5, 6, 9}
+    # dashes and signs are blanks like any other, marks belong to their letters
+    assert np.array_equal(langid._slots("der — hund × 12"), langid._slots("der . hund ! 12"))
+    assert not np.array_equal(langid._slots("नमस्ते"), langid._slots("नमसते"))
