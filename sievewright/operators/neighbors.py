@@ -3,9 +3,10 @@
 Base rows go to cells around √n pivots, in two levels of about n^(1/4). Cells lie in blocks of a few thousand rows: small cells
 share one, a crowded cell takes several. A query meets the block of its own cell first; the k-th distance found there is
 its bound. Triangle inequalities then leave only the cells whose ring around their pivot, and around the pivot of the upper
-level, comes within the bound (Lu et al. 2012), and the query is sent to the blocks of those. Base rows are shuffled
-once, into their blocks; only queries are copied. Every meeting is one small matrix product that returns at most k candidates
-per query; a per-row top-k merges them.
+level, comes within the bound (Lu et al. 2012), and the query is sent to the blocks of those. Only queries are copied; base
+rows are shuffled into their blocks, and once more to stand before the queries sent there. A task holds one block and streams its
+queries past it, however many they are. Every meeting is one small matrix product that returns at most k candidates per query; a
+per-row top-k merges them.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from sievewright.session import stage
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_ROWS = 4096
+#: Queries routed, queries that meet a block, and pairs whose distance is taken, at a time.
+ROUTED_ROWS, MEETING_ROWS, PAIRS = 512, 256, 65536
 #: Groups are looked up by literals; more of them are an error.
 MOST_GROUPS = 5000
 #: Rounding of distances, relative.
@@ -237,10 +240,10 @@ def _block_of(pivots: dict[str, Pivots]):
 
 def own_block(index: Index, q: DataFrame | None, k: int) -> DataFrame:
     """Candidates of every query from a block of its own cell, none where it holds no base row. None: the base rows are the queries."""
-    own = index.rows
-    if q is not None:
-        placed = _assign(q, index.pivots)
-        own = placed.mapInArrow(_block_of(index.pivots), f"{_fields(placed)}, block int").filter("block >= 0")
+    if q is None:  # each block is complete in its partition
+        return index.rows.select("block", "id", "tag", "vec").sortWithinPartitions("block").mapInArrow(_own_candidates(k), _candidate_fields(index))
+    placed = _assign(q, index.pivots)
+    own = placed.mapInArrow(_block_of(index.pivots), f"{_fields(placed)}, block int").filter("block >= 0")
     return _meet(index, own.select("id", "tag", "vec", F.lit(math.inf).alias("bound"), "block"), k)
 
 
@@ -258,7 +261,8 @@ def routed(index: Index, q: DataFrame, own: DataFrame, k: int) -> DataFrame:
 
 def _router(pivots: dict[str, Pivots]):
     def route(batches):
-        for batch in batches:
+        # a query may meet every block: the lists are made for a part of the batch at a time
+        for batch in (b.slice(i, ROUTED_ROWS) for b in batches for i in range(0, b.num_rows, ROUTED_ROWS)):
             bound, met = batch["bound"].to_numpy(), batch["met"].to_numpy()
             found: list[set] = [set() for _ in range(batch.num_rows)]
             for p, at, x in _by_group(batch, pivots):
@@ -285,52 +289,125 @@ def _reaches(distance: np.ndarray, bound: np.ndarray, near: float, far: float) -
     return (distance - margin <= far) & (distance + margin >= near)
 
 
-def _meet(index: Index, queries: DataFrame, k: int) -> DataFrame:
-    """Queries (id, tag, vec, bound, block) against the base rows of their block, up to their bound."""
+def _candidate_fields(index: Index) -> str:
     id_type, tag_type = (index.rows.schema[c].dataType.simpleString() for c in ("id", "tag"))
-    base = index.rows.select("block", F.col("id").alias("nn_id"), F.col("tag").alias("nn_tag"), F.col("vec").alias("nn_vec"))
-    return queries.groupBy("block").cogroup(base.groupBy("block")).applyInArrow(
-        _block_candidates(k), f"id {id_type}, tag {tag_type}, nn_id {id_type}, nn_tag {tag_type}, distance double, met int",
-    )
+    return f"id {id_type}, tag {tag_type}, nn_id {id_type}, nn_tag {tag_type}, distance double, met int"
 
 
-def _sortable(ids: pa.ChunkedArray) -> np.ndarray:
-    values = ids.to_numpy()
+def _meet(index: Index, queries: DataFrame, k: int) -> DataFrame:
+    """Queries (id, tag, vec, bound, block) against the base rows of their block, up to their bound.
+
+    Of a block, the base rows come first, then its queries, which are never held together.
+    """
+    base = index.rows.select("block", F.lit(False).alias("asks"), "id", "tag", "vec", F.lit(math.inf).alias("bound"))
+    asked = queries.select("block", F.lit(True).alias("asks"), "id", "tag", "vec", "bound")
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    together = base.unionByName(asked).repartition(parts, "block").sortWithinPartitions("block", "asks")
+    return together.mapInArrow(_block_candidates(k), _candidate_fields(index))
+
+
+def _sortable(ids: pa.Array) -> np.ndarray:
+    values = ids.to_numpy(zero_copy_only=False)
     return values.astype(str) if values.dtype == object else values
 
 
-def _vectors(column: pa.ChunkedArray) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+def _vectors(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _block_candidates(k: int):
-    """The k nearest rows of a block for every query that meets it."""
+def _pair_distances(x: np.ndarray, y: np.ndarray, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Distances of pairs (row of x, row of y); among copies every pair of a meeting is one."""
+    found = np.empty(len(rows))
+    for i in range(0, len(rows), PAIRS):
+        part = slice(i, i + PAIRS)
+        found[part] = np.sqrt(((y[at[part]] - x[rows[part]]) ** 2).sum(axis=1))
+    return found
+
+
+def _runs(batches, *columns: str):
+    """Slices of the batches with equal values in the leading columns, and these values."""
+    for batch in batches:
+        values = [batch[c].to_numpy(zero_copy_only=False) for c in columns]
+        changes = np.any([v[1:] != v[:-1] for v in values], axis=0) if batch.num_rows else np.empty(0, bool)
+        cuts = [0, *(np.flatnonzero(changes) + 1).tolist(), batch.num_rows]
+        for start, stop in zip(cuts, cuts[1:], strict=False):
+            if stop > start:
+                yield *(v[start] for v in values), batch.slice(start, stop - start)
 
-    def candidates(q: pa.Table, s: pa.Table) -> pa.Table:
-        parts = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
-        x, y = (_vectors(t[c]) if t.num_rows else None for t, c in ((q, "vec"), (s, "nn_vec")))
-        ids, others, bound = _sortable(q["id"]), _sortable(s["nn_id"]), q["bound"].to_numpy()
+
+class Block:
+    """Base rows of one block, from slices of batches."""
+
+    def __init__(self, number: int, slices: list[pa.RecordBatch]):
+        rows = pa.Table.from_batches(slices).select(["id", "tag", "vec"]).combine_chunks().to_batches()[0]
+        self.number, self.ids, self.tags, self.others = number, rows["id"], rows["tag"], _sortable(rows["id"])
+        self.y = _vectors(rows["vec"])
+        self.yy = (self.y * self.y).sum(axis=1)
+
+    def nearest(self, queries: pa.RecordBatch, bounds: np.ndarray, k: int):
+        """The k nearest rows of the block within its bound for every query, a part of the queries at a time."""
+        others, y, yy = self.others, self.y, self.yy
         keep = min(k + 1, len(others))  # one more, in case the row itself is among them
-        for start in range(0, len(ids) if len(others) else 0, 256):
-            part = x[start : start + 256]
-            xx, yy = (part * part).sum(axis=1), (y * y).sum(axis=1)
+        for start in range(0, queries.num_rows, MEETING_ROWS):
+            q, bound = queries.slice(start, MEETING_ROWS), bounds[start : start + MEETING_ROWS]
+            part, ids = _vectors(q["vec"]), _sortable(q["id"])
+            xx = (part * part).sum(axis=1)
             rough = xx[:, None] + yy[None, :] - 2.0 * (part @ y.T)
             # the product form may be off by rounding: keep what it cannot rule out, and
             # decide by the difference form
             error = 1e-12 * part.shape[1] * (xx[:, None] + yy.max() + 1e-300)
             limit = np.partition(rough, keep - 1, axis=1)[:, keep - 1 : keep] + 2 * error
             rows, at = np.nonzero(rough <= limit)
-            distance = np.sqrt(((y[at] - part[rows]) ** 2).sum(axis=1))
-            rest = (others[at] != ids[start + rows]) & (distance <= bound[start + rows])
+            distance = _pair_distances(part, y, rows, at)
+            rest = (others[at] != ids[rows]) & (distance <= bound[rows])
             rows, at, distance = rows[rest], at[rest], distance[rest]
             order = np.lexsort((others[at], distance, rows))
             rows, at, distance = rows[order], at[order], distance[order]
             # the place of a candidate among those of its row
             best = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
-            parts.append((start + rows[best], at[best], distance[best]))
-        mine, theirs, distances = (np.concatenate(c) for c in zip(*parts, strict=True))
-        own, found = q.take(pa.array(mine)), s.take(pa.array(theirs))
-        columns = [own["id"], own["tag"], found["nn_id"], found["nn_tag"], pa.array(distances), own["block"]]
-        return pa.Table.from_arrays(columns, names=["id", "tag", "nn_id", "nn_tag", "distance", "met"])
+            if not best.any():
+                continue
+            mine, theirs = pa.array(rows[best]), pa.array(at[best])
+            columns = [q["id"].take(mine), q["tag"].take(mine), self.ids.take(theirs), self.tags.take(theirs),
+                       pa.array(distance[best]), pa.array(np.full(best.sum(), self.number, np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "tag", "nn_id", "nn_tag", "distance", "met"])
+
+
+def _block_candidates(k: int):
+    """Queries against the base rows before them in the same block; none where it has no base row."""
+
+    def candidates(batches):
+        number, slices, block = None, [], None
+        for at, asks, rows in _runs(batches, "block", "asks"):
+            if at != number:
+                number, slices, block = at, [], None
+            if not asks:
+                slices.append(rows)
+            elif slices or block:
+                if block is None:
+                    block, slices = Block(number, slices), []
+                yield from block.nearest(rows, rows["bound"].to_numpy(), k)
+
+    return candidates
+
+
+def _own_candidates(k: int):
+    """The rows of every block against each other."""
+
+    def met(number, slices):
+        block = Block(number, slices)
+        for rows in slices:
+            yield from block.nearest(rows, np.full(rows.num_rows, math.inf), k)
+
+    def candidates(batches):
+        number, slices = None, []
+        for at, rows in _runs(batches, "block"):
+            if at != number and slices:
+                yield from met(number, slices)
+                slices = []
+            number = at
+            slices.append(rows)
+        if slices:
+            yield from met(number, slices)
 
     return candidates

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +79,49 @@ def test_few_rows_are_routed(spark):
     assert got == {(i, j + 1): int(expected[i, j]) for i in range(1200) for j in range(4)}
 
 
+def test_queries_stream_past_their_block():
+    """A block's queries are never held together: candidates come as they arrive, lists of blocks for a part of a batch."""
+    rng = np.random.default_rng(3)
+
+    def batch(block, asks, first, x):
+        n = len(x)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([block] * n, pa.int32()), pa.array([asks] * n), pa.array(range(first, first + n)), pa.array([None] * n, pa.int32()),
+             pa.array(x.tolist()), pa.array([np.inf] * n)], names=["block", "asks", "id", "tag", "vec", "bound"])
+
+    base, asked, pulled = rng.normal(size=(30, 4)), rng.normal(size=(50, 300, 4)), []
+
+    def batches():
+        for number in (0, 1):
+            pulled.append(number)
+            yield pa.concat_batches([batch(number, False, 0, base[:20]), batch(number, False, 20, base[20:])])
+            for i, x in enumerate(asked):
+                pulled.append(number)
+                yield batch(number, True, 1000 + 300 * i, x)
+        yield batch(7, True, 0, asked[0])  # a block without base rows
+
+    met = neighbors._block_candidates(2)(batches())
+    out = [next(met)]
+    assert len(pulled) <= 3
+    out = pa.Table.from_batches([*out, *met])
+    d = np.sqrt(((asked.reshape(-1, 1, 4) - base) ** 2).sum(-1))
+    near = np.argsort(d, axis=1, kind="stable")[:, :2]
+    assert out["nn_id"].to_pylist() == near.ravel().tolist() * 2
+    assert np.allclose(out["distance"].to_numpy(), np.tile(np.take_along_axis(d, near, 1).ravel(), 2))
+    assert out["met"].to_pylist() == [0] * 30_000 + [1] * 30_000
+
+
+def test_meeting_holds_no_group(spark):
+    rows = spark.range(60).select(F.col("id").alias("row_id"), F.array(F.rand(1), F.rand(2)).alias("features")).persist()
+    s = neighbors._shown(rows, "row_id", "features", None, None)
+    index = neighbors.build_index(s, block_rows=8)
+    own = neighbors.own_block(index, None, 2).persist()
+    assert "Group" not in plan_of(own).split("InMemoryRelation")[0]
+    assert "InArrow" not in plan_of(neighbors._meet(index, neighbors.routed(index, s, own, 2), 2)).replace("MapInArrow", "")
+    for cached in (own, rows, index.rows):
+        cached.unpersist()
+
+
 def test_other_queries_and_strange_groups(spark):
     rng = np.random.default_rng(10)
     base = [(f"b{i:03}", "xy"[i % 2], rng.normal(size=3).tolist()) for i in range(90)] + [("lone", "z", [0.0, 0.0, 0.0])]
