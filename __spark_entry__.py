@@ -1332,6 +1332,9 @@ def _as_files(spark, written: str, folder: str, names) -> None:
 
 MESSY_LINE = """case when doc_id % 50 = 7 then concat(doc_id, ',x,', lang, ',surplus') when doc_id % 50 = 8 then concat('\n', doc_id)
     else concat(doc_id, ',"', replace(text, '"', '""'), '",', lang) end"""
+MESSY_HEADER = "id,text, Lang"
+#: More than a split of Spark's default size, so that parts are read in splits.
+MESSY_PART = 160_000_000
 
 
 @query(
@@ -1345,21 +1348,30 @@ MESSY_LINE = """case when doc_id % 50 = 7 then concat(doc_id, ',x,', lang, ',sur
        from d where doc_id % 3 <> 0 or doc_id % 50 <> 7""",
 )
 def ingest_messy_csv(spark, sf_dir):
-    """Files of three kinds, some larger than a split: quotes, line breaks, blank, short and surplus lines; another header; single-byte text."""
+    """Files of three kinds, some larger than a split: quotes, line breaks, blank, short and surplus lines; another header; single-byte text.
+
+    Each is written by range of the key, in parts of `MESSY_PART` bytes of text up to twice that, or in one where it has less.
+    """
     docs, folder = table(spark, sf_dir, "documents"), _scratch(spark, "messy")
+    sizes = docs.groupBy((F.col("doc_id") % 3).alias("kind")).agg(F.sum(F.octet_length("text")).alias("bytes")).collect()
+    parts = {r["kind"]: max(1, (r["bytes"] or 0) // MESSY_PART) for r in sizes}
     plain = docs.filter("doc_id % 3 = 0").selectExpr("doc_id", f"{MESSY_LINE} as line")
-    header = spark.range(1).selectExpr("-1L as doc_id", "'id,text, Lang' as line")
+    header = spark.range(1).selectExpr("cast(null as bigint) as doc_id", f"'{MESSY_HEADER}' as line")  # sorts first
+    opens = (F.monotonically_increasing_id() % (1 << 33) == 0) & F.col("doc_id").isNotNull()  # the first row of a part
+    kinds = [
+        (plain.unionByName(header), "doc_id"),
+        (docs.filter("doc_id % 3 = 1").selectExpr("source as Note", "lang as Lang", "doc_id as ID", "text as Text"), "ID"),
+        (docs.filter("doc_id % 3 = 2").selectExpr("doc_id as id", "text", "lang"), "id"),
+    ]
+    kinds = [rows.repartitionByRange(parts.get(i, 1), key).sortWithinPartitions(key) for i, (rows, key) in enumerate(kinds)]
+    lines = kinds[0].select(F.when(opens, F.concat(F.lit(f"{MESSY_HEADER}\n"), "line")).otherwise(F.col("line")).alias("line"))
     ways = [
-        plain.unionByName(header).coalesce(1).sortWithinPartitions("doc_id").select("line").write.format("text"),
-        docs.filter("doc_id % 3 = 1").selectExpr("source as Note", "lang as Lang", "doc_id as ID", "text as Text")
-        .coalesce(1).sortWithinPartitions("ID").write.format("csv").options(header=True, escape='"'),
-        docs.filter("doc_id % 3 = 2").selectExpr("doc_id as id", "text", "lang")
-        .coalesce(1).sortWithinPartitions("id").write.format("csv").options(header=True, escape='"', encoding="ISO-8859-1"),
+        lines.write.format("text"), kinds[1].write.format("csv").options(header=True, escape='"'),
+        kinds[2].write.format("csv").options(header=True, escape='"', encoding="ISO-8859-1"),
     ]
     for i, way in enumerate(ways):
-        way.save(f"{folder}-{i}")
-        _as_files(spark, f"{folder}-{i}", folder, [f"file{i}.csv"])
-    return csv.read_folder(spark, folder).select("row_id", "source_file", "id", "text", "lang", "note")
+        way.save(f"{folder}/file{i}.csv")
+    return csv.read_folder(spark, folder, parts=True).select("row_id", "source_file", "id", "text", "lang", "note")
 
 
 # -- streaming ------------------------------------------------------------------------------------------------

@@ -43,23 +43,38 @@ CHARSETS = {"utf-8": "UTF-8", "utf8": "UTF-8", "latin-1": BYTES, "latin1": BYTES
 @dataclass(frozen=True)
 class SourceFile:
     number: int
+    part: int
     path: str
-    name: str  # as in the file metadata
+    name: str  # as in the file metadata, for a part with its folder's
     source: str
     header: tuple[str, ...]  # tidy or mangled names, one per field
 
 
 def discover_files(spark: SparkSession, folder: str, pattern: str = "*.csv") -> list[str]:
     """Files of a folder in name order, not recursive; an error if there are none."""
+    return [paths[0] for _, paths in _discover(spark, folder, pattern, False)]
+
+
+def _discover(spark: SparkSession, folder: str, pattern: str, parts: bool) -> list[tuple[str, list[str]]]:
+    """Names of the files of a folder, in their order, with their paths: one, or those of a folder's parts."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path) or not fs.getFileStatus(path).isDirectory():
         raise FileNotFoundError(f"folder not found: {folder}")
-    listed = [s.getPath() for s in fs.listStatus(path) if s.isFile()]
-    files = sorted((p.getName(), p.toString()) for p in listed if fnmatch(p.getName(), pattern))
+
+    def named(where, wanted: str, of) -> list:
+        found = [s.getPath() for s in fs.listStatus(where) if of(s)]
+        return sorted(((p.getName(), p) for p in found if fnmatch(p.getName(), wanted)), key=lambda x: x[0])
+
+    files = [(n, [p.toString()]) for n, p in named(path, pattern, lambda s: s.isFile())]
+    for n, p in named(path, pattern, lambda s: parts and s.isDirectory()):
+        written = [x.toString() for _, x in named(p, "part-*", lambda s: s.isFile())]
+        if not written:
+            raise FileNotFoundError(f"no parts in {p.toString()}")
+        files.append((n, written))
     if not files:
         raise FileNotFoundError(f"no {pattern} files in {folder}")
-    return [p for _, p in files]
+    return sorted(files)
 
 
 def _first_line(spark: SparkSession, path: str) -> bytes:
@@ -97,19 +112,19 @@ def _stem(name: str) -> str:
 
 
 def _sources(
-    spark: SparkSession, paths: list[str], encoding: str, fallback: str, tidy: bool
+    spark: SparkSession, found: list[tuple[str, list[str]]], encoding: str, fallback: str, tidy: bool, parts: bool
 ) -> list[SourceFile]:
+    listed = [(number, part, name, path) for number, (name, paths) in enumerate(found) for part, path in enumerate(paths)]
     with ThreadPoolExecutor(16) as pool:
-        lines = list(pool.map(lambda p: _first_line(spark, p), paths))
+        lines = list(pool.map(lambda p: _first_line(spark, p), [p for *_, p in listed]))
     files = []
-    for number, (path, raw) in enumerate(zip(paths, lines, strict=True)):
+    for (number, part, name, path), raw in zip(listed, lines, strict=True):
         fields = next(csv_rows.reader(io.StringIO(_decode(raw, encoding, fallback))))
         names = mangle_header(fields)
-        name = posixpath.basename(path)
         # file metadata columns carry the URI form of the name
         uri = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).toUri().toString()
         files.append(
-            SourceFile(number, path, posixpath.basename(uri), _stem(name), tuple(tidy_names(names) if tidy else names))
+            SourceFile(number, part, path, "/".join(uri.split("/")[-1 - parts :]), _stem(name), tuple(tidy_names(names) if tidy else names))
         )
     return files
 
@@ -176,10 +191,14 @@ def _quote_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             )
 
 
-def _records(spark: SparkSession, files: list[SourceFile]) -> DataFrame:
-    """``(_file, _record, _text, source_file, _number, _ok)``: records of all files as single-byte text, without headers."""
+def _records(spark: SparkSession, files: list[SourceFile], parts: bool = False) -> DataFrame:
+    """``(_file, _record, _text, source_file, _number, _ok)``: records of all files as single-byte text, without headers.
+
+    ``_record`` counts a header for each file, however many parts it has.
+    """
+    name = F.substring_index("_metadata.file_path", "/", -2) if parts else F.col("_metadata.file_name")
     scanned = spark.read.option("lineSep", "\n").text([f.path for f in files]).select(
-        F.col("value").cast("binary"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_block")
+        F.col("value").cast("binary"), name.alias("_file"), F.col("_metadata.file_block_start").alias("_block")
     )
     lines = stage(scanned.mapInArrow(_quote_states, LINES), "ingest-lines")
     blocks = lines.groupBy("_file", "_block").agg(
@@ -202,23 +221,27 @@ def _records(spark: SparkSession, files: list[SourceFile]) -> DataFrame:
         return F.when(F.col("_state") == 0, F.col(f"{c}0")).otherwise(F.col(f"{c}1"))
 
     listed = small_table(
-        spark, [(f.name, f.number, f.source) for f in files], "_file string, _number bigint, source_file string"
+        spark, [(f.name, f.number, f.part, f.source) for f in files], "_file string, _number bigint, _part bigint, source_file string"
     )
-    whole = Window.partitionBy("_file")
+    whole, part = Window.partitionBy("_number"), Window.partitionBy("_file")
+    earlier = Window.partitionBy("_number").orderBy("_part", "_block").rowsBetween(Window.unboundedPreceding, -1)
     places = stage(
-        entered.select(
-            "_file", "_block", "_state", F.coalesce(F.sum(chosen("_n")).over(before), F.lit(0)).alias("_before"),
-            F.bool_and("_valid").over(whole).alias("_ok"), chosen("_end").alias("_open"), (F.max("_block").over(whole) == F.col("_block")).alias("_last"),
-        ).join(listed, "_file"), "ingest-blocks",
+        entered.join(listed, "_file").select(
+            "_file", "_block", "_state", "_number", "source_file", F.coalesce(F.sum(chosen("_n")).over(before), F.lit(0)).alias("_before"),
+            (F.coalesce(F.sum(chosen("_n")).over(earlier), F.lit(0)) - F.col("_part")).alias("_earlier"),  # a header for each part before
+            F.bool_and("_valid").over(whole).alias("_ok"), chosen("_end").alias("_open"), (F.max("_block").over(part) == F.col("_block")).alias("_last"),
+        ), "ingest-blocks",
     )
     never = places.filter("_last and _open = 1").limit(1).collect()
     if never:
         raise ValueError(f"{never[0]['_file']}: a quoted field is not closed at the end of the file")
     single_byte = F.decode("_value", BYTES)
-    placed = lines.join(places.select("_file", "_block", "_state", "_before", "_ok", "_number", "source_file"), ["_file", "_block"]).select(
-        "_file", "_block", "_at", single_byte.alias("_line"), (F.col("_before") + chosen("_n")).alias("_record"), chosen("_kind").alias("_kind"),
+    placed = lines.join(places.drop("_open", "_last"), ["_file", "_block"]).filter(
+        (chosen("_kind") != BLANK) & (F.col("_before") + chosen("_n") > 1)  # the first record is the header
+    ).select(
+        "_file", "_block", "_at", single_byte.alias("_line"), (F.col("_earlier") + chosen("_n")).alias("_record"), chosen("_kind").alias("_kind"),
         chosen("_end").alias("_end"), "_number", "source_file", "_ok",
-    ).filter((F.col("_kind") != BLANK) & (F.col("_record") > 1))  # the first record is the header
+    )
     alone = (F.col("_kind") == FIRST) & (F.col("_end") == 0)
     keys = ["_file", "_record", "source_file", "_number", "_ok"]
     parts = F.sort_array(F.collect_list(F.struct("_block", "_at", "_line")))
@@ -247,15 +270,15 @@ def _parsed(records: DataFrame, files: list[SourceFile]) -> DataFrame:
 
 def read_folder(
     spark: SparkSession, folder: str, encoding: str = "utf-8", fallback_encoding: str = "latin-1",
-    pattern: str = "*.csv", tidy: bool = True,
+    pattern: str = "*.csv", tidy: bool = True, parts: bool = False,
 ) -> DataFrame:
     """The frame of `read_folder_counted`."""
-    return read_folder_counted(spark, folder, encoding, fallback_encoding, pattern, tidy)[0]
+    return read_folder_counted(spark, folder, encoding, fallback_encoding, pattern, tidy, parts)[0]
 
 
 def read_folder_counted(
     spark: SparkSession, folder: str, encoding: str = "utf-8", fallback_encoding: str = "latin-1",
-    pattern: str = "*.csv", tidy: bool = True,
+    pattern: str = "*.csv", tidy: bool = True, parts: bool = False,
 ) -> tuple[DataFrame, int]:
     """All files of a folder by column name, as strings, with ``source_file`` and ``row_id``, and the number of rows.
 
@@ -263,14 +286,17 @@ def read_folder_counted(
     bytes allow that, else with ``fallback_encoding``. NA texts are NULL. Files with different
     headers are united by (tidy) name, missing columns NULL. Quoted fields may hold line breaks; files are read in
     splits all the same. A quote inside an unquoted field is text. A file that ends within quotes is an error.
+
+    With ``parts``, a folder named like a file, as a Spark job writes it, is one file as well: its ``part-`` files in name order, each with its
+    header, records numbered through, one encoding for all.
     """
     strict, loose = _charset(encoding), _charset(fallback_encoding)
-    files = _sources(spark, discover_files(spark, folder, pattern), encoding, fallback_encoding,
-                     tidy)
+    files = _sources(spark, _discover(spark, folder, pattern, parts), encoding, fallback_encoding,
+                     tidy, parts)
     by_header: dict[tuple, list[SourceFile]] = {}
     for f in files:
         by_header.setdefault(f.header, []).append(f)
-    records = _records(spark, files)
+    records = _records(spark, files, parts)
     scans = [_parsed(records, group) for group in by_header.values()]
     united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
     staged, rows = stage_counted(united, "ingest")

@@ -82,6 +82,30 @@ def test_line_numbers_across_blocks(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_a_file_in_parts(spark, tmp_path):
+    """A folder of parts named like a file is one file: records numbered through, one encoding, a header in each part."""
+    (tmp_path / "b.csv").mkdir()
+    write(tmp_path, "a.csv", "n,t\n0,y\n")
+    write(tmp_path, "c.csv", "n,t\n0,z\n")
+    write(tmp_path / "b.csv", "_SUCCESS", "")
+    for part in range(5):
+        rows = "".join(f'{part * 300 + i},"{"x" * 50}\n\n""é"\n' for i in range(300))
+        write(tmp_path / "b.csv", f"part-0000{part}-x.csv", ("n,t\n" + rows).encode("latin-1" if part == 2 else "utf-8"))
+    write(tmp_path / "b.csv", "part-00005-x.csv", "n,t\n\n1500,u,surplus\n1501,v")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        rows = read(spark, tmp_path, parts=True).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [(r["source_file"], r["row_id"] >> FILE_BITS) for r in (rows[0], rows[1], rows[-1])] == [("a", 0), ("b", 1), ("c", 2)]
+    parts = rows[1:-1]
+    assert [r["row_id"] - (1 << FILE_BITS) for r in parts] == [int(r["n"]) for r in parts] == [*range(1500), 1501]
+    assert {r["t"] for r in parts[600:900]} == {"x" * 50 + '\n\n"é'}
+    assert {r["t"] for r in parts[:600]} == {("x" * 50 + '\n\n"é').encode().decode("latin-1")}
+    assert {r["source_file"] for r in read(spark, tmp_path).collect()} == {"a", "c"}  # else a folder is no file
+
+
 def test_missing_folder_and_files(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         read_folder(spark, str(tmp_path / "none"))

@@ -25,6 +25,23 @@ def test_query(spark, duck, name):
     assert rows > 0
 
 
+def test_messy_files_in_parts(spark, monkeypatch):
+    """No task writes a whole file: parts by range of the key, read as one file."""
+    monkeypatch.setattr(entry, "MESSY_PART", 200_000)
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    written = []
+    discover = entry.csv._discover
+    monkeypatch.setattr(entry.csv, "_discover", lambda *a: written.extend(discover(*a)) or written)
+    try:
+        folder = SF_DIR.replace("sf0.001", "sf0.01")
+        verdict, rows = compare(spark, connect(folder), folder, entry.queries()["ingest_messy_csv"], entry.oracle_sql()["ingest_messy_csv"])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    assert verdict == "ok" and rows > 900
+    assert [n for n, _ in written] == ["file0.csv", "file1.csv", "file2.csv"] and all(len(paths) > 2 for _, paths in written)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
