@@ -1609,7 +1609,8 @@ def _day_files(spark, sf_dir) -> str:
     """A folder of the raw flows, each day in as many files as tasks wrote."""
     folder = _scratch(spark, "raw")
     spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    flows = raw_flows(spark, sf_dir).drop("row_id").repartition(4)
+    # tasks sort their rows by day: as many of them as the rows need
+    flows = raw_flows(spark, sf_dir).hint("rebalance", F.col("row_id")).drop("row_id")
     flows.write.partitionBy("source_file").options(header=True, **spaces).csv(f"{folder}-days")
     for day in DAYS:
         _as_files(spark, f"{folder}-days/source_file={day}", folder, lambda i, day=day: f"{day}-hours-{i:05d}.csv")

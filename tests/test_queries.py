@@ -42,6 +42,18 @@ def test_messy_files_in_parts(spark, monkeypatch):
     assert [n for n, _ in written] == ["file0.csv", "file1.csv", "file2.csv"] and all(len(paths) > 2 for _, paths in written)
 
 
+def test_day_files_are_dealt_to_as_many_tasks_as_rows_need(spark):
+    old = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        folder = entry._day_files(spark, SF_DIR)
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    assert len(entry.csv.discover_files(spark, folder, "Friday*")) == 9
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
