@@ -42,6 +42,16 @@ def _subsets(level: int) -> int:
     return min(4**level, PARTS)
 
 
+def _place(level: int) -> int:
+    """Lowest bit of a term's hash that tells its part on a level."""
+    return 63 - 8 * level
+
+
+def _bits(level: int, skip: int = 0) -> str:
+    """The bits of hash ``h`` that tell a term's part on a level, but the lowest ``skip``, in their place."""
+    return f"(h & {((4**level - 1) >> skip << skip) << _place(level)}L)"
+
+
 def _terms(text: Column) -> Column:
     return F.array_distinct(F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), ""))
 
@@ -81,9 +91,10 @@ def _with_band(df: DataFrame, words: DataFrame, whole: Column, kept: list[str],
     if sizes["n"] <= local_terms:
         slots = 1 << (sizes["n"] // SLOT_TERMS).bit_length()
         held = df.select(*kept, _hashed(whole).alias("__all"), _table(words, slots).scalar().alias("__table"))
-        found = F.filter("__all", lambda t: F.array_contains(
-            F.get(F.col("__table"), t.bitwiseAND(F.lit(slots - 1)).cast("int")), t))
-        return held.select(*kept, "__all", found.alias("__band"))
+        # terms and table are named once each, so both selects become one and no row carries the table
+        both = F.transform(F.array("__all"), lambda every: F.struct(every.alias("all"), F.filter(every, lambda t: F.array_contains(
+            F.get(F.col("__table"), t.bitwiseAND(F.lit(slots - 1)).cast("int")), t)).alias("band")))[0]
+        return held.select(*kept, both.alias("__both")).select(*kept, F.col("__both.all").alias("__all"), F.col("__both.band").alias("__band"))
     # equal texts have equal terms, so 128 bits of the text stand for the row
     keys = [F.xxhash64(whole).alias("__k1"), F.xxhash64(F.lit("second"), whole).alias("__k2")]
     terms = df.select(*keys, F.explode(_hashed(whole)).alias("term"))
@@ -110,21 +121,16 @@ def with_fingerprint(
     found = found.select(
         *kept, F.sort_array(F.when(F.size("__band") < LEAST_TERMS, F.col("__all")).otherwise(F.col("__band"))).alias("__l0"),
     )
-    # part of a term on a level: bits of its hash
-    part = {i: f"(shiftrightunsigned(h, {63 - 8 * i}) & {4**i - 1})" for i in range(1, LEVELS)}
-    lists = [
-        F.expr(f"filter(__l0, h -> {part[i]} < {_subsets(i)})").alias(f"__l{i}") for i in range(1, LEVELS)
-    ]
-    found = found.select(*kept, "__l0", *lists)
-
-    def digits(terms: str) -> str:
-        return f"if(size({terms}) = 0, '{NONE}', right(hex(xxhash64({terms})), {DIGITS}))"
-
-    hashes = [F.expr(f"lpad({digits('__l0')}, {DIGITS}, '0')")]
-    for i in range(1, LEVELS):
-        one = digits(f"filter(__l{i}, h -> {part[i]} = k)")
-        hashes.append(F.expr(f"array_join(transform(sequence(0, {_subsets(i) - 1}), k -> lpad({one}, {DIGITS}, '0')), '')"))
-    return found.select(*kept, F.concat(*hashes).alias(into))
+    # lists of the terms in the used parts of a level, where parts are many cut into runs of four parts, then into parts
+    lists = {f"__l{i}": f"filter(__l0, h -> {_bits(i)} < {_subsets(i) << _place(i)}L)" for i in range(3, LEVELS)}
+    found = found.select(*kept, "__l0", *[F.expr(e).alias(name) for name, e in lists.items()])
+    runs = {f"__l{i}_{k}": f"filter({f'__l{i}' if i > 2 else '__l0'}, h -> {_bits(i, 2)} = {k << _place(i) + 2}L)"
+            for i in range(2, LEVELS) for k in range(_subsets(i) // 4)}
+    found = found.select(*kept, "__l0", *[F.expr(e).alias(name) for name, e in runs.items()])
+    subsets = ["__l0", *[f"filter({f'__l{i}_{k // 4}' if i > 1 else '__l0'}, h -> {_bits(i)} = {k << _place(i)}L)"
+                         for i in range(1, LEVELS) for k in range(_subsets(i))]]
+    one = f"if(size(terms) = 0, '{NONE}', lpad(right(hex(xxhash64(terms)), {DIGITS}), {DIGITS}, '0'))"
+    return found.select(*kept, F.expr(f"array_join(transform(array({', '.join(subsets)}), terms -> {one}), '')").alias(into))
 
 
 def likeness(a: str, b: str) -> Column:

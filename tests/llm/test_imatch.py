@@ -158,3 +158,33 @@ def test_rare_terms_stay_out_of_the_band_whatever_the_vocabulary(spark):
     some = df.filter("doc_id < 2000")
     got = imatch.with_fingerprint(some, words, "text", "fp").groupBy(F.col("doc_id") % 500).agg(F.countDistinct("fp").alias("n"))
     assert got.filter("n > 1").count() == 0
+
+
+def test_no_row_carries_the_lexicon(spark):
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 50}x{j % 9}" for j in range(40))) for i in range(200)]
+    df = spark.createDataFrame([*rows, (200, None), (201, "w1x1 w2x2")], "doc_id long, text string")
+    words = imatch.lexicon(df)
+    assert words.filter("not frequent").count() > 5
+    done = imatch.with_fingerprint(df, words, "text", "fp")
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    # the hash table is a subquery within the look-up, not a column that is copied into every row
+    assert "scalar-subquery" in plan and "AS __table" not in plan
+    texts = [r["text"] or "" for r in df.orderBy("doc_id").collect()]
+    want = ["".join(d for level in levels for d in level) for levels in plain_fingerprints(texts, texts)]
+    assert [r["fp"] for r in done.orderBy("doc_id").collect()] == want
+
+
+def test_likeness_of_single_subsets(spark):
+    size = sum(imatch._subsets(i) for i in range(imatch.LEVELS))
+    rnd, rows = random.Random(8), []
+    for _ in range(200):
+        a = [rnd.choice(["0A1F", "33BC", imatch.NONE]) for _ in range(size)]
+        b = [x if rnd.random() < 0.5 else rnd.choice(["0A1F", "FFFF", imatch.NONE]) for x in a]
+        rows.append(("".join(a), "".join(b)))
+    rows += [(imatch.NONE * size,) * 2, (imatch.NONE * size, rows[0][0]), (rows[1][0], rows[1][0])]
+    levels = [sum(imatch._subsets(j) for j in range(i)) for i in range(imatch.LEVELS + 1)]
+    cut = lambda s: [[s[k * 4 : k * 4 + 4] for k in range(x, y)] for x, y in zip(levels, levels[1:])]  # noqa: B905, E731
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", imatch.likeness("a", "b").alias("l")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["l"] == pytest.approx(plain_likeness(cut(r["a"]), cut(r["b"])), abs=1e-12)
