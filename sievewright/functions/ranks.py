@@ -459,7 +459,7 @@ def _value_buckets(table: DataFrame, by: str, pieces: int) -> DataFrame:
 
 def running_totals(
     table: DataFrame, group: list[str], by: str, sums: dict[str, str], rows: int,
-    bucket_rows: int = DIRECT_ROWS, then: list[str] | None = None,
+    bucket_rows: int = DIRECT_ROWS, *, then: list[str] | None = None,
 ) -> DataFrame:
     """Inclusive running sums over descending ``by`` inside each group.
 
